@@ -1,8 +1,9 @@
 """Exact quantiles of large groups.
 
 ``percentile`` keeps every distinct value of a group in one buffer, so it is used only where a
-group is bounded (one station's hours).  For whole tables the quantile is bracketed first by a
-bounded-size sketch, and only the values inside the bracket are counted and ordered.
+group is bounded (one station's hours).  For larger groups the quantile is bracketed first by a
+bounded-size sketch, and only the values inside the bracket are counted and ordered; a group of
+at most ``ACCURACY`` rows is its own bracket.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(F.col("_v") < F.col("_b")[i], "below").when(F.col("_v") <= F.col("_b")[k + i], "in").alias("side"),
+                F.when((F.col("_n") <= ACCURACY) | F.col("_v").between(F.col("_b")[i], F.col("_b")[k + i]), "in")
+                .when(F.col("_v") < F.col("_b")[i], "below").alias("side"),
             )
             for i in range(k)
         ]

@@ -1,4 +1,13 @@
 """Every operator as a query over the given tables, beside the SQL that checks it."""
 
-from hazewell.plans import clean_queries, join_queries, rule_queries, scalar_queries, source_queries, window_queries  # noqa: F401
+from hazewell.plans import (  # noqa: F401
+    agg_queries,
+    clean_queries,
+    join_queries,
+    quality_queries,
+    rule_queries,
+    scalar_queries,
+    source_queries,
+    window_queries,
+)
 from hazewell.plans.registry import QUERIES, oracle_text, runnable  # noqa: F401
