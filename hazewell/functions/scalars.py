@@ -288,3 +288,12 @@ def array_stats(path: Column) -> dict[str, Column]:
 
 def array_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+# --- aggregates -----------------------------------------------------------------------------
+
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over rows where both are present; null for a constant side (the built-in divides by zero there)."""
+    x, y = (F.col(v) if isinstance(v, str) else v for v in (a, b))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))

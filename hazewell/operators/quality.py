@@ -268,7 +268,7 @@ def quality_dimensions(df: DataFrame, as_of: str, numeric: Sequence[str] = ("pm2
     age = (F.unix_timestamp(_at(as_of)) - F.unix_timestamp(TIME)) / 3600
     agg = df.join(q, "station_id").groupBy("station_id").agg(
         F.count("*").alias("n"), F.sum(nulls).alias("nulls"), F.sum(odd).alias("odd"), F.count_if(F.col("pm25") < 0).alias("neg"),
-        F.avg((age <= 24).cast("int")).alias("fresh"), F.corr("pm25", "temperature").alias("r")).join(dup, "station_id")
+        F.avg((age <= 24).cast("int")).alias("fresh"), S.corr("pm25", "temperature").alias("r")).join(dup, "station_id")
     n = F.col("n")
     against = S.flag(F.col("r") < -0.8)
     scores = {

@@ -7,6 +7,7 @@ from hazewell.plans import (  # noqa: F401
     quality_queries,
     rule_queries,
     scalar_queries,
+    select_queries,
     source_queries,
     window_queries,
 )
