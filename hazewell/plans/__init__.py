@@ -3,6 +3,7 @@
 from hazewell.plans import (  # noqa: F401
     agg_queries,
     clean_queries,
+    evaluate_queries,
     forecast_queries,
     join_queries,
     quality_queries,
