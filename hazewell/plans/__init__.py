@@ -2,6 +2,7 @@
 
 from hazewell.plans import (  # noqa: F401
     agg_queries,
+    calibrate_queries,
     clean_queries,
     evaluate_queries,
     forecast_queries,
