@@ -99,4 +99,17 @@ CTES = {
         SELECT user_id AS id, event_type AS parameter FROM (SELECT DISTINCT user_id, event_type FROM ev)""",
     "scores": """
         SELECT event_type AS method, 'f' || user_id AS feature, avg(value) / CAST(497 AS DOUBLE) AS score FROM ev GROUP BY 1, 2""",
+    "users": """
+        SELECT c_custkey AS user_id, c_custkey % 5 + 1 AS station_id,
+               CASE c_mktsegment WHEN 'BUILDING' THEN 'child' WHEN 'HOUSEHOLD' THEN 'elderly' ELSE 'adult' END AS age_group,
+               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'asthma' WHEN 'MACHINERY' THEN 'heart_disease' ELSE 'none' END AS condition,
+               CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'normal' END AS sensitivity,
+               CASE WHEN c_acctbal < 2000 THEN 'active' ELSE 'calm' END AS activity,
+               c_nationkey % 24 AS quiet_start, c_nationkey * 7 % 24 AS quiet_end,
+               c_custkey % 2 = 0 AS email, c_custkey % 3 = 0 AS sms, c_custkey % 5 = 0 AS push
+        FROM customer""",
+    "outlook": """
+        SELECT station_id, day, p[1] AS current, p[2:] AS path
+        FROM (SELECT station_id, date_trunc('day', datetime_utc) AS day, list(pm25 ORDER BY datetime_utc) AS p FROM readings GROUP BY 1, 2)
+        WHERE len(p) > 1""",
 }

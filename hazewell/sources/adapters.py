@@ -254,6 +254,35 @@ class Tables:
             F.col("o_orderdate").cast("timestamp").alias("created"),
         )
 
+    @cached_property
+    def users(self) -> DataFrame:
+        """User profiles: one row per customer."""
+        key, seg, bal = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_acctbal")
+        return self.table("customer").select(
+            key.alias("user_id"),
+            (key % 5 + 1).alias("station_id"),
+            F.when(seg == "BUILDING", "child").when(seg == "HOUSEHOLD", "elderly").otherwise("adult").alias("age_group"),
+            F.when(seg == "AUTOMOBILE", "asthma").when(seg == "MACHINERY", "heart_disease").otherwise("none").alias("condition"),
+            F.when(bal > 5000, "high").otherwise("normal").alias("sensitivity"),
+            F.when(bal < 2000, "active").otherwise("calm").alias("activity"),
+            (F.col("c_nationkey") % 24).alias("quiet_start"),
+            (F.col("c_nationkey") * 7 % 24).alias("quiet_end"),
+            (key % 2 == 0).alias("email"),
+            (key % 3 == 0).alias("sms"),
+            (key % 5 == 0).alias("push"),
+        )
+
+    @cached_property
+    def outlook(self) -> DataFrame:
+        """Current value and the path ahead, one row per station and day."""
+        path = F.transform(
+            F.array_sort(F.collect_list(F.struct("datetime_utc", "pm25"))), lambda r: r["pm25"]
+        )  # at most 24 hours
+        days = self.readings.groupBy("station_id", F.date_trunc("day", "datetime_utc").alias("day")).agg(path.alias("p"))
+        return days.filter(F.size("p") > 1).select(
+            "station_id", "day", F.element_at("p", 1).alias("current"), F.slice("p", 2, 24).alias("path")
+        )
+
     @cached_property
     def scores(self) -> DataFrame:
         """Score of each feature under each method."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,3 +125,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_b")
     return df.groupBy(*keys).agg(best).select(*keys, "_b.*").select(*df.columns)
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """File names below a folder; contents are not read."""
+    return _files(spark, root, glob).select(F.element_at(F.split("path", "/"), -1).alias("file"))
