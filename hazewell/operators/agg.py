@@ -89,7 +89,7 @@ def readiness(sensors: DataFrame) -> DataFrame:
 
 def artifact_rollup(a: DataFrame) -> DataFrame:
     return a.groupingSets([["source"], ["stage"], []], "source", "stage").agg(
-        F.count("*").alias("n"), F.sum("size_bytes").alias("size_bytes"), F.sum("records").alias("records")
+        F.count("*").alias("n"), (F.sum("size_bytes") / 1048576).alias("size_mb"), F.sum("records").alias("records")
     )
 
 

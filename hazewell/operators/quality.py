@@ -499,13 +499,13 @@ def diversity(chosen: DataFrame, max_size: int = 100) -> DataFrame:
 
 
 def relax_thresholds(stations: DataFrame, required: int = 3) -> DataFrame:
-    """First step of the ladder with enough stations: one aggregate with a count per step."""
+    """First step of the ladder with enough stations, or the first step where none has: one aggregate with a count per step."""
     counts = stations.agg(*[
         F.count_if((F.col("quality_score") >= q) & (F.col("missingness_pct") <= m)).alias(f"s{i}") for i, (q, m) in enumerate(RELAX_STEPS)])
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(q).alias("min_quality"), F.lit(m).alias("max_missing"), F.col(f"s{i}").alias("stations"))
                       for i, (q, m) in enumerate(RELAX_STEPS)])
-    return counts.select(F.explode(steps).alias("s")).select("s.*").filter(F.col("stations") >= required).agg(
-        F.min(F.struct("step", "min_quality", "max_missing", "stations")).alias("b")).select("b.*")
+    enough = F.filter(steps, lambda s: s["stations"] >= required)
+    return counts.select(F.coalesce(F.get(enough, F.lit(0)), F.get(steps, F.lit(0))).alias("b")).select("b.*")
 
 
 def feature_report(df: DataFrame) -> DataFrame:

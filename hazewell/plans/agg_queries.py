@@ -50,7 +50,7 @@ WITH k AS (SELECT unnest(['pm25', 'pm10', 'no2', 'o3', 'so2', 'co', 'temperature
 n AS (SELECT k.parameter, count(r.event_id) AS sensors FROM k LEFT JOIN raw_meas r USING (parameter) GROUP BY 1)
 SELECT *, (SELECT count(*) FROM n WHERE sensors > 0) * 100 / 9 AS completeness FROM n""", "completeness")
 q("artifact_rollup", "D9", lambda t: A.artifact_rollup(t.artifacts), """
-SELECT source, stage, count(*) AS n, sum(size_bytes) AS size_bytes, CAST(sum(records) AS BIGINT) AS records FROM artifacts GROUP BY GROUPING SETS ((source), (stage), ())""", "size_bytes")
+SELECT source, stage, count(*) AS n, sum(size_bytes) / 1048576 AS size_mb, CAST(sum(records) AS BIGINT) AS records FROM artifacts GROUP BY GROUPING SETS ((source), (stage), ())""", "size_mb")
 q("alert_rollup", "D10", lambda t: A.alert_rollup(t.alerts), """
 SELECT severity, category, station_id, count(*) AS n, count(*) FILTER (WHERE NOT resolved) AS active, count(*) FILTER (WHERE resolved) AS resolved
 FROM alerts GROUP BY GROUPING SETS ((severity), (category), (station_id), ())""")

@@ -209,8 +209,9 @@ w AS (SELECT set_id, n, lo, 0.3 * least(lo, 1) + 0.3 * least(mid / 3, 1) + 0.2 *
 SELECT set_id, n, CASE WHEN n < 2 THEN 1 ELSE least(1, CASE WHEN lo < 0.5 THEN sc * 0.3 ELSE sc END) END AS diversity FROM w""", "diversity")
 STEPS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(Q.RELAX_STEPS))
 q("relaxed_thresholds", "J28", lambda t: Q.relax_thresholds(t.stations, 70), f"""
-SELECT step, min_quality, max_missing, count(*) AS stations FROM (VALUES {STEPS}) l(step, min_quality, max_missing) JOIN stations ON quality_score >= min_quality AND missingness_pct <= max_missing
-GROUP BY 1, 2, 3 HAVING count(*) >= 70 ORDER BY step LIMIT 1""", "min_quality max_missing")
+WITH c AS (SELECT step, min_quality, max_missing, count(station_id) AS stations FROM (VALUES {STEPS}) l(step, min_quality, max_missing)
+  LEFT JOIN stations ON quality_score >= min_quality AND missingness_pct <= max_missing GROUP BY 1, 2, 3)
+SELECT * FROM c ORDER BY CASE WHEN stations >= 70 THEN 0 ELSE 1 END, step LIMIT 1""", "min_quality max_missing")
 RC = ["event_id", "station_id", "sensor_id", "parameter", "value", "unit", "datetime_utc"]
 q("column_null_report", "J29", lambda t: Q.feature_report(t.raw.select(*RC)), " UNION ALL ".join(
     f"SELECT '{x}' AS \"column\", count(*) AS n_rows, count(*) - count({x}) AS nulls FROM raw_meas" for x in RC))

@@ -131,7 +131,7 @@ SELECT station_id, country, w / sum(w) OVER (PARTITION BY country) AS share FROM
 
 q("pair_interactions", "H19", lambda t: on.interactions(t.met, "u10", "blh", KEY), """
 SELECT station_id, datetime_utc, u10 * blh multiplicative, u10 / (blh + 1e-8) ratio, u10 - blh difference, u10 * u10 + blh * blh polynomial,
-  coalesce(lr, (SELECT quantile_cont(lr, 0.5) FROM (SELECT CASE WHEN u10 > 0 AND blh > 0 THEN ln(u10 + 1) - ln(blh + 1) END lr FROM met))) log_ratio
+  coalesce(lr, (SELECT quantile_cont(lr, 0.5) FROM (SELECT CASE WHEN u10 > 0 AND blh > 0 THEN ln(u10 + 1) - ln(blh + 1) END lr FROM met)), 0) log_ratio
 FROM (SELECT *, CASE WHEN u10 > 0 AND blh > 0 THEN ln(u10 + 1) - ln(blh + 1) END lr FROM met)""",
   "multiplicative ratio difference polynomial log_ratio")
 

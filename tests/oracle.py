@@ -59,23 +59,37 @@ def compare(spark, con, key, folder):
     return False, f"{len(got)} rows against {len(want)}; only here {sorted(a - b)[:2]}; only SQL {sorted(b - a)[:2]}; {sorted(df.columns)}; {QUERIES[key].code}"
 
 
+def run_all(spark, folder, keys, threads=6):
+    """Compare many queries at once (Spark runs their jobs side by side); yields (key, ok, text, seconds)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = connect(folder)
+
+    def one(key):
+        t = time.time()
+        try:
+            ok, text = compare(spark, root.cursor(), key, folder)
+        except Exception as e:  # report and go on to the next query
+            ok, text = False, f"{type(e).__name__}: {str(e)[:700]}"
+        return key, ok, text, time.time() - t
+
+    with ThreadPoolExecutor(threads) as pool:
+        yield from pool.map(one, keys)
+
+
 def main(argv):
     from hazewell.plans import QUERIES
     from hazewell.session import local_session
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark, con = local_session(8), connect(folder)
+    spark = local_session(8)
+    slow = float(os.environ.get("SLOW", "20"))
     keys = [k for k, q in QUERIES.items() if not argv or k in argv or q.code.split()[0].rstrip("0123456789") in argv]
     bad = 0
-    for key in keys:
-        t = time.time()
-        try:
-            ok, text = compare(spark, con, key, folder)
-        except Exception as e:  # report and go on to the next query
-            ok, text = False, f"{type(e).__name__}: {str(e)[:700]}"
+    for key, ok, text, sec in run_all(spark, folder, keys, int(os.environ.get("THREADS", "6"))):
         bad += not ok
-        if not ok or time.time() - t > 8 or "-v" in argv:
-            print(f"{'ok  ' if ok else 'FAIL'} {key} {time.time() - t:.1f}s {text}", flush=True)
+        if not ok or sec > slow or "-v" in argv:
+            print(f"{'ok  ' if ok else 'FAIL'} {key} {sec:.1f}s {text}", flush=True)
     print(f"{len(keys)} queries, {bad} failed")
 
 
