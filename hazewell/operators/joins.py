@@ -112,8 +112,16 @@ def align_future(hours: DataFrame, weather: DataFrame) -> DataFrame:
 
 
 def missing_hours(df: DataFrame) -> DataFrame:
-    """Hours of the common span without a row, per station."""
-    return landing.missing_partitions(landing.required_partitions(df, "hour"), landing.present_partitions(df, "hour"))
+    """Hours of the common span without a row, per station.
+
+    Read off the distance between neighbouring rows, so only the missing hours are listed, never the whole grid.
+    """
+    hour = F.expr("INTERVAL 1 HOUR")
+    edges = landing.span_of(df).select(F.array(F.col("start") - hour, F.col("end") + hour).alias("_e"))
+    outer = df.select("station_id").distinct().crossJoin(F.broadcast(edges)).select("station_id", F.explode("_e").alias(TIME))
+    prev = F.lag(TIME).over(Window.partitionBy("station_id").orderBy(TIME))
+    steps = df.select("station_id", TIME).unionByName(outer).withColumn("_prev", prev).filter(F.unix_timestamp(TIME) - F.unix_timestamp("_prev") > 3600)
+    return steps.select("station_id", F.explode(F.sequence(F.col("_prev") + hour, F.col(TIME) - hour, hour)).alias("slot"))
 
 
 def semi_stations(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ SELECT station_id, datetime_utc, lag(pm25) OVER {OVER} AS lag_pm25_1, {need('pm2
 FROM (SELECT *, {AQI_SQL.format(p4=50)} AS a FROM (SELECT met.*, pm25 AS x, precipitation_mm_hourly, row_number() OVER {OVER.replace('datetime_utc', 'met.datetime_utc')} AS rn FROM met LEFT JOIN rain ON rain.datetime_utc = met.datetime_utc))""",
   "lag_pm25_1 mean_24_pm25 slope_6 hour_sin lag_blh_3 std_6_wind_speed shear_1 consistency_12 range_24 heat_index ventilation aqi_index precipitation_mm_hourly")
 q("selected_features", "K2 K3 K5 K6 K7", lambda t: B.select_features(
-    B.build_features(t.readings, t.weather, t.rain, domain=False), ["wind_speed", "blh", "ventilation", "t2m_celsius", "heat_index", "lag_pm25_1", "mean_6_pm25", "mean_12_pm25", "cal_year", "is_monsoon"]
+    B.build_features(t.readings, t.weather, t.rain, domain=False), ["wind_speed", "t2m_celsius", "heat_index", "lag_pm25_1", "mean_6_pm25", "mean_12_pm25", "cal_year", "is_monsoon"]
 ).select("station_id", "datetime_utc", "wind_speed", "lag_pm25_1", "mean_6_pm25", "mean_12_pm25"), f"""
 SELECT station_id, datetime_utc, wind_speed, lag(pm25) OVER {OVER} AS lag_pm25_1, {need('pm25', 6, 3, f'avg(pm25) {tail(6)}', 'mean_6_pm25')}, {need('pm25', 12, 6, f'avg(pm25) {tail(12)}', 'mean_12_pm25')} FROM met""",
   "wind_speed lag_pm25_1 mean_6_pm25 mean_12_pm25")

@@ -15,10 +15,14 @@ def _events(t):
     return X.event_stream(t.spark, t.folder).withColumn("station_id", station_code(c("event_type")))
 
 
+def _scaled(t):
+    return _events(t).withColumn("value", c("value") / GAIN)
+
+
 WM = "(SELECT max(ts) - INTERVAL 1 HOUR FROM ev)"
-q("stream_hourly", "ST1", lambda t: X.run_to_table(X.stream_hourly(_events(t)), "hourly"), f"""
-SELECT station AS station_id, hour_ts AS datetime_utc, avg(value) AS pm25, count(*) AS n FROM ev WHERE hour_ts + INTERVAL 1 HOUR <= {WM} GROUP BY 1, 2""", "pm25")
-q("stream_rolling", "ST2", lambda t: X.run_to_table(X.stream_rolling(_events(t).withColumn("value", c("value") / GAIN)), "rolling"), f"""
+q("stream_hourly", "ST1", lambda t: X.run_to_table(X.stream_hourly(_scaled(t)), "hourly"), f"""
+SELECT station AS station_id, hour_ts AS datetime_utc, avg(value / CAST(1.0007 AS DOUBLE)) AS pm25, count(*) AS n FROM ev WHERE hour_ts + INTERVAL 1 HOUR <= {WM} GROUP BY 1, 2""", "pm25")
+q("stream_rolling", "ST2", lambda t: X.run_to_table(X.stream_rolling(_scaled(t)), "rolling"), f"""
 SELECT station AS station_id, hour_ts - i * INTERVAL 1 HOUR AS window_start, avg(value / CAST(1.0007 AS DOUBLE)) AS mean_24 FROM ev, range(0, 24) r(i) WHERE hour_ts + (24 - i) * INTERVAL 1 HOUR <= {WM} GROUP BY 1, 2""", "mean_24")
 q("stream_sessions", "ST3", lambda t: X.run_to_table(X.stream_sessions(_events(t)), "sessions"), f"""
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM ev),
@@ -60,9 +64,9 @@ def _refresh(t):
     path = t.path("events")
 
     def source(session):
-        return session.read.parquet(path).withColumn("ts", c("ts").cast("timestamp")).withColumn("station_id", station_code(c("event_type")))
+        return session.read.parquet(path).withColumn("ts", c("ts").cast("timestamp")).withColumn("station_id", station_code(c("event_type"))).withColumn("value", c("value") / GAIN)
 
     return X.stream_refresh(_events(t), source).drop("day")
 
 
-q("stream_refresh", "ST11", _refresh, "SELECT station AS station_id, hour_ts AS datetime_utc, avg(value) AS pm25 FROM ev GROUP BY 1, 2", "pm25")
+q("stream_refresh", "ST11", _refresh, "SELECT station AS station_id, hour_ts AS datetime_utc, avg(value / CAST(1.0007 AS DOUBLE)) AS pm25 FROM ev GROUP BY 1, 2", "pm25")

@@ -36,7 +36,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}"
 
-
-def fits_broadcast(df, rows: int) -> bool:
-    """True when the table holds at most ``rows`` rows; reads at most rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
