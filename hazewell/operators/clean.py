@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazewell.operators import windows as W
-from hazewell.operators.quantiles import quantile_columns
+from hazewell.operators.quantiles import exact_quantiles, quantile_columns
 from hazewell.operators.scalars_on import with_scalar
 
 
@@ -137,12 +137,10 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
     if kind == "minmax":
         return df.agg(*[e for c in cols for e in (F.min(c).alias(f"c_{c}"), (F.max(c) - F.min(c)).alias(f"s_{c}"))])
     if kind == "robust":
-        out = None
-        for c in cols:
-            q = quantile_columns(df, c, {"a": 0.25, "m": 0.5, "b": 0.75})
-            one = q.select(F.col("m").alias(f"c_{c}"), (F.col("b") - F.col("a")).alias(f"s_{c}"))
-            out = one if out is None else with_scalar(out, one)
-        return out
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+        q = exact_quantiles(df.select(F.explode(cells).alias("c")).select("c.*"), "x", [0.25, 0.5, 0.75], ["feature"])
+        at = lambda c, p: F.max(F.when((F.col("feature") == c) & (F.col("prob") == p), F.col("quantile")))
+        return q.agg(*[e for c in cols for e in (at(c, 0.5).alias(f"c_{c}"), (at(c, 0.75) - at(c, 0.25)).alias(f"s_{c}"))])
     raise ValueError(f"unknown scaler {kind!r}")
 
 

@@ -14,6 +14,7 @@ from hazewell.operators import joins as J
 from hazewell.operators import windows as W
 from hazewell.operators.quantiles import quantile_columns
 from hazewell.operators.scalars_on import with_scalar
+from hazewell.session import stored
 
 TIME = "datetime_utc"
 HORIZONS = (6, 12, 24)
@@ -157,14 +158,15 @@ def cv_compare(cv: DataFrame) -> DataFrame:
 def expanding_cv(df: DataFrame, folds: int = 5, col: str = "pm25") -> DataFrame:
     """Expanding folds by time order: per fold the train and validation error of the station hour profile.
 
-    Rows are cut into folds + 1 runs by position; fold k trains on the runs before run k.
+    Rows are cut into folds + 1 runs by position; fold k trains on the runs before run k.  The placed rows are
+    written once, since sums, totals and errors all read them.
     """
-    placed = W.ordered_position(df.filter(F.col(col).isNotNull()).withColumn("_t", F.unix_timestamp(TIME)), "_t", ["station_id"], name="_p")
+    placed = W.ordered_position(df.select("station_id", TIME, col).filter(F.col(col).isNotNull()).withColumn("_t", F.unix_timestamp(TIME)), "_t", ["station_id"], name="_p")
     n = placed.agg(F.count("*").alias("_n"))
     size = F.floor(F.col("_n") / (folds + 1))
     head = F.col("_n") - size * folds
     run = F.when(F.col("_p") < head, 0).otherwise(F.floor((F.col("_p") - head) / size) + 1)
-    rows = with_scalar(placed, n).select("station_id", F.hour(TIME).alias("hour"), F.col(col).alias("y"), run.alias("run"))
+    rows = stored(with_scalar(placed, n).select("station_id", F.hour(TIME).alias("hour"), F.col(col).alias("y"), run.alias("run")), "folds")
     sums = rows.groupBy("station_id", "hour", "run").agg(F.sum("y").alias("s"), F.count("*").alias("c"))
     at = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")).filter(F.col("run") < F.col("fold"))
     prof = at.groupBy("fold", "station_id", "hour").agg((F.sum("s") / F.sum("c")).alias("p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from hazewell.functions import scalars as S
 from hazewell.operators import joins as J
 from hazewell.operators.scalars_on import with_scalar
+from hazewell.session import stored
 
 TIME = "datetime_utc"
 
@@ -419,11 +421,9 @@ def nearest_neighbour(stations: DataFrame, radii: Sequence[float] = (5.0, 50.0,
     """Distance to the nearest other station.
 
     Rings of growing cells: stations whose neighbour is found inside a ring leave, so the wide rings join
-    only the few isolated stations left.
+    only the few isolated stations left.  Each ring's result is written, so no ring is computed twice.
     """
-    import math
-
-    s = stations.select("station_id", "latitude", "longitude")
+    s = stored(stations.select("station_id", "latitude", "longitude"), "stations")
     left, found = s, None
     for r in radii:
         dlat = r / 110.0
@@ -435,6 +435,7 @@ def nearest_neighbour(stations: DataFrame, radii: Sequence[float] = (5.0, 50.0,
         other = s.select(F.col("station_id").alias("_id"), "latitude", "longitude", a.alias("_a"), o.alias("_o"))
         d = S.haversine(F.col("_la"), F.col("_lo"), F.col("latitude"), F.col("longitude"))
         hit = probe.join(other, ["_a", "_o"]).filter(F.col("station_id") != F.col("_id")).groupBy("station_id").agg(F.min(d).alias("km")).filter(F.col("km") <= r)
+        hit = stored(hit, "nearest")
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select("station_id"), "station_id", "left_anti")
     return found

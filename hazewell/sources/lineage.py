@@ -22,14 +22,18 @@ def lineage_for(log: DataFrame, station_id: int, as_of: str, days: int = 7) -> D
 
 
 def lineage_chain(log: DataFrame, start: DataFrame, depth: int = 12) -> DataFrame:
-    """Every ancestor of the start events up to a depth: one equi-join per level, over the events still climbing."""
+    """Every ancestor of the start events up to a depth.
+
+    Each event carries its path, so a level is one equi-join and nothing is computed twice.  Events that have
+    reached their root join on a spread-out key that matches nothing, not on one shared null.
+    """
     parents = log.select(F.col("event_id").alias("_id"), F.col("parent_event_id").alias("_up"))
-    level = start.select("event_id", F.col("parent_event_id").alias("ancestor")).filter(F.col("ancestor").isNotNull())
-    out = level.withColumn("depth", F.lit(1))
-    for d in range(2, depth + 1):
-        level = level.join(parents, F.col("ancestor") == F.col("_id")).filter(F.col("_up").isNotNull()).select("event_id", F.col("_up").alias("ancestor"))
-        out = out.unionByName(level.withColumn("depth", F.lit(d)))
-    return out
+    none = -1 - F.pmod(F.xxhash64("event_id"), F.lit(1_000_003))
+    rows = start.select("event_id", F.col("parent_event_id").alias("_at")).filter(F.col("_at").isNotNull()).withColumn("_path", F.array("_at"))
+    for _ in range(depth - 1):
+        rows = rows.withColumn("_key", F.coalesce("_at", none)).join(parents, F.col("_key") == F.col("_id"), "left").select(
+            "event_id", F.col("_up").alias("_at"), F.when(F.col("_up").isNull(), F.col("_path")).otherwise(F.array_append("_path", F.col("_up"))).alias("_path"))
+    return rows.select("event_id", F.posexplode("_path").alias("_pos", "ancestor")).select("event_id", "ancestor", (F.col("_pos") + 1).alias("depth"))
 
 
 def upsert_artifact(current: DataFrame, new: DataFrame) -> DataFrame:
