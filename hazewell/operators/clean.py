@@ -113,7 +113,7 @@ def split_by_date(df: DataFrame, first: str, second: str) -> DataFrame:
 
 def split_by_share(df: DataFrame, shares: Sequence[float] = (0.6, 0.2, 0.2)) -> DataFrame:
     """Chronological split by row share over the whole table."""
-    placed = W.ordered_position(df.withColumn("_t", F.unix_timestamp("datetime_utc")), "_t", ["station_id"], name="_p")
+    placed = W.ordered_position(df.withColumn("_t", F.unix_timestamp("datetime_utc")), "_t", ["station_id"], name="_p", levels=2)
     counted = with_scalar(placed, df.agg(F.count("*").alias("_n")))
     a, b = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * (shares[0] + shares[1]))
     part = F.when(F.col("_p") < a, "train").when(F.col("_p") < b, "validation").otherwise("test")

@@ -161,7 +161,7 @@ def expanding_cv(df: DataFrame, folds: int = 5, col: str = "pm25") -> DataFrame:
     Rows are cut into folds + 1 runs by position; fold k trains on the runs before run k.  The placed rows are
     written once, since sums, totals and errors all read them.
     """
-    placed = W.ordered_position(df.select("station_id", TIME, col).filter(F.col(col).isNotNull()).withColumn("_t", F.unix_timestamp(TIME)), "_t", ["station_id"], name="_p")
+    placed = W.ordered_position(df.select("station_id", TIME, col).filter(F.col(col).isNotNull()).withColumn("_t", F.unix_timestamp(TIME)), "_t", ["station_id"], name="_p", levels=2)
     n = placed.agg(F.count("*").alias("_n"))
     size = F.floor(F.col("_n") / (folds + 1))
     head = F.col("_n") - size * folds

@@ -40,7 +40,7 @@ def permutation_importance(model, assembler, df: DataFrame, cols: Sequence[str],
     base = df.dropna(subset=[*cols, target]).select(*keys, *cols, target)
     parts = []
     for r in range(repeats):
-        order = [W.ordered_position(base.withColumn("_h", unit_hash(*keys, F.lit(s))), "_h", list(keys), name="_pos").drop("_h") for s in (f"row{r}", f"donor{r}")]
+        order = [W.ordered_position(base.withColumn("_h", unit_hash(*keys, F.lit(s))), "_h", list(keys), name="_pos", levels=2).drop("_h") for s in (f"row{r}", f"donor{r}")]
         donor = order[1].select("_pos", *[F.col(c).alias(f"_d_{c}") for c in cols])
         parts.append(order[0].join(donor, "_pos").withColumn("repeat", F.lit(r)))
     rows = parts[0]
