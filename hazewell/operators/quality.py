@@ -115,17 +115,22 @@ def diff_gaps(df: DataFrame, hours: float) -> DataFrame:
 # --- validity -------------------------------------------------------------------------------
 
 def check_schema(df: DataFrame, expected: dict[str, T.DataType]) -> DataFrame:
-    """Status of each expected and each extra column."""
+    """Status of each expected and each extra column, with the number of values it holds (one aggregate)."""
     kinds = {T.LongType: "int", T.IntegerType: "int", T.DoubleType: "float", T.FloatType: "float", T.StringType: "text",
              T.TimestampType: "time", T.TimestampNTZType: "time"}
     have = {f.name: kinds.get(type(f.dataType), f.dataType.simpleString()) for f in df.schema.fields}
+
+    def row(name: str, want: str | None, got: str | None, status: str) -> Column:
+        values = F.count(name) if got is not None else F.lit(0)
+        return F.struct(F.lit(name).alias("column"), F.lit(want).alias("expected"), F.lit(got).alias("found"), F.lit(status).alias("status"), values.alias("n_values"))
+
     rows = []
     for name, t in expected.items():
-        want = kinds.get(type(t), t.simpleString())
-        got = have.get(name)
-        rows.append((name, want, got, "missing" if got is None else "ok" if got == want else "wrong type"))
-    rows += [(n, None, k, "extra") for n, k in have.items() if n not in expected]
-    return df.sparkSession.createDataFrame(rows, "column STRING, expected STRING, found STRING, status STRING")
+        want, got = kinds.get(type(t), t.simpleString()), have.get(name)
+        rows.append(row(name, want, got, "missing" if got is None else "ok" if got == want else "wrong type"))
+    rows += [row(n, None, k, "extra") for n, k in have.items() if n not in expected]
+    one = df.agg(*[r.alias(f"_{i}") for i, r in enumerate(rows)])
+    return one.select(F.explode(F.array(*[f"_{i}" for i in range(len(rows))])).alias("r")).select("r.*")
 
 
 def record_quality(raw: DataFrame, low: float = 0, high: float = 1000) -> DataFrame:

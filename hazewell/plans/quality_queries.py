@@ -47,7 +47,11 @@ q("step_gaps", "J6", lambda t: Q.diff_gaps(t.readings, 1), """
 SELECT station_id, p AS gap_from, datetime_utc AS gap_to, date_diff('hour', p, datetime_utc) AS hours
 FROM (SELECT *, lag(datetime_utc) OVER (PARTITION BY station_id ORDER BY datetime_utc) AS p FROM readings) WHERE date_diff('hour', p, datetime_utc) > 1""", "hours")
 EXPECTED = {"event_id": T.LongType(), "value": T.DoubleType(), "unit": T.StringType(), "datetime_utc": T.TimestampType(), "parameter": T.LongType(), "altitude": T.DoubleType()}
-q("schema_check", "J7", lambda t: Q.check_schema(t.raw, EXPECTED))
+CHECKED = [("event_id", "'int'", "'int'", "ok"), ("value", "'float'", "'float'", "ok"), ("unit", "'text'", "'text'", "ok"), ("datetime_utc", "'time'", "'time'", "ok"),
+           ("parameter", "'int'", "'text'", "wrong type"), ("altitude", "'float'", "NULL", "missing")] + [
+    (x, "NULL", k, "extra") for x, k in (("station_id", "'int'"), ("sensor_id", "'int'"), ("latitude", "'float'"), ("longitude", "'float'"), ("quality_flag", "'text'"), ("data_source", "'text'"))]
+q("schema_check", "J7", lambda t: Q.check_schema(t.raw, EXPECTED), " UNION ALL ".join(
+    f"SELECT '{x}' AS \"column\", {w} AS expected, {g} AS found, '{st}' AS status, {'count(' + x + ')' if g != 'NULL' else 'count(*) * 0'} AS n_values FROM raw_meas" for x, w, g, st in CHECKED))
 RQ = """rq AS (SELECT count(*) AS total, count(*) FILTER (WHERE value IS NULL) AS missing, count(*) FILTER (WHERE rn > 1) AS duplicates, count(*) FILTER (WHERE o) AS outliers,
   count(*) FILTER (WHERE value IS NOT NULL AND rn = 1 AND NOT o) AS valid
 FROM (SELECT *, row_number() OVER (PARTITION BY station_id, datetime_utc, parameter ORDER BY event_id) AS rn, coalesce(parameter = 'pm25' AND (value < 0 OR value > 1000), false) AS o FROM raw_meas))"""
