@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder for materialised tables: under the cluster's checkpoint folder, or a fresh local one where none is set."""
+    """A folder for materialised tables under the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, only a session whose executors are threads of this process gets a folder of its own: on a
+    cluster each machine would write to its own disk, and a later read would miss rows.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="hazewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}"
