@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazewell.llm import html_text, robust_rules, shard_table, source_mix, url_filter
+from hazewell.llm import html_text, robust_rules, shard_table, source_mix, token_files, url_filter
 from hazewell.llm.common import table
+from hazewell.session import shared_dir, stored
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +48,20 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_dir(spark, f"token-files-{uuid.uuid4().hex}")
+    files = token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.with_starts(spark, stored(files, "token-files")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op6_source_mix, op10_shard_table)
+    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op6_source_mix, op8_token_files, op10_shard_table)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
