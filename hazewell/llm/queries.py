@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazewell.llm import html_text, robust_rules, shard_table, source_mix, token_files, url_filter
+from hazewell.llm import html_text, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter
 from hazewell.llm.common import table
 from hazewell.session import shared_dir, stored
 
@@ -43,6 +43,10 @@ def op3_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
 
+def op4_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram_leaks.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, taken = source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,7 +65,7 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op6_source_mix, op8_token_files, op10_shard_table)
+    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op6_source_mix, op8_token_files, op10_shard_table)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
