@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazewell.llm import html_text, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter
+from hazewell.llm import html_text, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter, warc
 from hazewell.llm.common import table
 from hazewell.session import shared_dir, stored
 
@@ -52,6 +52,27 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, f"warc-{uuid.uuid4().hex}")
+    stored(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder), "warc-files")
+    records = warc.read(spark, folder)
+    # responses give bytes and digest of the payload that was read; revisits have what their headers say of it
+    size = F.coalesce(F.length("payload").cast("long"), F.col("payload_bytes"))
+    digest = F.coalesce(F.sha2("payload", 256), F.col("payload_digest"))
+    return records.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+digests AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM bodies),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM digests)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +86,7 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op6_source_mix, op8_token_files, op10_shard_table)
+    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op6_source_mix, op7_warc, op8_token_files, op10_shard_table)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL}
