@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazewell.llm import html_text, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter, warc
+from hazewell.llm import html_text, near_dups, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter, warc
 from hazewell.llm.common import table
 from hazewell.session import shared_dir, stored
 
@@ -81,12 +81,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(spark, stored(files, "token-files")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op6_source_mix, op7_warc, op8_token_files, op10_shard_table)
+    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op6_source_mix, op7_warc, op8_token_files, op9_near_dups, op10_shard_table)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL}
