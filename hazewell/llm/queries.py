@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazewell.llm import html_text, near_dups, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter, warc
+from hazewell.llm import backoff_model, html_text, near_dups, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter, warc
 from hazewell.llm.common import table
 from hazewell.session import shared_dir, stored
 
@@ -47,6 +47,11 @@ def op4_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qgram_leaks.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_backoff_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return backoff_model.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, taken = source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -91,7 +96,7 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op6_source_mix, op7_warc, op8_token_files, op9_near_dups, op10_shard_table)
+    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op5_backoff_model, op6_source_mix, op7_warc, op8_token_files, op9_near_dups, op10_shard_table)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL}

@@ -178,7 +178,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return est.select("g", *[F.when(better, F.col(f"a{n}")).otherwise(F.col(f"b{n}")).alias(n) for n in names])
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS, keep_text: bool = False) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
     """Every row with its counts, base_failed, distance and kept (columns of those names give way to them).
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows. kept is false if base_failed, else
@@ -186,10 +186,9 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     has counts of 0 and fails. Null languages and sources form groups of their own. Groups of fewer than ``min_group``
     rows use one estimate of their language's small groups together, and if those are too few, one of all such; where
     even these are too few there is no distance (null) and the row is kept. Rows are neither dropped nor merged.
-    The text itself is left out unless ``keep_text``: counts are written to the shared folder once, texts only if wanted.
+    The text itself is left out: what is kept of each row is written to the shared folder once.
     """
-    counts = _with_vector(df, text, lang, source)
-    counts = stored(counts if keep_text else counts.drop(text), "quality-counts")
+    counts = stored(_with_vector(df, text, lang, source).drop(text), "quality-counts")
     used = counts.filter(~F.col("base_failed"))
     sizes = used.groupBy("_l", "_s").agg(F.count("*").alias("n"))
     per_lang = sizes.filter(F.col("n") < min_group).groupBy("_l").agg(F.sum("n").alias("n_lang"))
@@ -209,3 +208,9 @@ def _with_vector(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
     return rows.withColumns(vector() | {"_l": value(lang), "_s": value(source), "base_failed": failed})
+
+
+def reject(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their own columns, whatever these are called."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    return judge(rows, **options).filter("kept").select("whole.*")
