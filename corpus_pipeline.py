@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazewell.llm import shard_table, source_mix
+from hazewell.llm import near_dups, qgram_leaks, robust_rules, shard_table, source_mix
 from hazewell.session import stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie far from their language and source go."""
+    return robust_rules.reject(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id: five words a shingle, similarity 0.8 or more."""
+    return near_dups.deduplicate(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return qgram_leaks.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target weights: a row for each pass over a document from which the mix takes words."""
     return source_mix.mixed_rows(docs)
@@ -18,9 +33,15 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_table.place(docs)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
-#: The mix rests on hashes and the near-duplicate groups on connected components; tests compare both with brute force.
+#: Estimates of scatter, connected components and hashed orders are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
