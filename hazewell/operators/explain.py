@@ -40,7 +40,7 @@ def permutation_importance(model, assembler, df: DataFrame, cols: Sequence[str],
     base = df.dropna(subset=[*cols, target]).select(*keys, *cols, target)
     parts = []
     for r in range(repeats):
-        order = [W.ordered_position(base.withColumn("_h", unit_hash(*keys, F.lit(s))), "_h", list(keys), name="_pos", levels=2).drop("_h") for s in (f"row{r}", f"donor{r}")]
+        order = [W.ordered_position(base.withColumn("_h", unit_hash(*keys, F.lit(s))), "_h", list(keys), name="_pos").drop("_h") for s in (f"row{r}", f"donor{r}")]
         donor = order[1].select("_pos", *[F.col(c).alias(f"_d_{c}") for c in cols])
         parts.append(order[0].join(donor, "_pos").withColumn("repeat", F.lit(r)))
     rows = parts[0]
@@ -237,14 +237,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
 def isolation_forest(df: DataFrame, cols: Sequence[str], keys: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42) -> list[np.ndarray]:
     """Trees grown on hash-drawn subsamples of about ``size`` rows, one group per tree; the forest is a few hundred numbers per tree.
 
-    On a large table a row serves at most one tree (one hash per row); on a small one it may serve several.
+    A row serves trees * size / n trees on average, whatever n: the whole part for certain, the rest by a hash, in turn
+    from a tree that another hash names; at most every tree once.
     """
-    n = df.count()
-    rows = df.select(*keys, *cols)
-    if n >= trees * size:
-        drawn = rows.filter(unit_hash(*keys, F.lit("draw")) < trees * size / n).withColumn("tree", F.floor(unit_hash(*keys, F.lit("tree")) * trees).cast("int"))
-    else:
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(unit_hash(*keys, F.col("tree")) < min(1.0, size / max(n, 1)))
+    share = with_scalar(df.select(*keys, *cols), df.agg((F.lit(float(trees * size)) / F.greatest(F.count("*"), F.lit(1))).alias("_share")))
+    times = F.least(F.lit(trees), F.floor(F.col("_share") + unit_hash(*keys, F.lit("draw")))).cast("int")
+    first = F.floor(unit_hash(*keys, F.lit("tree")) * trees).cast("int")
+    drawn = share.withColumns({"_times": times, "_first": first}).filter("_times > 0")
+    drawn = drawn.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).select(*keys, *cols, F.pmod(F.col("_first") + F.col("_turn"), F.lit(trees)).alias("tree"))
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -14,6 +14,10 @@ from hazewell.sources import landing
 TIME = "datetime_utc"
 
 
+#: A little less than a degree of latitude has.
+KM_PER_DEGREE = 111.0
+
+
 def join_weather(readings: DataFrame, weather: DataFrame) -> DataFrame:
     """Left join on the rounded hour; no hint, so a small weather table is broadcast by its measured size."""
     r = readings.withColumn("hour", S.round_hour(F.col(TIME)))
@@ -128,28 +132,69 @@ def semi_stations(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("station_id"), "station_id", "left_semi")
 
 
+def _reach(lat, km: float):
+    """Degrees of longitude within which all points at most ``km`` from a point of this latitude lie: 180 where that takes in a pole."""
+    deg = km / KM_PER_DEGREE
+    far = F.degrees(F.asin(F.lit(math.sin(math.radians(min(deg, 90.0)))) / F.cos(F.radians(lat)))) * 1.0001
+    return F.when(F.abs(lat) + deg >= 89.9, F.lit(180.0)).otherwise(F.least(far, F.lit(180.0)))
+
+
+def _band(lat, km: float):
+    return F.floor((lat + 90) / (km / KM_PER_DEGREE)).cast("int")
+
+
+def _slices(band, km: float):
+    """Cells of a latitude band: the circle in equal parts, none narrower than the reach at the band's edge nearest to a pole."""
+    deg = km / KM_PER_DEGREE
+    edge = F.greatest(F.abs(band * deg - 90), F.abs((band + 1) * deg - 90))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / _reach(F.least(edge, F.lit(90.0)), km))).cast("int")
+
+
+def cell_of(lat, lon, km: float):
+    """The cell of a point on a grid for neighbours within ``km``, anywhere on the globe."""
+    band = _band(lat, km)
+    n = _slices(band, km)
+    return F.struct(band.alias("band"), F.pmod(F.floor((lon + 180) / 360 * n).cast("int"), n).alias("slice"))
+
+
+def cells_around(lat, lon, km: float):
+    """All cells that points within ``km`` of a point can lie in: three bands, round the date line and over the poles."""
+    reach, own = _reach(lat, km), _band(lat, km)
+
+    def of(step: int):
+        band = own + step
+        n = _slices(band, km)
+        first, last = F.floor((lon - reach + 180) / 360 * n).cast("int"), F.floor((lon + reach + 180) / 360 * n).cast("int")
+        return F.transform(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda i: F.pmod(i, n))), lambda i: F.struct(band.alias("band"), i.alias("slice")))
+
+    return F.flatten(F.array(*[of(step) for step in (-1, 0, 1)]))
+
+
 def station_pairs(stations: DataFrame, km: float) -> DataFrame:
-    """Pairs of stations at most ``km`` apart, found through latitude/longitude cells of that size.
+    """Pairs of stations at most ``km`` apart, found through cells of that size.
 
     Only stations of touching cells meet, so work follows the number of near pairs, not of all pairs.
     """
     s = stations.select("station_id", "latitude", "longitude")
-    dlat = km / 110.0
-    dlon = dlat / math.cos(math.radians(60))  # cells are wide enough up to 60 degrees of latitude
-    cell = s.withColumns({"_a": F.floor(F.col("latitude") / dlat), "_o": F.floor(F.col("longitude") / dlon)})
-    around = F.explode(F.array(*[F.struct((F.col("_a") + i).alias("a"), (F.col("_o") + j).alias("o")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = cell.select(F.col("station_id").alias("a_id"), F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lon"), around.alias("c")).select(
-        "a_id", "a_lat", "a_lon", F.col("c.a").alias("_a"), F.col("c.o").alias("_o"))
-    right = cell.select(F.col("station_id").alias("b_id"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"), "_a", "_o")
+    lat, lon = F.col("latitude"), F.col("longitude")
+    left = s.select(F.col("station_id").alias("a_id"), lat.alias("a_lat"), lon.alias("a_lon"), F.explode(cells_around(lat, lon, km)).alias("_cell"))
+    right = s.select(F.col("station_id").alias("b_id"), lat.alias("b_lat"), lon.alias("b_lon"), cell_of(lat, lon, km).alias("_cell"))
     dist = S.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return left.join(right, ["_a", "_o"]).filter(F.col("a_id") < F.col("b_id")).select("a_id", "b_id", dist.alias("km")).filter(F.col("km") <= km)
+    return left.join(right, "_cell").filter(F.col("a_id") < F.col("b_id")).select("a_id", "b_id", dist.alias("km")).filter(F.col("km") <= km)
 
 
 def within_radius(stations: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
-    """Stations within a radius, nearest first; a bounding box reaches the scan before the exact distance."""
-    dlat = km / 110.0
-    dlon = dlat / max(0.01, math.cos(math.radians(lat)))
-    box = F.col("latitude").between(lat - dlat, lat + dlat) & F.col("longitude").between(lon - dlon, lon + dlon)
+    """Stations within a radius, nearest first; a bounding box, in two parts at the date line, reaches the scan before the exact distance."""
+    deg = km / KM_PER_DEGREE
+    whole = abs(lat) + deg >= 89.9
+    reach = 180.0 if whole else min(180.0, 1.0001 * math.degrees(math.asin(min(1.0, math.sin(math.radians(min(deg, 90.0))) / math.cos(math.radians(lat))))))
+    box = F.col("latitude").between(lat - deg, lat + deg)
+    if reach < 180.0:
+        x = F.col("longitude")
+        west, east = lon - reach, lon + reach
+        inside = x.between(west, east)
+        inside = inside | (x >= west + 360) if west < -180 else inside
+        box &= inside | (x <= east - 360) if east > 180 else inside
     d = S.haversine(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
     return stations.filter(box).withColumn("km", d).filter(F.col("km") <= km).orderBy("km", "station_id")
 

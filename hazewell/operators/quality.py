@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,10 +51,10 @@ def _at(text: str) -> Column:
 
 
 def completeness(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Expected, actual and percent of hours per station in a closed interval."""
+    """Expected, actual and percent of hours per station in a closed interval; a station without rows in it has 0."""
     expected = (F.unix_timestamp(_at(end)) - F.unix_timestamp(_at(start))) / 3600 + 1
-    inside = df.filter(F.col(TIME).between(_at(start), _at(end)))
-    return inside.groupBy("station_id").agg(F.count("*").alias("actual")).select(
+    inside = F.count_if(F.col(TIME).between(_at(start), _at(end)))
+    return df.groupBy("station_id").agg(inside.alias("actual")).select(
         "station_id", F.floor(expected).alias("expected"), "actual", (F.col("actual") * 100 / F.floor(expected)).alias("percent"))
 
 
@@ -303,24 +302,11 @@ def overall_quality(dims: DataFrame) -> DataFrame:
     return g.select("station_id", "overall", status.alias("status"))
 
 
-# Advice per metric.
-ADVICE = {
-    "completeness": ("check data collection", "monitor data collection"),
-    "consistency": ("review the processing steps", "review data processing"),
-    "accuracy": ("verify sensor calibration", "consider sensor maintenance"),
-    "validity": ("check validation rules", "review validation rules"),
-    "timeliness": ("check data transmission", "check transmission delays"),
-}
-
-
 def quality_advice(dims: DataFrame, overall: DataFrame) -> DataFrame:
-    """Advice per metric that is not good, and one overall line per station."""
-    text = F.lit(None).cast("string")
-    for k, (critical, warning) in ADVICE.items():
-        text = F.when(F.col("metric") == k, F.when(F.col("status") == "critical", critical).otherwise(warning)).otherwise(text)
-    per = dims.filter(F.col("status") != "good").select("station_id", "metric", text.alias("advice"))
+    """A code (metric and status) for each metric that is not good, and one for the whole of each station; texts are the reader's matter."""
+    per = dims.filter(F.col("status") != "good").select("station_id", "metric", F.concat_ws("-", "metric", "status").alias("advice"))
     o = F.col("overall")
-    whole = F.when(o < 0.7, "review the whole system").when(o < 0.9, "acceptable, can be improved").otherwise("excellent")
+    whole = F.when(o < 0.7, "overall-low").when(o < 0.9, "overall-fair").otherwise("overall-high")
     return per.unionByName(overall.select("station_id", F.lit("overall").alias("metric"), whole.alias("advice")))
 
 
@@ -367,10 +353,11 @@ def file_advice(q: DataFrame) -> DataFrame:
 
 
 def sensor_coverage(raw: DataFrame, start: str, end: str) -> DataFrame:
+    """Expected and present hours of every sensor of the table; one without a value in the span misses all."""
     total = F.floor((F.unix_timestamp(_at(end)) - F.unix_timestamp(_at(start))) / 3600)
-    inside = raw.filter((F.col(TIME) >= _at(start)) & (F.col(TIME) < _at(end)))
+    inside = (F.col(TIME) >= _at(start)) & (F.col(TIME) < _at(end))
     missing = F.greatest(F.lit(0), total - F.col("actual"))
-    return inside.groupBy("sensor_id").agg(F.count("value").alias("actual")).select(
+    return raw.groupBy("sensor_id").agg(F.count(F.when(inside, F.col("value"))).alias("actual")).select(
         "sensor_id", total.alias("expected"), "actual", (missing * 100 / total).alias("missing_pct"), (1 - missing / total).alias("score"))
 
 
@@ -422,7 +409,7 @@ def join_quality(joined: DataFrame, matched: str, cols: Sequence[str]) -> DataFr
 
 # --- stations -------------------------------------------------------------------------------
 
-def nearest_neighbour(stations: DataFrame, radii: Sequence[float] = (5.0, 50.0, 500.0, 5000.0, 20040.0)) -> DataFrame:
+def nearest_neighbour(stations: DataFrame, radii: Sequence[float] = (0.5, 5.0, 50.0, 500.0, 5000.0, 20040.0)) -> DataFrame:
     """Distance to the nearest other station.
 
     Rings of growing cells: stations whose neighbour is found inside a ring leave, so the wide rings join
@@ -431,15 +418,10 @@ def nearest_neighbour(stations: DataFrame, radii: Sequence[float] = (5.0, 50.0,
     s = stored(stations.select("station_id", "latitude", "longitude"), "stations")
     left, found = s, None
     for r in radii:
-        dlat = r / 110.0
-        dlon = dlat / math.cos(math.radians(60))
-        a, o = F.floor(F.col("latitude") / dlat), F.floor(F.col("longitude") / dlon)
-        around = F.explode(F.array(*[F.struct((a + i).alias("a"), (o + j).alias("o")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        probe = left.select("station_id", F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), around.alias("c")).select(
-            "station_id", "_la", "_lo", F.col("c.a").alias("_a"), F.col("c.o").alias("_o"))
-        other = s.select(F.col("station_id").alias("_id"), "latitude", "longitude", a.alias("_a"), o.alias("_o"))
+        probe = left.select("station_id", F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.explode(J.cells_around(F.col("latitude"), F.col("longitude"), r)).alias("_cell"))
+        other = s.select(F.col("station_id").alias("_id"), "latitude", "longitude", J.cell_of(F.col("latitude"), F.col("longitude"), r).alias("_cell"))
         d = S.haversine(F.col("_la"), F.col("_lo"), F.col("latitude"), F.col("longitude"))
-        hit = probe.join(other, ["_a", "_o"]).filter(F.col("station_id") != F.col("_id")).groupBy("station_id").agg(F.min(d).alias("km")).filter(F.col("km") <= r)
+        hit = probe.join(other, "_cell").filter(F.col("station_id") != F.col("_id")).groupBy("station_id").agg(F.min(d).alias("km")).filter(F.col("km") <= r)
         hit = stored(hit, "nearest")
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select("station_id"), "station_id", "left_anti")
@@ -479,15 +461,14 @@ def health_score(audit: DataFrame) -> DataFrame:
     return audit.agg(F.avg(s).alias("health"))
 
 
-def diversity(chosen: DataFrame, max_size: int = 100) -> DataFrame:
-    """Spatial diversity of each chosen station set (``set_id``).
+def diversity(chosen: DataFrame) -> DataFrame:
+    """Spatial diversity of each chosen station set (``set_id``), of any size.
 
-    A set is a short list picked for a network; sets above ``max_size`` are refused, since the score needs the
-    distance of every two members.
+    The mean distance of all members is part of the score and has no shorter form, so the cost is the square of a set's
+    size; sets are meant to be short lists picked for a network.
     """
     member = F.struct("station_id", "latitude", "longitude")
-    sets = chosen.groupBy("set_id").agg(F.count("*").alias("n"), F.avg("latitude").alias("clat"), F.avg("longitude").alias("clon"))
-    sized = sets.select("*", F.when(F.col("n") > max_size, F.raise_error(F.lit("station set too large"))).otherwise(F.lit(1)).alias("_ok")).filter("_ok = 1")
+    sized = chosen.groupBy("set_id").agg(F.count("*").alias("n"), F.avg("latitude").alias("clat"), F.avg("longitude").alias("clon"))
     cent = chosen.join(sized, "set_id").select("set_id", S.haversine(F.col("latitude"), F.col("longitude"), F.col("clat"), F.col("clon")).alias("d"))
     spread = cent.groupBy("set_id").agg(F.var_pop("d").alias("spread"))
     a = chosen.join(sized.select("set_id"), "set_id").select("set_id", member.alias("a"))

@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one buffer, so it is used only where a
 group is bounded (one station's hours).  For larger groups the quantile is bracketed first by a
 bounded-size sketch, and only the values inside the bracket are counted and ordered; a group of
-at most ``ACCURACY`` rows is its own bracket.
+at most ``ACCURACY`` rows is its own bracket. Brackets, one row a group, are broadcast if they are few.
 """
 
 from __future__ import annotations
@@ -13,19 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazewell.session import bounded_broadcast
+
 ACCURACY = 100_000  # rank error of the sketch is at most n / ACCURACY
-MARGIN = 2.0 / ACCURACY
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Rows (keys, prob, quantile) with linear interpolation between neighbouring values."""
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    lo_p = [max(0.0, p - MARGIN) for p in probs]
-    hi_p = [min(1.0, p + MARGIN) for p in probs]
+    margin = 2.0 / ACCURACY
+    lo_p = [max(0.0, p - margin) for p in probs]
+    hi_p = [min(1.0, p + margin) for p in probs]
     br = data.groupBy(*keys).agg(
         F.percentile_approx("_v", [*lo_p, *hi_p], ACCURACY).alias("_b"), F.count("*").alias("_n")
     )
-    joined = data.join(br, list(keys)) if keys else data.crossJoin(F.broadcast(br))
+    joined = data.join(bounded_broadcast(br), list(keys)) if keys else data.crossJoin(F.broadcast(br))
     k = len(probs)
     slots = F.array(
         *[

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazewell.functions import scalars as S
+from hazewell.operators.quantiles import exact_quantiles
 
 KINDS = ["multiplicative", "ratio", "difference", "polynomial", "log_ratio"]
 
@@ -34,7 +35,9 @@ def distance_weights(stations: DataFrame, lat: float, lon: float) -> DataFrame:
 def interactions(df: DataFrame, a: str, b: str, keys, kinds=tuple(KINDS)) -> DataFrame:
     """All pair features; gaps take the column median."""
     made = df.select(*keys, *[S.interact(F.col(a), F.col(b), k).alias(k) for k in kinds])
-    meds = made.agg(*[F.percentile(k, 0.5).alias(f"med_{k}") for k in kinds])
+    long = made.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("x")) for k in kinds])).alias("c")).select("c.*")
+    q = exact_quantiles(long, "x", [0.5], ["kind"])
+    meds = q.agg(*[F.max(F.when(F.col("kind") == k, F.col("quantile"))).alias(f"med_{k}") for k in kinds])
     return with_scalar(made, meds).select(*keys, *[F.coalesce(k, f"med_{k}", F.lit(0.0)).alias(k) for k in kinds])
 
 

@@ -18,12 +18,11 @@ from pyspark.sql import types as T
 
 from hazewell.functions import scalars as S
 from hazewell.operators.scalars_on import with_scalar
+from hazewell.session import stored
 
 KEYS = ("station_id",)
 TIME = "datetime_utc"
 SEGMENT_ROWS = 1_000_000
-ORDER_BUCKETS = 1024
-ORDER_LEVELS = 3
 ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
@@ -224,49 +223,30 @@ def row_position(df: DataFrame, keys=KEYS) -> DataFrame:
     return df.withColumn("position", F.row_number().over(ordered(keys)) - 1)
 
 
-def _as_number(df: DataFrame, col: str) -> Column:
-    """A number in the order of the column (text by its first six bytes); equal numbers are allowed."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.encode(F.col(col), "UTF-8")), 12, "0"), 16, 10).cast("double")
-    return F.col(col).cast("double")
+def ordered_position(df: DataFrame, value: str, ties: Sequence[str], keys: Sequence[str] = (), descending: bool = False, name: str = "position") -> DataFrame:
+    """0-based position of every row in Spark's order of ``value`` (then ``ties``), per key or over the whole table.
 
-
-def ordered_position(df: DataFrame, value: str, ties: Sequence[str], keys: Sequence[str] = (), descending: bool = False, name: str = "position", levels: int = ORDER_LEVELS) -> DataFrame:
-    """0-based position of every row in the order of ``value`` (then ``ties``), per key or over the whole table.
-
-    Rows are cut into ordered buckets; bucket counts give the offset and only rows of one bucket are ordered
-    together, so no task sees the whole table.  Each level cuts every bucket by the range of its values or, where
-    they are all equal, by the range of the first tie column: uneven values and a value shared by a third of the
-    rows are both split.  Evenly spread orders (a hash, a calendar) need fewer ``levels``.
+    One range exchange on (keys, value, ties) deals the rows out in order, cut at sampled values of these very columns:
+    one value or key that holds a third of the rows is split by its ties. The dealt rows are written once, so that the
+    counts per range, which give the offsets, and the numbering inside each range see the same cuts.
     """
-    x = _as_number(df, value)
-    base = df.withColumns({"_x": -x if descending else x, "_y": _as_number(df, ties[0]), "_b": F.lit(0).cast("bigint")})
-    for _ in range(levels):
-        lim = base.groupBy(*keys, "_b").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.min("_y").alias("_ylo"), F.max("_y").alias("_yhi"))
-        by_value = F.col("_hi") > F.col("_lo")
-        at = F.when(by_value, F.col("_x") - F.col("_lo")).otherwise(F.col("_y") - F.col("_ylo"))
-        width = F.when(by_value, F.col("_hi") - F.col("_lo")).otherwise(F.col("_yhi") - F.col("_ylo"))
-        cut = F.when(width > 0, F.least(F.floor(F.try_divide(at, width) * ORDER_BUCKETS), F.lit(ORDER_BUCKETS - 1))).otherwise(0)
-        base = base.join(lim, [*keys, "_b"]).withColumn("_b", F.col("_b") * ORDER_BUCKETS + cut).drop("_lo", "_hi", "_ylo", "_yhi")
-    counts = base.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    top = F.floor(F.col("_b") / ORDER_BUCKETS ** (levels - 1))
-    # offsets in two steps: of the first-level bucket, then inside it, so no window holds all bucket counts
-    outer = counts.groupBy(*keys, top.alias("_b1")).agg(F.sum("_c").alias("_c1"))
-    before = Window.partitionBy(*keys).orderBy("_b1") if keys else Window.orderBy("_b1")  # at most ORDER_BUCKETS rows
-    outer = outer.withColumn("_off1", F.coalesce(F.sum("_c1").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c1")
-    within = Window.partitionBy(*keys, "_b1").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_b1", top).join(outer, [*keys, "_b1"]).select(
-        *keys, "_b", (F.col("_off1") + F.coalesce(F.sum("_c").over(within), F.lit(0))).alias("_off"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_x", *ties)
-    return base.join(offsets, [*keys, "_b"]).withColumn(name, F.col("_off") + F.row_number().over(inside) - 1).select(*df.columns, name)
+    order = [F.col(value).desc() if descending else F.col(value).asc(), *[F.col(t).asc() for t in ties]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_range"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    same = F.col("_part") == F.col("_range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    numbered = dealt.withColumn("_rn", F.row_number().over(inside) - 1)
+    return numbered.join(offsets, same).withColumn(name, F.col("_off") + F.col("_rn")).select(*df.columns, name)
 
 
 def global_position(df: DataFrame) -> DataFrame:
     """Position over all stations in the order (station, time)."""
-    return ordered_position(df, "station_id", [TIME], name="global_position", levels=2)
+    return ordered_position(df, "station_id", [TIME], name="global_position")
 
 
 def in_segments(df: DataFrame, op: Callable[..., DataFrame], back: int, ahead: int = 0, segment_rows: int = SEGMENT_ROWS, bucket: str = "day") -> DataFrame:

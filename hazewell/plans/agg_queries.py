@@ -13,12 +13,8 @@ ASOF = "2024-01-31 00:00:00"
 METHODS = ["click", "error", "purchase", "signup", "view"]
 
 
-def _holed_rain(t):
-    return t.rain_half.filter("precipitation_mm_30min < 1.2")
-
-
-q("resample_hourly", "D1", lambda t: A.resample_hourly(_holed_rain(t)), """
-WITH h AS (SELECT * FROM rain_half WHERE precipitation_mm_30min < 1.2),
+q("resample_hourly", "D1", lambda t: A.resample_hourly(t.rain_half), """
+WITH h AS (SELECT * FROM rain_half),
 s AS (SELECT date_trunc('hour', datetime_utc) AS hr, sum(precipitation_mm_30min) AS p, avg(valid_pixels) AS v, avg(total_pixels) AS t FROM h GROUP BY 1),
 g AS (SELECT unnest(generate_series(date_trunc('hour', min(datetime_utc)), max(datetime_utc), INTERVAL 1 HOUR)) AS datetime_utc FROM h)
 SELECT datetime_utc, coalesce(p, 0) AS precipitation_mm_hourly, v AS valid_pixels, t AS total_pixels FROM g LEFT JOIN s ON hr = datetime_utc""",

@@ -89,15 +89,14 @@ q("target_correlations", "N16", lambda t: N.target_corr(N.target_errors(t.raw),
 WITH {TE}, w AS (SELECT max(y) FILTER (WHERE target = 'pm25') AS pm25, max(y) FILTER (WHERE target = 'pm10') AS pm10, max(y) FILTER (WHERE target = 'no2') AS no2 FROM te GROUP BY station_id, datetime_utc)
 SELECT 'pm25' AS a, 'pm10' AS b, corr(pm25, pm10) AS r FROM w UNION ALL SELECT 'pm25', 'no2', corr(pm25, no2) FROM w UNION ALL SELECT 'pm10', 'no2', corr(pm10, no2) FROM w""", "r")
 EN = """me AS (SELECT *, abs(y - mean) / (sigma + 1e-8) AS score FROM (SELECT station_id, target_ts, max(y) AS y, avg(yhat) AS mean, quantile_cont(yhat, 0.5) AS median, stddev_pop(yhat) AS sigma,
-   quantile_cont(yhat, 0.75) - quantile_cont(yhat, 0.25) AS iqr FROM forecasts WHERE model <> 'none' GROUP BY 1, 2 HAVING count(*) = 3)),
+   quantile_cont(yhat, 0.75) - quantile_cont(yhat, 0.25) AS iqr FROM forecasts WHERE model <> 'none' GROUP BY 1, 2)),
 k AS (SELECT quantile_cont(score, 0.05) AS lo, quantile_cont(score, 0.95) AS hi, quantile_cont(score, 0.9) AS cc, count(*) FILTER (WHERE score <= 1) + 1 AS a, count(*) FILTER (WHERE score > 1) + 1 AS b FROM me),
 ec AS (SELECT station_id, target_ts, y, mean, median, sigma, iqr, mean - sigma * lo AS q_lower, mean + sigma * hi AS q_upper, mean - sigma * cc AS c_lower, mean + sigma * cc AS c_upper,
    mean - 1.96 * sigma * (1 + sqrt(a * b / (pow(a + b, 2) * (a + b + 1)))) AS b_lower, mean + 1.96 * sigma * (1 + sqrt(a * b / (pow(a + b, 2) * (a + b + 1)))) AS b_upper, a / (a + b) AS b_mean FROM me, k)"""
 
 
 def _members(t):
-    full = t.forecasts.groupBy("station_id", "target_ts").agg(F.count("*").alias("k")).filter("k = 3").select("station_id", "target_ts")
-    return N.ensemble_members(t.forecasts.join(full, ["station_id", "target_ts"], "left_semi"))
+    return N.ensemble_members(t.forecasts)
 
 
 q("ensemble_bands", "N17", lambda t: N.ensemble_calibrate(_members(t)), f"WITH {EN} SELECT * FROM ec", "y mean median sigma iqr q_lower q_upper c_lower c_upper b_lower b_upper b_mean")

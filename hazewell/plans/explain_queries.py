@@ -56,7 +56,7 @@ def _scenarios(t):
 q("generated_scenarios", "O7", _scenarios)
 q("sensitivity", "O8", lambda t: O.sensitivity(*_model(t), O.last_rows(t.met, COLS), COLS))
 q("counterfactuals", "O9", lambda t: O.counterfactuals(*_model(t), O.last_rows(t.met, COLS), COLS))
-q("anomalies", "O10", lambda t: O.anomalies(t.met, ["pm25", "wind_speed", "blh", "t2m_celsius"], KEYS, trees=50))
+q("anomalies", "O10", lambda t: O.anomalies(t.met, ["pm25", "wind_speed", "blh", "t2m_celsius"], KEYS))
 
 q("rolling_user_function", "U1", lambda t: U.rolling_apply(t.holed, "pm25", 12, lambda v: float(np.max(v) - np.min(v)), least=6, name="spread").select(*KEYS, "spread"), """
 SELECT station_id, datetime_utc, CASE WHEN count(pm25) OVER w >= 6 THEN max(pm25) OVER w - min(pm25) OVER w END AS spread FROM holed

@@ -153,7 +153,7 @@ q("error_trend", "L24", lambda t: L.error_trend(t.errors), """
 SELECT model, station_id, recent, older, CASE WHEN n < 10 THEN 'insufficient_data' WHEN recent < older * 0.9 THEN 'improving' WHEN recent > older * 1.1 THEN 'degrading' ELSE 'stable' END AS trend FROM (
   SELECT model, station_id, avg(abs(err)) FILTER (WHERE rn <= 10) AS recent, avg(abs(err)) FILTER (WHERE rn > 10) AS older, count(*) AS n
   FROM (SELECT *, row_number() OVER (PARTITION BY model, station_id ORDER BY target_ts DESC) AS rn FROM errors) WHERE rn <= 20 GROUP BY 1, 2)""", "recent older")
-q("forest_forecast", "L25", lambda t: L.predict_forest(t.met, ["u10", "v10", "t2m_celsius", "blh", "wind_speed"], "pm25", "2024-01-25", trees=20, depth=5))
+q("forest_forecast", "L25", lambda t: L.predict_forest(t.met, ["u10", "v10", "t2m_celsius", "blh", "wind_speed"], "pm25", "2024-01-25", trees=100, depth=10))
 q("deviation_quantiles", "L26", lambda t: L.std_quantiles(t.forecasts), """
 WITH d AS (SELECT model, station_id, stddev_pop(yhat) AS d FROM forecasts GROUP BY 1, 2)
 SELECT model, station_id, target_ts, k AS quantile, yhat + d * 2 * (k - 0.5) AS value FROM forecasts JOIN d USING (model, station_id), (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS k)""", "quantile value")
@@ -168,5 +168,5 @@ q("optimised_weights", "L29", lambda t: L.optimise_weights(L.performance_records
 WITH {PR}, m AS (SELECT model, 1 / (avg(mae) + 1e-6) * (1 - abs(avg(coverage) - 0.9)) AS raw FROM pr GROUP BY 1),
 p AS (SELECT model, (1 / (avg(abs(err)) + 0.001)) AS i FROM errors GROUP BY 1)
 SELECT model, raw / sum(raw) OVER () AS optimal, 0.9 * i / sum(i) OVER () + 0.1 * raw / sum(raw) OVER () AS weight FROM m JOIN p USING (model)""", "optimal weight")
-q("validation_weights", "L30", lambda t: L.inverse_error_weights(t.errors.filter("model <> 'daily'"), 1e-8, ["station_id"]), """
-SELECT *, (1 / (mae + 1e-8)) / sum(1 / (mae + 1e-8)) OVER (PARTITION BY station_id) AS weight FROM (SELECT station_id, model, avg(abs(err)) AS mae FROM errors WHERE model <> 'daily' GROUP BY 1, 2)""", "mae weight")
+q("validation_weights", "L30", lambda t: L.inverse_error_weights(t.errors, 1e-8, ["station_id"]), """
+SELECT *, (1 / (mae + 1e-8)) / sum(1 / (mae + 1e-8)) OVER (PARTITION BY station_id) AS weight FROM (SELECT station_id, model, avg(abs(err)) AS mae FROM errors GROUP BY 1, 2)""", "mae weight")

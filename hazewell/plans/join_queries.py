@@ -12,16 +12,16 @@ from hazewell.plans.scalar_queries import HAV
 
 c = F.col
 
-q("join_weather", "C1", lambda t: J.join_weather(t.readings, t.weather.filter("blh > 400")), """
-SELECT r.*, w.* EXCLUDE (datetime_utc) FROM readings r LEFT JOIN (SELECT * FROM weather WHERE blh > 400) w ON r.datetime_utc = w.datetime_utc""",
+q("join_weather", "C1", lambda t: J.join_weather(t.readings, t.weather), """
+SELECT r.*, w.* EXCLUDE (datetime_utc) FROM readings r LEFT JOIN weather w ON r.datetime_utc = w.datetime_utc""",
   "pm25 u10 v10 t2m_celsius blh wind_speed wind_direction")
-q("join_rain", "C2", lambda t: J.join_rain(t.readings.withColumn("valid_pixels", F.lit(1)), t.rain.filter("precipitation_mm_hourly > 1.5")), """
+q("join_rain", "C2", lambda t: J.join_rain(t.readings.withColumn("valid_pixels", F.lit(1)), t.rain), """
 SELECT r.*, 1 AS valid_pixels, p.precipitation_mm_hourly, p.valid_pixels AS valid_pixels_rain, p.total_pixels FROM readings r
-LEFT JOIN (SELECT * FROM rain WHERE precipitation_mm_hourly > 1.5) p ON r.datetime_utc = p.datetime_utc""",
+LEFT JOIN rain p ON r.datetime_utc = p.datetime_utc""",
   "pm25 precipitation_mm_hourly valid_pixels_rain total_pixels")
 q("nearest_within_tolerance", "C3", lambda t: J.asof_nearest(
-    t.events.select("event_id", c("ts").alias("datetime_utc")), t.rain_half.filter("precipitation_mm_30min > 0.8"), 900, "precipitation_mm_30min"), """
-WITH b AS (SELECT datetime_utc AS bt, precipitation_mm_30min AS v FROM rain_half WHERE precipitation_mm_30min > 0.8),
+    t.events.select("event_id", c("ts").alias("datetime_utc")), t.rain_half, 900, "precipitation_mm_30min"), """
+WITH b AS (SELECT datetime_utc AS bt, precipitation_mm_30min AS v FROM rain_half),
 n AS (SELECT e.event_id, e.ts, b.v, epoch_us(bt) - epoch_us(ts) AS off, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(bt) - epoch_us(ts)), bt) AS rn
       FROM ev e LEFT JOIN b ON bt BETWEEN ts - INTERVAL 15 MINUTE AND ts + INTERVAL 15 MINUTE)
 SELECT event_id, ts AS datetime_utc, v AS precipitation_mm_30min_near, off / 1000000 AS offset_seconds FROM n WHERE rn = 1""",

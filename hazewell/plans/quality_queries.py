@@ -19,7 +19,7 @@ grid AS (SELECT station_id, slot FROM (SELECT DISTINCT station_id FROM sparse),
 miss AS (SELECT g.station_id, g.slot FROM grid g LEFT JOIN sparse s ON s.station_id = g.station_id AND s.datetime_utc = g.slot WHERE s.station_id IS NULL),
 isl AS (SELECT station_id, slot, slot - row_number() OVER (PARTITION BY station_id ORDER BY slot) * INTERVAL 1 HOUR AS k FROM miss),
 gap AS (SELECT station_id, min(slot) AS gap_start, max(slot) AS gap_end, count(*) AS slots, CAST(count(*) AS DOUBLE) AS hours FROM isl GROUP BY station_id, k)"""
-COMP = f"""comp AS (SELECT station_id, count(*) AS actual, 720 AS expected, count(*) * 100 / 720 AS percent FROM sparse WHERE datetime_utc BETWEEN {TS} AND {TE} GROUP BY 1)"""
+COMP = f"""comp AS (SELECT station_id, actual, 720 AS expected, actual * 100 / 720 AS percent FROM (SELECT station_id, count(*) FILTER (WHERE datetime_utc BETWEEN {TS} AND {TE}) AS actual FROM sparse GROUP BY 1))"""
 IMPACT = "CASE WHEN hours <= 3 THEN '{a}' WHEN hours <= 12 THEN '{b}' WHEN hours <= 48 THEN 'high' ELSE 'critical' END"
 
 
@@ -120,10 +120,9 @@ OVER = """o AS (SELECT station_id, overall, CASE WHEN nc > 0 THEN 'critical' WHE
     count(*) FILTER (WHERE status = 'critical') AS nc, count(*) FILTER (WHERE status = 'warning') AS nw FROM dims GROUP BY 1))"""
 q("quality_dimensions", "J18", _dims, f"WITH {DIMS} SELECT * FROM dims", "value")
 q("overall_quality", "J19", lambda t: Q.overall_quality(_dims(t)), f"WITH {DIMS}, {OVER} SELECT * FROM o", "overall")
-ADV = " ".join(f"WHEN '{k}' THEN CASE WHEN status = 'critical' THEN '{a}' ELSE '{b}' END" for k, (a, b) in Q.ADVICE.items())
 q("quality_advice", "J20", lambda t: Q.quality_advice(_dims(t), Q.overall_quality(_dims(t))), f"""
-WITH {DIMS}, {OVER} SELECT station_id, metric, CASE metric {ADV} END AS advice FROM dims WHERE status <> 'good'
-UNION ALL SELECT station_id, 'overall', CASE WHEN overall < 0.7 THEN 'review the whole system' WHEN overall < 0.9 THEN 'acceptable, can be improved' ELSE 'excellent' END FROM o""")
+WITH {DIMS}, {OVER} SELECT station_id, metric, metric || '-' || status AS advice FROM dims WHERE status <> 'good'
+UNION ALL SELECT station_id, 'overall', CASE WHEN overall < 0.7 THEN 'overall-low' WHEN overall < 0.9 THEN 'overall-fair' ELSE 'overall-high' END FROM o""")
 
 
 def _file_quality(t):
@@ -145,8 +144,8 @@ fq AS (SELECT *, 0.4 * greatest(0, 1 - null_pct / 100) + 0.3 * greatest(0, 1 - d
    + 0.3 * CASE WHEN span_days > 0 THEN greatest(0, least(1, span_days / 30) - least(1, gaps / 100)) ELSE 0 END AS score FROM mq)"""
 q("file_quality", "J21", _file_quality, f"WITH {FQ} SELECT * FROM fq", "null_pct dup_pct outlier_pct score")
 q("sensor_coverage", "J22", lambda t: Q.sensor_coverage(t.raw, S, ASOF), f"""
-SELECT sensor_id, 720 AS expected, count(value) AS actual, greatest(0, 720 - count(value)) * 100 / 720 AS missing_pct, 1 - greatest(0, 720 - count(value)) / 720 AS score
-FROM raw_meas WHERE datetime_utc >= {TS} AND datetime_utc < {TA} GROUP BY 1""", "missing_pct score")
+SELECT sensor_id, 720 AS expected, n AS actual, greatest(0, 720 - n) * 100 / 720 AS missing_pct, 1 - greatest(0, 720 - n) / 720 AS score
+FROM (SELECT sensor_id, count(value) FILTER (WHERE datetime_utc >= {TS} AND datetime_utc < {TA}) AS n FROM raw_meas GROUP BY 1)""", "missing_pct score")
 VARS = ["u10", "v10", "t2m_celsius", "blh"]
 
 
@@ -175,12 +174,12 @@ SELECT station_id, least(1.0, greatest(0.0, 0.3 * (1 - count(*) FILTER (WHERE pm
 
 def _joined(t):
     from hazewell.operators import joins as J
-    return J.join_rain(J.join_weather(t.readings, t.weather), t.rain.filter("precipitation_mm_hourly > 1.5"))
+    return J.join_rain(J.join_weather(t.readings, t.weather), t.rain)
 
 
 q("join_quality", "J25", lambda t: Q.join_quality(_joined(t), "blh", ["u10", "v10", "blh", "precipitation_mm_hourly"]), """
 SELECT 1.0 AS matched, n AS null_share, 1 - n AS quality FROM (SELECT avg(CASE WHEN p.datetime_utc IS NULL THEN 1 ELSE 0 END) / 4 AS n FROM readings r
-LEFT JOIN (SELECT * FROM rain WHERE precipitation_mm_hourly > 1.5) p USING (datetime_utc))""", "matched null_share quality")
+LEFT JOIN rain p USING (datetime_utc))""", "matched null_share quality")
 PAIRKM = HAV.format(a1="a.latitude", a2="a.longitude", b1="b.latitude", b2="b.longitude")
 NN = f"nn AS (SELECT a.station_id, min({PAIRKM}) AS km FROM stations a JOIN stations b ON a.station_id <> b.station_id GROUP BY 1)"
 AUDIT = f"""{NN}, m AS (SELECT count(*) AS n, avg(quality_score) AS qm, max(quality_score) - min(quality_score) AS qr,

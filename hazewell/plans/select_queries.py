@@ -68,17 +68,17 @@ WITH y AS (SELECT u10, blh, {_bins('pm25')} AS yb, {_bins('u10')} AS bu, {_bins(
 j AS (SELECT 'u10' AS feature, bu AS bx, yb, count(*) AS n FROM y GROUP BY ALL UNION ALL SELECT 'blh', bb, yb, count(*) FROM y GROUP BY ALL),
 p AS (SELECT *, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, yb) AS ny, sum(n) OVER (PARTITION BY feature) AS nt FROM j)
 SELECT feature, sum(n / nt * ln(n * nt / (nx * ny))) AS score FROM p GROUP BY 1""", "score")
-q("tree_scores", "K14", lambda t: K.tree_score(t.met, BASE, "pm25", trees=20, depth=5))
+q("tree_scores", "K14", lambda t: K.tree_score(t.met, BASE, "pm25", trees=100, depth=10))
 q("combined_scores", "K15", lambda t: K.combine_scores(t.scores), """
 SELECT feature, avg(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) WHEN score > 0 THEN 1 ELSE 0 END) AS score
 FROM scores JOIN (SELECT method, min(score) AS lo, max(score) AS hi FROM scores GROUP BY 1) USING (method) GROUP BY 1""", "score")
 KIND = {"multiplicative": "{a} * {b}", "ratio": "{a} / ({b} + 1e-8)", "difference": "{a} - {b}", "polynomial": "{a} * {a} + {b} * {b}",
         "log_ratio": "CASE WHEN {a} > 0 AND {b} > 0 THEN ln({a} + 1) - ln({b} + 1) END"}
 IC = ["u10", "t2m_celsius", "blh", "wind_speed"]
-q("find_interactions", "K16", lambda t: K.find_interactions(t.met, IC, "v10", top=12), """
+q("find_interactions", "K16", lambda t: K.find_interactions(t.met, IC, "v10", top=20), """
 SELECT a, b, kind, abs(r) AS score, n FROM (""" + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, '{k}' AS kind, corr({e.format(a=a, b=b)}, v10) AS r, count({e.format(a=a, b=b)}) AS n FROM met" for a, b in combinations(IC, 2) for k, e in KIND.items()) + """)
-WHERE abs(r) >= 0.1 AND n > 10 AND abs(r) * sqrt((n - 2) / (1 - r * r)) > 1.96 ORDER BY score DESC, a, b, kind LIMIT 12""", "score")
+WHERE abs(r) >= 0.1 AND n > 10 AND abs(r) * sqrt((n - 2) / (1 - r * r)) > 1.96 ORDER BY score DESC, a, b, kind LIMIT 20""", "score")
 q("domain_interactions", "K17", lambda t: K.domain_interactions(t.met, KEYS), """
 SELECT station_id, datetime_utc, wind_speed * blh AS wind_speed_x_blh, t2m_celsius * wind_speed AS t2m_celsius_x_wind_speed, blh / (t2m_celsius + 1e-8) AS blh_div_t2m_celsius FROM met""",
   "wind_speed_x_blh t2m_celsius_x_wind_speed blh_div_t2m_celsius")

@@ -46,14 +46,18 @@ q("read_optional_rain", "A3", _optional_rain,
 q("write_partitioned", "A4", lambda t: _round_trip(t, t.readings, R.write_partitioned, "parts").groupBy("station_id", "year", "month").agg(
     F.count("*").alias("n"), F.sum("pm25").alias("total")), """
 SELECT station_id, year(datetime_utc) AS year, month(datetime_utc) AS month, count(*) AS n, sum(pm25) AS total FROM readings GROUP BY 1, 2, 3""", "total")
-q("combine_targets", "A5", lambda t: R.combine_targets(t.raw).select("station_id", "datetime_utc", "parameter", "value", "event_id"), """
+q("combine_targets", "A5", lambda t: R.combine_targets(_round_trip(t, t.raw, R.write_partitioned, "targets")).select("station_id", "datetime_utc", "parameter", "value", "event_id"), """
 SELECT station_id, datetime_utc, parameter, min_by(value, event_id) AS value, min(event_id) AS event_id FROM raw_meas WHERE value IS NOT NULL GROUP BY 1, 2, 3""", "value")
 q("write_compact", "A6", lambda t: _round_trip(t, t.met, lambda d, p: R.write_compact(d, p, keep=("pm25",)), "compact").select(
     "station_id", "datetime_utc", "pm25", "blh", F.typeof("blh").alias("blh_type"), F.typeof("station_id").alias("id_type")), """
 SELECT station_id, datetime_utc, pm25, blh, 'float' AS blh_type, 'int' AS id_type FROM met""", "pm25 blh")
-q("validate_files", "A7", lambda t: R.validate_dataset(t.spark, [t.path(n) for n in ("events",)]), """
-SELECT 'events.parquet' AS file, count(*) AS n_rows, count(*) > 0 AS valid FROM events""")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+NEEDED = {"events.parquet": ["event_id", "ts", "user_id", "event_type", "value", "props"], "orders.parquet": ["o_orderkey", "o_orderdate"], "documents.parquet": ["doc_id", "text", "lang", "source", "n_chars"]}
+q("validate_files", "A7", lambda t: R.validate_dataset(t.spark, [t.path(n) for n in TABLES], NEEDED).groupBy("table").agg(
+    F.sum("n_rows").alias("n_rows"), F.every("valid").alias("valid")), " UNION ALL ".join(
+    f"SELECT '{n}.parquet' AS \"table\", count(*) AS n_rows, count(*) > 0 AS valid FROM {n}" for n in TABLES))
 q("scan_inventory", "A8", lambda t: R.scan_inventory(t.spark, t.folder, "*.parquet"))
+q("file_inventory", "A8 files", lambda t: R.file_inventory(t.spark, t.folder))
 q("file_hash", "A9", lambda t: R.file_hash(t.spark, t.folder))
 q("match_schema", "A10", lambda t: R.match_schema(
     t.locations.select(F.from_json("doc", "id BIGINT").getField("id").alias("id"), F.json_object_keys("doc").alias("keys")), "keys").drop("keys"), """

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,6 +46,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def bounded_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The frame written once, and marked for broadcast if it has ``most`` rows or fewer; beyond, joins with it shuffle and adaptive execution splits hot keys."""
+    kept = stored(df, "side")
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a written table: work done once where a plan needs them several times."""
     path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazewell.session import stored
 from hazewell.sources.readers import latest_per_key
 
 
@@ -21,19 +22,24 @@ def lineage_for(log: DataFrame, station_id: int, as_of: str, days: int = 7) -> D
     return log.filter((F.col("station_id") == station_id) & _since(as_of, days)).orderBy("ts", "event_id")
 
 
-def lineage_chain(log: DataFrame, start: DataFrame, depth: int = 12) -> DataFrame:
-    """Every ancestor of the start events up to a depth.
+def lineage_chain(log: DataFrame, start: DataFrame) -> DataFrame:
+    """Every ancestor of the start events with its distance, however deep.
 
-    Each event carries its path, so a level is one equi-join and nothing is computed twice.  Events that have
-    reached their root join on a spread-out key that matches nothing, not on one shared null.
+    Pointers double: a round joins all ancestors found so far with pointers that reach as far as they do, so a chain of
+    depth d takes log2(d) rounds of two equi-joins. Rounds are written once. A cycle raises an error.
     """
-    parents = log.select(F.col("event_id").alias("_id"), F.col("parent_event_id").alias("_up"))
-    none = -1 - F.pmod(F.xxhash64("event_id"), F.lit(1_000_003))
-    rows = start.select("event_id", F.col("parent_event_id").alias("_at")).filter(F.col("_at").isNotNull()).withColumn("_path", F.array("_at"))
-    for _ in range(depth - 1):
-        rows = rows.withColumn("_key", F.coalesce("_at", none)).join(parents, F.col("_key") == F.col("_id"), "left").select(
-            "event_id", F.col("_up").alias("_at"), F.when(F.col("_up").isNull(), F.col("_path")).otherwise(F.array_append("_path", F.col("_up"))).alias("_path"))
-    return rows.select("event_id", F.posexplode("_path").alias("_pos", "ancestor")).select("event_id", "ancestor", (F.col("_pos") + 1).alias("depth"))
+    jump = stored(log.filter(F.col("parent_event_id").isNotNull()).select(F.col("event_id").alias("_id"), F.col("parent_event_id").alias("_up")), "parents")
+    edges, step = jump.count(), 1
+    found = stored(start.filter(F.col("parent_event_id").isNotNull()).select("event_id", F.col("parent_event_id").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    while True:
+        more = stored(found.join(jump, F.col("ancestor") == F.col("_id")).select("event_id", F.col("_up").alias("ancestor"), (F.col("depth") + step).alias("depth")), "ancestors")
+        if more.isEmpty():
+            return found
+        if step > edges:
+            raise ValueError("the log has a cycle of parents")
+        found, step = found.unionByName(more), 2 * step
+        further = jump.select("_id", F.col("_up").alias("_mid")).join(jump.select(F.col("_id").alias("_mid"), "_up"), "_mid").select("_id", "_up")
+        jump = stored(further, "parents")
 
 
 def upsert_artifact(current: DataFrame, new: DataFrame) -> DataFrame:

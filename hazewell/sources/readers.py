@@ -76,12 +76,51 @@ def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def validate_dataset(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per file: rows, and whether it holds any."""
-    return (
-        spark.read.option("mergeSchema", "false").parquet(*paths).groupBy(file_name().alias("file"))
-        .agg(F.count("*").alias("n_rows")).withColumn("valid", F.col("n_rows") > 0)
-    )
+def file_footers(spark: SparkSession, paths: list[str], glob: str = "*.parquet") -> DataFrame:
+    """One row per file below the paths: path, table (the named path it belongs to), length, modified, and from its footer readable, n_rows and columns.
+
+    Files are listed by Spark; footers, never contents, are read in the tasks. A damaged file is a row that is not readable.
+    """
+    listed = None
+    for path in paths:
+        one = _files(spark, path, glob).select("path", F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("table"), "length", F.col("modificationTime").alias("modified"))
+        listed = one if listed is None else listed.unionByName(one)
+
+    def look(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                try:
+                    store, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                    with store.open_input_file(name) as f:
+                        footer = pq.ParquetFile(f)
+                        found.append((True, footer.metadata.num_rows, footer.schema_arrow.names))
+                except Exception:  # any damage: that is what the check is for
+                    found.append((False, None, []))
+            batch["readable"], batch["n_rows"], batch["columns"] = zip(*found) if found else ((), (), ())
+            batch["n_rows"] = batch["n_rows"].astype("Int64")
+            yield batch
+
+    return listed.mapInPandas(look, "path string, table string, length long, modified timestamp, readable boolean, n_rows long, columns array<string>")
+
+
+def validate_dataset(spark: SparkSession, paths: list[str], expected: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per file: rows, and whether it can be read, holds rows and has the columns its table must have."""
+    files = file_footers(spark, paths)
+    whole = F.lit(True)
+    for table, columns in (expected or {}).items():
+        whole &= (F.col("table") != table) | (F.size(F.array_except(F.array(*map(F.lit, columns)), "columns")) == 0)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "table", "n_rows", (F.col("readable") & (F.coalesce("n_rows", F.lit(0)) > 0) & whole).alias("valid"))
+
+
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """One row per parquet file below a folder: path, bytes, time of change, rows and the known data set that its columns fit."""
+    files = file_footers(spark, [root])
+    sets = match_schema(files, "columns").groupBy("path").agg(F.min_by("dataset", F.struct(-F.col("share"), "dataset")).alias("dataset"))
+    return files.join(sets, "path", "left").select("path", "length", "modified", "readable", "n_rows", "dataset")
 
 
 def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -102,10 +141,27 @@ def scan_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
     return totals
 
 
-def file_hash(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    return _files(spark, root, glob).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")
-    )
+def file_hash(spark: SparkSession, root: str, glob: str = "*.parquet", chunk: int = 8 << 20) -> DataFrame:
+    """SHA-256 of each file, read in parts of bounded size: no file is ever one value."""
+    def digest(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            sums = []
+            for path in batch["path"]:
+                store, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                h = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while data := f.read(chunk):
+                        h.update(data)
+                sums.append(h.hexdigest())
+            batch["sha256"] = sums
+            yield batch[["file", "length", "sha256"]]
+
+    files = _files(spark, root, glob).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    return files.mapInPandas(digest, "file string, length long, sha256 string")
 
 
 def match_schema(df: DataFrame, cols: str, least: float = 0.8) -> DataFrame:

@@ -21,8 +21,14 @@ LATE = "1 hour"
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
     """Events of a folder as a stream, a bounded number of files per micro-batch."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    path = f"{folder.rstrip('/')}/{name}"
+    table = spark.read.parquet(path)
+    if not table.inputFiles():
+        raise ValueError(f"no data files in {path}")
+    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
+    # a stream reads a folder: the table's own, or for a table of one file the one it lies in
+    single = len(table.inputFiles()) == 1 and table.inputFiles()[0].rstrip("/").endswith(f"/{name}")
+    raw = raw.option("pathGlobFilter", name).parquet(folder) if single else raw.parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
