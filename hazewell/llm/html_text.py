@@ -41,8 +41,10 @@ NOISE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation",
     "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal",
     "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus",
-    "respond", "reply", "replies", "widget", "toolbar", "pager", "pagination", "skip", "alert", "complementary", "contentinfo", "search", "form", "hidden",
+    "respond", "reply", "replies", "widget", "toolbar", "pager", "pagination", "skip", "alert", "complementary", "contentinfo", "search", "form", "hidden", "copyright",
 }
+#: Their beginnings, where a name runs on (``commentlist``).
+NOISE_STARTS = ("comment", "sidebar", "advert", "adsby", "cookie", "newsletter", "breadcrumb", "footer", "navbar", "navigation", "sponsor", "popup", "disqus")
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
@@ -84,7 +86,8 @@ def _element(tag: str, attributes: str, parent) -> _Node:
                     sign += "".join(f".{c}" for c in sorted(set(value.split()))[:6])
     inside = parent.article if parent else False
     noise = tag in NOISE_TAGS or hidden or (tag == "header" and not inside)
-    soft = tag not in ("html", "body", "main") and not NOISE_WORDS.isdisjoint(words)
+    named = not NOISE_WORDS.isdisjoint(words) or any(w.startswith(NOISE_STARTS) for w in words) or ("header" in words and not inside)
+    soft = named and tag not in ("html", "body", "main")
     return _Node(tag, sign, parent, noise or (parent.noise if parent else False), soft, inside or tag in ("article", "main") or "role=main" in attributes.replace('"', ""))
 
 

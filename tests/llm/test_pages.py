@@ -61,9 +61,9 @@ def test_no_pages_no_verdicts(frame):
 ARTICLE = "<article><h1>Head &amp; line</h1><p>First\n  <b>bold</b> text.<p>Second&nbsp;one &lt;tag&gt; &copy<br>more</p><div class='share-bar'>Share me</div></article>"
 NOISE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body class='has-sidebar'>"
-    "<header>Top</header><nav><ul><li><a href='/'>Home</a></ul></nav><!-- <p>hidden</p> --><div class=\"ad\">Buy</div><div id='cookie-notice'>Cookies</div>"
+    "<header>Top</header><div class='site-header'>Brand</div><nav><ul><li><a href='/'>Home</a></ul></nav><!-- <p>hidden</p> --><div class=\"ad\">Buy</div><div id='cookie-notice'>Cookies</div>"
 )
-REST = "<section class='comments'><h2>Comments</h2><p>Nice</p><article class='comment'>Me too</article></section><aside>Side</aside><form><p>Field</p><button>Go</button></form><footer>&copy; me</footer></body></html>"
+REST = "<section class='comments'><h2>Comments</h2><p>Nice</p><article class='comment'>Me too</article></section><ol class='commentlist'><li>Third</ol><aside>Side</aside><form><p>Field</p><button>Go</button></form><footer>&copy; me</footer></body></html>"
 
 
 def test_only_the_article_is_left(frame):
