@@ -407,7 +407,7 @@ def poisson_weight(replica: Column, *key: Column) -> Column:
     return out
 
 
-def bootstrap_forecast(df: DataFrame, replicas: int = 20, col: str = "pm25") -> DataFrame:
+def bootstrap_forecast(df: DataFrame, replicas: int = 100, col: str = "pm25") -> DataFrame:
     """Hour-of-day forecast of every replica from one weighted aggregate, then mean, deviation and quantiles per hour.
 
     Rows are weighted, not copied out per draw; the copies per replica meet in the map-side aggregate.

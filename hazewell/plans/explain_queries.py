@@ -17,12 +17,12 @@ COLS = ["u10", "v10", "t2m_celsius", "blh", "wind_speed"]
 
 
 def _model(t):
-    return fit_forest(t.met, COLS, "pm25", trees=10, depth=4)
+    return fit_forest(t.met, COLS, "pm25", trees=100, depth=10)
 
 
-q("permutation_importance", "O1", lambda t: O.permutation_importance(*_model(t), t.met, COLS, "pm25", KEYS, repeats=2))
-q("windowed_importance", "O2", lambda t: O.windowed_importance(*_model(t), t.met, COLS, "pm25", KEYS))
-q("importance_stability", "O3", lambda t: O.importance_stability(t.met, COLS, "pm25", KEYS, trees=10, depth=4))
+q("permutation_importance", "O1", lambda t: O.permutation_importance(*_model(t), t.met, COLS, "pm25", KEYS, repeats=10))
+q("windowed_importance", "O2", lambda t: O.windowed_importance(*_model(t), t.met, COLS, "pm25", KEYS, repeats=5))
+q("importance_stability", "O3", lambda t: O.importance_stability(t.met, COLS, "pm25", KEYS, folds=5, trees=100, depth=10))
 q("explanation_quality", "O4", lambda t: O.explain_quality(t.scores), """
 WITH r AS (SELECT method, feature FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, feature) AS rn FROM scores) WHERE rn <= 5),
 m AS (SELECT DISTINCT method FROM scores), i AS (SELECT a.method AS a, b.method AS b, count(*) AS n FROM r a JOIN r b ON a.feature = b.feature AND a.method < b.method GROUP BY 1, 2),
