@@ -21,6 +21,8 @@ HEADLINE = [
     "correlated_pairs", "mutual_information", "seasonal_naive_forecast", "ar1_forecast", "dynamic_weights", "learned_bias", "two_model_blend", "bootstrap_forecast",
     "metrics_by_horizon", "rolling_origin_cv", "blend_grid_sweep", "conformal_threshold", "calibration_metrics", "bootstrap_calibration", "tree_scores",
     "user_advice", "rate_limited_alerts", "lineage_chain", "stream_hourly",
+    # operations for which the original system's run times are published
+    "online_quantile", "quantile_offsets", "multi_target_thresholds", "coverage_monitor", "what_if_scenarios", "permutation_importance",
 ]
 
 

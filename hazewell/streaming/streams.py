@@ -44,6 +44,12 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def last_rows(updates: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """The last row that a keyed stream gave for each key: it gives one for each micro-batch that has the key, with a running count."""
+    rest = [c for c in updates.columns if c not in keys]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), count).alias("_last")).select(*keys, "_last.*")
+
+
 # --- windows --------------------------------------------------------------------------------
 
 def stream_hourly(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -96,10 +102,14 @@ def _sorted(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def stream_alerts(events: DataFrame, threshold: float = 55.0, cooldown_minutes: int = 30, late: str = LATE) -> DataFrame:
-    """Alerts above the threshold, at most one per user and cool-down."""
+    """Alerts above the threshold, at most one per user and cool-down; a user's state goes when the watermark passes the cool-down."""
     cool = cooldown_minutes * 60_000_000
 
     def step(key, parts, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["user_id", "event_id", "ts", "value"])
+            return
         last = state.get[0] if state.exists else None
         out = []
         for eid, ts, value in _sorted(parts)[["event_id", "ts", "value"]].itertuples(index=False):
@@ -109,11 +119,12 @@ def stream_alerts(events: DataFrame, threshold: float = 55.0, cooldown_minutes:
                 last = at
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max((last + cool) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "value"])
 
     high = events.filter(F.col("value") >= threshold).withWatermark("ts", late).select("user_id", "event_id", "ts", "value")
     return high.groupBy("user_id").applyInPandasWithState(
-        step, "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE", "last BIGINT", "append", GroupStateTimeout.NoTimeout)
+        step, "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE", "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_stale(events: DataFrame, hours: int = 2, late: str = LATE) -> DataFrame:

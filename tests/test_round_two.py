@@ -116,3 +116,23 @@ def test_files_are_looked_at_one_by_one(spark, tmp_path):
 
     sums = {r.file: r.sha256 for r in readers.file_hash(spark, str(tmp_path), chunk=5).collect()}
     assert sums["broken.parquet"] == hashlib.sha256(b"PAR1 no footer").hexdigest()
+
+
+def test_keyed_streams_over_several_files(spark, tmp_path):
+    """Files in order of time, read one at a time: one row per key, the same as from one file; alerts keep their cool-down."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = events.orderBy("ts", "event_id").collect()
+    for i in range(5):
+        part = rows[i * len(rows) // 5 : (i + 1) * len(rows) // 5]
+        spark.createDataFrame(part, events.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/many/events.parquet")
+    events.coalesce(1).write.parquet(f"{tmp_path}/one/events.parquet")
+
+    def all_of(folder):
+        stream = streams.event_stream(spark, f"{tmp_path}/{folder}").withColumn("station_id", F.length("event_type").cast("long"))
+        out = [streams.last_rows(streams.run_to_table(streams.stream_bias(stream, late="40 days"), "b"), ["station_id", "hour"])]
+        out += [streams.last_rows(streams.run_to_table(streams.stream_conformal(stream, late="40 days"), "c"), ["station_id"])]
+        out += [streams.run_to_table(streams.stream_alerts(stream, cooldown_minutes=720, late="40 days"), "a")]
+        return [sorted(map(tuple, x.collect())) for x in out]
+
+    many, one = all_of("many"), all_of("one")
+    assert many == one and all(many)
