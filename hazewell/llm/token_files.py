@@ -1,8 +1,8 @@
 """Token ids in length-delimited binary files, with an index of offsets for shuffled reads.
 
 A record is framed as: 8-byte length of the payload, 4-byte masked checksum of that length, payload, 4-byte masked
-checksum of the payload; numbers are little-endian. The payload is a 1-byte flag (1: the document has an id), the
-8-byte document id and the ids, 4 bytes each. The checksum is zlib's CRC-32 c, masked as (c rotated right by 15 bits +
+checksum of the payload; numbers are little-endian. The payload is a 1-byte flag (1: the document has an id, 2: ids have
+4 bytes), the 8-byte document id and the token ids, 2 bytes each where the vocabulary allows, else 4. The checksum is zlib's CRC-32 c, masked as (c rotated right by 15 bits +
 0xa282ead8) mod 2**32, so that checksums stored inside checksummed data do not cancel. Beside ``part-N.ids`` stands
 ``part-N.idx``: for each record its byte offset and the number of ids before it in the file (two 8-byte numbers).
 """
@@ -30,6 +30,11 @@ from hazewell.llm.words import pieces
 
 END_ID = 2
 CACHE_PIECES = 800_000
+#: Signs that the tokenizer's pattern takes together wherever they follow a word (an apostrophe may begin a suffix).
+SIGNS = '.,;:!?$%&#*()[]{}<>|"-_/\\+=@^~`'
+#: The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next code point from 256 on.
+_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(_OTHER)}
 #: A space beside other white space: no place for a cut.
 ODD = re.compile(r" \s|\s ")
 HEAD, INDEX, BODY = "<QI", "<QQ", "<Bq"
@@ -68,18 +73,43 @@ class Encoder:
     generations, so that frequent ones outlast rare ones.
     """
 
-    def __init__(self, path: str, most: int = CACHE_PIECES):
+    def __init__(self, path: str, most: int = CACHE_PIECES, kind: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.fresh, self.old = most // 2, {}, {}
-        cut = [i for p in ("a,", " b\na's", " c  d", " 1") for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
-        self.cuts = self.tokenizer.encode("a, b\na's c  d 1", add_special_tokens=False).ids == cut  # else it is of another kind: no pieces
+        self.most, self.fresh, self.old, self.units = most // 2, {}, {}, {}
+        self.kind = kind or ("H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I")
+        sample = ["a,", " b\na's", " c  d", " 1"]
+        cut = [i for p in sample for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+        self.cuts = self.tokenizer.encode("".join(sample), add_special_tokens=False).ids == cut  # else it is of another kind: no pieces
+        words = ["Über,\nstraße...", "##", "plain", "a\n-\nb!?"]
+        self.direct = self.cuts and [self._learn(w) for w in words] == self._ids([f" {w}" for w in words])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _unit(self, text: str) -> bytes:
+        """Ids of a text that the tokenizer's pattern keeps whole: a word with the space before it, or a run of signs."""
+        if (found := self.units.get(text)) is None:
+            if len(self.units) >= self.most:
+                self.units.clear()
+            found = self.units[text] = array(self.kind, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+        return found
+
+    def _learn(self, piece: str) -> bytes | None:
+        """Ids of a space and a piece of plain words with signs after them, line feeds between; None for any other piece."""
+        out = []
+        for i, word in enumerate(piece.split("\n")):
+            stem = word.rstrip(SIGNS)
+            if not word or (stem and not (stem.isalpha() and (stem.isascii() or max(stem) < "\u0530"))):
+                return None
+            lead = "" if i else " "
+            out += [self._unit("\n")] if i else []
+            out += [self._unit(f"{lead}{stem}"), self._unit(word[len(stem) :])] if stem and len(stem) < len(word) else [self._unit(f"{lead}{word}")]
+        return b"".join(out)
 
     def parts(self, text: str) -> list[str]:
         """The text cut at spaces: each part but the first stands for a space and itself."""
@@ -105,6 +135,9 @@ class Encoder:
         kept = [p for p in missing if p in old]
         fresh.update((p, old[p]) for p in kept)
         new = [p for p in missing if p not in old]
+        if self.direct:
+            fresh.update((p, ids) for p in new if (ids := self._learn(p)) is not None)
+            new = [p for p in new if p not in fresh]
         fresh.update(zip(new, self._ids([f" {p}" for p in new])))
         get = fresh.__getitem__
         out = [first + b"".join(map(get, c[1:])) for first, c in zip(firsts, cut)]
@@ -149,7 +182,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
+        coder = encoder(tokenizer)
+        end, width, wide = array(coder.kind, [end_id]).tobytes(), array(coder.kind).itemsize, 2 * (coder.kind == "I")
         index: list[bytes] = []
         count = [0, 0]
 
@@ -160,8 +194,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
                     for i, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                         index.append(struct.pack(INDEX, at, count[1]))
                         count[0] += 1
-                        count[1] += len(ids) // 4 + 1
-                        record = frame(b"".join((struct.pack(BODY, i is not None, i or 0), ids, end)))
+                        count[1] += len(ids) // width + 1
+                        record = frame(b"".join((struct.pack(BODY, (i is not None) + wide, i or 0), ids, end)))
                         at += len(record)
                         yield record
 
@@ -210,10 +244,10 @@ def read(spark: SparkSession, files: DataFrame, ids: bool = False, chunk: int =
                             payload, end = read_frame(data, int(index[k, 0]) - base)
                             if end + base != int(ends[k]):
                                 raise ValueError(f"{name}: index and record {k} disagree")
-                            has, doc = struct.unpack_from(BODY, payload)
-                            body = payload[struct.calcsize(BODY) :]
-                            row = (name, k, doc if has else None, int(index[k, 1]), len(body) // 4, zlib.crc32(body))
-                            rows.append((*row, np.frombuffer(body, "<u4").tolist()) if ids else row)
+                            flag, doc = struct.unpack_from(BODY, payload)
+                            tokens = np.frombuffer(payload[struct.calcsize(BODY) :], "<u4" if flag & 2 else "<u2").astype("<u4")
+                            row = (name, k, doc if flag & 1 else None, int(index[k, 1]), len(tokens), zlib.crc32(tokens.tobytes()))
+                            rows.append((*row, tokens.tolist()) if ids else row)
                         out = pd.DataFrame(rows, columns=["file", "place", "doc_id", "before", "n_tokens", "ids_crc32", "ids"][: 6 + ids])
                         out["doc_id"] = out["doc_id"].astype("Int64")
                         yield out
