@@ -252,8 +252,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their own columns, one row of each component; rows without words all stay."""
     found = stored(near_duplicates(docs, words, percent, doc_id, text), "near-duplicates")
-    uid, again = free_name(docs, "row_uid"), free_name(docs, "row_again")
-    keep = found.groupBy("uid").agg(F.max((F.col("n_shingles") == 0) | F.col("first")).alias("stays"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias(again))
-    rows = docs.withColumn(uid, F.xxhash64(doc_id, text)).join(keep.filter("stays").select(F.col("uid").alias(uid), again), uid)
-    once, twice = rows.filter(~F.col(again)), rows.filter(again).dropDuplicates([uid])  # rows that repeat both doc_id and text: few
+    uid = free_name(docs, "row_uid")
+    each = found.groupBy(F.col("uid").alias(uid)).agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"), F.max((F.col("n_shingles") == 0) | F.col("first")).alias("stays"))
+    gone, again = stored(each.filter(~F.col("stays")).select(uid), "gone"), stored(each.filter("stays AND n > 1 AND size > 0").select(uid), "again")
+    rows = docs.withColumn(uid, F.xxhash64(doc_id, text)).join(small(gone), uid, "left_anti")
+    # rows that repeat both doc_id and text share a uid: one of them stays
+    once, twice = rows.join(small(again), uid, "left_anti"), rows.join(small(again), uid, "left_semi").dropDuplicates([uid])
     return once.unionAll(twice).select(*docs.columns)

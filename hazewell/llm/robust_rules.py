@@ -178,6 +178,26 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return est.select("g", *[F.when(better, F.col(f"a{n}")).otherwise(F.col(f"b{n}")).alias(n) for n in names])
 
 
+def fit(counts: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """The group of each (language, source), and each group's estimate, from a stored frame of ``_with_vector``: two small stored tables."""
+    used = counts.filter(~F.col("base_failed"))
+    sizes = used.groupBy("_l", "_s").agg(F.count("*").alias("n"))
+    per_lang = sizes.filter(F.col("n") < min_group).groupBy("_l").agg(F.sum("n").alias("n_lang"))
+    key = F.when(F.col("n") >= min_group, F.concat_ws("|", F.lit("s"), "_l", "_s")).when(F.col("n_lang") >= min_group, F.concat_ws("|", F.lit("l"), "_l")).otherwise(F.lit("a"))
+    groups = stored(sizes.join(per_lang, "_l", "left").select("_l", "_s", key.alias("g")), "quality-groups")
+    fitted = used.join(small(groups), ["_l", "_s"], "left").select("g", *VECTOR)
+    enough = fitted.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_group).select("g")
+    return groups, stored(estimates(stored(fitted.join(small(stored(enough, "quality-enough")), "g"), "quality-vectors"), steps), "mcd")
+
+
+def apply(counts: DataFrame, groups: DataFrame, est: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Add distance and kept to the rows of ``_with_vector``; the helping columns go."""
+    keyed = counts.join(small(groups), ["_l", "_s"], "left")
+    found = _distance(keyed.join(small(est), "g", "left").withColumnsRenamed({n: f"_e{n}" for n in est.columns if n != "g"}), "_e", "distance")
+    found = found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
+    return found.drop("g", "_l", "_s", *VECTOR, *[f"_e{n}" for n in est.columns])
+
+
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
     """Every row with its counts, base_failed, distance and kept (columns of those names give way to them).
 
@@ -189,18 +209,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     The text itself is left out: what is kept of each row is written to the shared folder once.
     """
     counts = stored(_with_vector(df, text, lang, source).drop(text), "quality-counts")
-    used = counts.filter(~F.col("base_failed"))
-    sizes = used.groupBy("_l", "_s").agg(F.count("*").alias("n"))
-    per_lang = sizes.filter(F.col("n") < min_group).groupBy("_l").agg(F.sum("n").alias("n_lang"))
-    key = F.when(F.col("n") >= min_group, F.concat_ws("|", F.lit("s"), "_l", "_s")).when(F.col("n_lang") >= min_group, F.concat_ws("|", F.lit("l"), "_l")).otherwise(F.lit("a"))
-    groups = stored(sizes.join(per_lang, "_l", "left").select("_l", "_s", key.alias("g")), "quality-groups")
-    keyed = counts.join(small(groups), ["_l", "_s"], "left")
-    fitted = keyed.filter(~F.col("base_failed")).select("g", *VECTOR)
-    enough = fitted.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_group).select("g")
-    est = stored(estimates(stored(fitted.join(small(stored(enough, "quality-enough")), "g"), "quality-vectors"), steps), "mcd")
-    found = _distance(keyed.join(small(est), "g", "left").withColumnsRenamed({n: f"_e{n}" for n in est.columns if n != "g"}), "_e", "distance")
-    found = found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
-    return found.drop("g", "_l", "_s", *VECTOR, *[f"_e{n}" for n in est.columns])
+    return apply(counts, *fit(counts, min_group, steps), cutoff)
 
 
 def _with_vector(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -210,7 +219,13 @@ def _with_vector(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     return rows.withColumns(vector() | {"_l": value(lang), "_s": value(source), "base_failed": failed})
 
 
-def reject(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
-    """The rows that ``judge`` keeps, with all their own columns, whatever these are called."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    return judge(rows, **options).filter("kept").select("whole.*")
+def reject(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their own columns, whatever these are called.
+
+    Texts are counted once for the estimates and once more for the verdicts: no text is written, and none is shuffled.
+    """
+    parts = [F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")]
+    counts = _with_vector(df.select(*parts), "text", "lang", "source").select("_l", "_s", "base_failed", *VECTOR)
+    groups, est = fit(stored(counts, "quality-counts"), min_group, steps)
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), *parts)
+    return apply(_with_vector(whole, "text", "lang", "source"), groups, est, cutoff).filter("kept").select("whole.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazewell.llm.common import MAX_BROADCAST_ROWS, free_name, n_words
+from hazewell.llm.common import MAX_BROADCAST_ROWS, free_name, n_words, small
 from hazewell.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -135,5 +135,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     # equal rows are interchangeable: those of one key share their passes, as many rows in all as the mix takes of them
     taken = taken.filter("taken > 0").groupBy("key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times), F.count("*").alias("n"))
     taken = stored(taken.withColumn(times, F.ceil(F.col(times) / F.col("n")).cast("int")).withColumnRenamed("key", key).drop("n"), "mix-taken")
-    rows = docs.withColumn(key, F.xxhash64(names["doc_id"], names["source"], names["text"])).join(taken, key)
+    rows = docs.withColumn(key, F.xxhash64(names["doc_id"], names["source"], names["text"])).join(small(taken), key)
     return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -233,6 +233,18 @@ def test_token_files_give_the_ids_back(spark, frame, odd_docs, tmp_path):
     assert token_files.write(frame([], DOCS), folder + "-none", TOKENIZER).count() == 0
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    rnd = random.Random(1)
+    signs = ["a", "B", "é", "ß", "1", "²", "'", "s", "t", ".", ",", " ", "  ", "\n", "\t", " ", " ", "_", "-", "$", "日", "ж", "\x1c", "\r", "ʰ", "٠", "😀"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
+    for kind, code in ((None, "<u2"), ("I", "<u4")):
+        coder = token_files.Encoder(TOKENIZER, 500, kind)  # small enough for pieces to be forgotten
+        assert coder.kind == (kind or "H") and coder.direct
+        for i in range(0, len(texts), 100):
+            want = [np.asarray(e.ids, code).tobytes() for e in coder.tokenizer.encode_batch(texts[i : i + 100], add_special_tokens=False)]
+            assert coder.encode(texts[i : i + 100]) == want
+
+
 def test_damaged_records_are_noticed():
     data = token_files.frame(b"payload") + token_files.frame(b"")
     first, at = token_files.read_frame(data, 0)

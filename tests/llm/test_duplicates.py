@@ -140,10 +140,10 @@ def test_components_of_a_long_path_and_a_hub(frame):
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, frame, words, tmp_path):
     rows = [(i, " ".join(words(60 + i % 50, i)), "en", f"s{i % 3}", 0) for i in range(300)]
     rows += [(1000 + i, rows[i][1], "en", "s1", 0) for i in range(40)]  # copies
-    rows += [(2000 + i, " ".join(words(30, i + 9000) + words(20, 77) + words(30, i + 9500)), "en", "s2", 0) for i in range(10)]  # leaks
+    rows += [(2000 + i, " ".join(words(30, i + 9000) + words(20, 987654) + words(30, i + 9500)), "en", "s2", 0) for i in range(10)]  # leaks
     rows += [(3000 + i, "too short", "en", "s0", 0) for i in range(5)] + [(None, None, None, None, None)]
     frame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    frame([(0, " ".join(words(20, 77)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame([(0, " ".join(words(20, 987654)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
