@@ -9,9 +9,9 @@ checksum of the payload; numbers are little-endian. The payload is a 1-byte flag
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
-import re
 import struct
 import uuid
 import zlib
@@ -29,14 +29,21 @@ from pyspark.sql import functions as F
 from hazewell.llm.words import pieces
 
 END_ID = 2
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_600_000
 #: Signs that the tokenizer's pattern takes together wherever they follow a word (an apostrophe may begin a suffix).
 SIGNS = '.,;:!?$%&#*()[]{}<>|"-_/\\+=@^~`'
-#: The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next code point from 256 on.
-_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-BYTE_SIGNS = {b: 256 + n for n, b in enumerate(_OTHER)}
-#: A space beside other white space: no place for a cut.
-ODD = re.compile(r" \s|\s ")
+class ByteSigns(dict):
+    """The byte-level alphabet: a character's UTF-8 bytes, where printable Latin-1 stands for itself and each other byte for
+    the next code point from 256 on. Filled as characters come."""
+
+    OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+
+    def __missing__(self, character: str) -> str:
+        found = self[character] = "".join(chr(256 + self.OTHER.index(b) if b in self.OTHER else b) for b in character.encode())
+        return found
+
+
+BYTE_SIGNS = ByteSigns()
 HEAD, INDEX, BODY = "<QI", "<QQ", "<Bq"
 
 
@@ -78,7 +85,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model = self._model(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.fresh, self.old, self.units = most // 2, {}, {}, {}
         self.kind = kind or ("H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I")
@@ -88,6 +95,18 @@ class Encoder:
         words = ["Über,\nstraße...", "##", "plain", "a\n-\nb!?"]
         self.direct = self.cuts and [self._learn(w) for w in words] == self._ids([f" {w}" for w in words])
 
+    def _model(self, path: str):
+        """The tokenizer's pair merges without its own memory of words, whose lock costs more than it saves here."""
+        from tokenizers.models import BPE
+
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)["model"]
+        if parts.pop("type", None) != "BPE":
+            return self.tokenizer.model
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts.pop("merges")]
+        known = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        return BPE(vocab=parts["vocab"], merges=merges, cache_capacity=0, **{k: parts[k] for k in known if parts.get(k) is not None})
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -96,54 +115,62 @@ class Encoder:
         if (found := self.units.get(text)) is None:
             if len(self.units) >= self.most:
                 self.units.clear()
-            found = self.units[text] = array(self.kind, [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+            found = self.units[text] = array(self.kind, [t.id for t in self.model.tokenize("".join(map(BYTE_SIGNS.__getitem__, text)))]).tobytes()
         return found
 
+    def _word(self, lead: str, word: str) -> bytes | None:
+        stem = word.rstrip(SIGNS)
+        if not word or (stem and not (stem.isalpha() and (stem.isascii() or max(stem) < "\u0530"))):
+            return None
+        if not stem or len(stem) == len(word):
+            return self._unit(lead + word)
+        return self._unit(lead + stem) + self._unit(word[len(stem) :])
+
     def _learn(self, piece: str) -> bytes | None:
         """Ids of a space and a piece of plain words with signs after them, line feeds between; None for any other piece."""
-        out = []
-        for i, word in enumerate(piece.split("\n")):
-            stem = word.rstrip(SIGNS)
-            if not word or (stem and not (stem.isalpha() and (stem.isascii() or max(stem) < "\u0530"))):
-                return None
-            lead = "" if i else " "
-            out += [self._unit("\n")] if i else []
-            out += [self._unit(f"{lead}{stem}"), self._unit(word[len(stem) :])] if stem and len(stem) < len(word) else [self._unit(f"{lead}{word}")]
-        return b"".join(out)
-
-    def parts(self, text: str) -> list[str]:
-        """The text cut at spaces: each part but the first stands for a space and itself."""
-        if not self.cuts or any(s in text for s in self.special):
-            return [text]
-        found = text.split(" ")
-        if not ODD.search(text):
-            return found
-        out = found[:1]
-        for p in found[1:]:
+        if "\n" not in piece:
+            return self._word(" ", piece)
+        lines = piece.split("\n")
+        out = [self._word("" if i else " ", x) for i, x in enumerate(lines)]
+        return None if None in out else self._unit("\n").join(out)
+
+    def _merged(self, parts: list[str]) -> bytes:
+        """Ids of a text that has longer white space around some of its spaces: it is cut only at the others."""
+        out = parts[:1]
+        for p in parts[1:]:
             if p and out[-1] and not p[0].isspace() and not out[-1][-1].isspace():
                 out.append(p)
             else:
                 out[-1] = f"{out[-1]} {p}"
-        return out
+        return b"".join(self._ids([out[0], *(f" {p}" for p in out[1:])]))
+
+    def _text(self, text: str) -> bytes:
+        parts = text.split(" ")
+        if not self.cuts or any(s in text for s in self.special):
+            return self._ids([text])[0]
+        if len(parts) > 1 and parts[0] and parts[0][-1].isspace():
+            return self._merged(parts)
+        known = self.fresh
+        got = list(map(known.get, parts))
+        got[0] = self._ids([parts[0]])[0] if parts[0] else b""
+        try:
+            return b"".join(got)
+        except TypeError:  # some piece is not known yet
+            pass
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            p = parts[i]
+            if (ids := known.get(p)) is None and (ids := self.old.get(p)) is None:
+                if not p or p[0].isspace() or p[-1].isspace():
+                    return self._merged(parts)
+                ids = self._learn(p) if self.direct else None
+                ids = self._ids([f" {p}"])[0] if ids is None else ids
+            got[i] = known[p] = ids
+        if len(known) > self.most:
+            self.fresh, self.old = {}, known
+        return b"".join(got)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        firsts = self._ids([c[0] for c in cut])
-        fresh, old = self.fresh, self.old
-        used = set().union(*cut)
-        missing = [p for p in used if p not in fresh]
-        kept = [p for p in missing if p in old]
-        fresh.update((p, old[p]) for p in kept)
-        new = [p for p in missing if p not in old]
-        if self.direct:
-            fresh.update((p, ids) for p in new if (ids := self._learn(p)) is not None)
-            new = [p for p in new if p not in fresh]
-        fresh.update(zip(new, self._ids([f" {p}" for p in new])))
-        get = fresh.__getitem__
-        out = [first + b"".join(map(get, c[1:])) for first, c in zip(firsts, cut)]
-        if len(fresh) > self.most:
-            self.fresh, self.old = {}, fresh
-        return out
+        return list(map(self._text, texts))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -253,7 +280,8 @@ def read(spark: SparkSession, files: DataFrame, ids: bool = False, chunk: int =
                         yield out
                         i = j
 
-    return files.select("file").repartition(F.col("file")).mapInPandas(load, schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file").repartition(parts, "file").mapInPandas(load, schema)
 
 
 def with_starts(spark: SparkSession, files: DataFrame) -> DataFrame:
