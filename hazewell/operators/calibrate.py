@@ -257,14 +257,14 @@ def calibration_metrics(bands: DataFrame, target: float = 0.9, keys: Sequence[st
         F.avg(winkler(1 - target)).alias("winkler"), (err + F.try_divide(w, F.stddev_pop("y"))).alias("interval_score"))
 
 
-def bootstrap_metrics(bands: DataFrame, replicas: int = 1000, target: float = 0.9, level: float = 0.95) -> DataFrame:
-    """Mean and bounds of coverage, its error, width and Winkler score over hash-weighted replicas; copies meet in the partial aggregate."""
+def bootstrap_metrics(bands: DataFrame, replicas: int = 1000, target: float = 0.9, level: float = 0.95, coverage_error: bool = False) -> DataFrame:
+    """Mean and bounds of coverage, width and Winkler score, and if asked of the distance of coverage from the target, over hash-weighted replicas; copies meet in the partial aggregate."""
     rows = bands.select("model", "station_id", "target_ts", F.col("y").between(F.col("lower"), F.col("upper")).cast("double").alias("c"), (F.col("upper") - F.col("lower")).alias("w"),
                         winkler(1 - target).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
     p = rows.withColumn("p", poisson_weight(F.col("replica"), F.col("station_id"), F.col("target_ts")))
     per = p.groupBy("model", "replica").agg(*[F.try_divide(F.sum(F.col("p") * F.col(x)), F.sum("p")).alias(n) for x, n in (("c", "coverage"), ("w", "width"), ("k", "winkler"))])
     per = per.withColumn("coverage_error", F.abs(F.col("coverage") - target))
-    long = per.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("coverage", "coverage_error", "width", "winkler")])).alias("m")).select("model", "m.*")
+    long = per.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("coverage", "width", "winkler", *["coverage_error"] * coverage_error)])).alias("m")).select("model", "m.*")
     half = (1 - level) / 2
     return long.groupBy("model", "metric").agg(F.avg("v").alias("mean"), F.percentile("v", half).alias("low"), F.percentile("v", 1 - half).alias("high"))
 

@@ -232,12 +232,12 @@ def ordered_position(df: DataFrame, value: str, ties: Sequence[str], keys: Seque
     """
     order = [F.col(value).desc() if descending else F.col(value).asc(), *[F.col(t).asc() for t in ties]]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ordered")
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
-    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_range"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
-    same = F.col("_part") == F.col("_range")
+    dealt = stored(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_b1", F.spark_partition_id()), "ordered")
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = dealt.groupBy(*keys, "_b1").agg(F.count("*").alias("_c"))
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b1").alias("_b0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_b1").orderBy(*order)
+    same = F.col("_b1") == F.col("_b0")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     numbered = dealt.withColumn("_rn", F.row_number().over(inside) - 1)

@@ -109,7 +109,7 @@ WITH {BANDS}, m AS (SELECT model, avg(CASE WHEN y BETWEEN lower AND upper THEN 1
   avg(upper - lower + 20 * greatest(0, lower - y) + 20 * greatest(0, y - upper)) AS winkler FROM bd GROUP BY 1)
 SELECT model, coverage, abs(coverage - 0.9) AS coverage_error, width, 1 / width AS sharpness, winkler, abs(coverage - 0.9) + width / s AS interval_score FROM m""",
   "coverage coverage_error width sharpness winkler interval_score")
-q("bootstrap_calibration", "N20", lambda t: N.bootstrap_metrics(_bands(t)))
+q("bootstrap_calibration", "N20", lambda t: N.bootstrap_metrics(_bands(t), coverage_error=True))
 q("calibration_input_check", "N21", lambda t: N.calibration_check(_bands(t).withColumn("upper", F.when(c("yhat") < 10, float("inf")).when(c("yhat") > 200, None).otherwise(c("upper")))), f"""
 WITH {BANDS}, x AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE yhat > 200) AS null_rows, count(*) FILTER (WHERE yhat < 10) AS infinite_rows, 0 AS crossed_rows FROM bd)
 SELECT *, null_rows = 0 AND infinite_rows = 0 AS valid FROM x""")
