@@ -223,9 +223,12 @@ def reject(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """The rows that ``judge`` keeps, with all their own columns, whatever these are called.
 
     Texts are counted once for the estimates and once more for the verdicts: no text is written, and none is shuffled.
+    The row number in the condition keeps the optimizer from moving it below the counts, where each lambda that reads the
+    words would split the text anew for every element.
     """
     parts = [F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")]
     counts = _with_vector(df.select(*parts), "text", "lang", "source").select("_l", "_s", "base_failed", *VECTOR)
     groups, est = fit(stored(counts, "quality-counts"), min_group, steps)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), *parts)
-    return apply(_with_vector(whole, "text", "lang", "source"), groups, est, cutoff).filter("kept").select("whole.*")
+    rows = _with_vector(whole, "text", "lang", "source").withColumn("_row", F.monotonically_increasing_id())
+    return apply(rows, groups, est, cutoff).filter("kept AND _row >= 0").select("whole.*")
