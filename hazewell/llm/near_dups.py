@@ -179,7 +179,7 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
 
 def candidates(classes: DataFrame, bound: float = ESTIMATE, members: int = BAND_MEMBERS) -> DataFrame:
     """Links (a, b) between class uids: for each band a spanning set of those whose signatures are near."""
-    flat = classes.select("uid", "sig", F.posexplode("bands").alias("band", "key"))
+    flat = classes.select("uid", F.posexplode("bands").alias("band", "key"))
     several = stored(flat.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("uid").alias("top")).filter("n > 1"), "bands")
     met = flat.join(several, ["band", "key"])
     large = met.filter(F.col("n") > members).select(F.col("uid").alias("a"), F.col("top").alias("b"))
@@ -193,7 +193,8 @@ def candidates(classes: DataFrame, bound: float = ESTIMATE, members: int = BAND_
             if far.any():
                 yield pa.RecordBatch.from_arrays([pa.array(uid[far]), pa.array(uid[root[far]])], schema=schema)
 
-    few = met.filter(F.col("n") <= members).select("band", "key", "uid", "sig")
+    # signatures join only the few members of bands that several classes share
+    few = met.filter(F.col("n") <= members).select("band", "key", "uid").join(classes.select("uid", "sig"), "uid").select("band", "key", "uid", "sig")
     few = few.repartition("band", "key").sortWithinPartitions("band", "key", "uid").mapInArrow(near, "a long, b long")
     return few.unionAll(large).distinct()
 
