@@ -1,13 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are n-grams of the training text, arcs carry log10 probabilities smoothed by absolute discounting, and each state's
-failure arc leads to the n-gram without its first word and carries the backoff weight. A text is read once from left to
-right: the current state is kept, failure arcs are taken until an arc for the next token leaves it, weights add up. The
-root falls back to add-one unigrams over all types and one unseen type, so every state's probabilities sum to one.
-
-Which n-grams are states is set by relative frequency, which bounds their number whatever the corpus: at most
-1 / ``min_share`` of each order. All other tokens keep their unigram probability, for which texts meet the table of all
-types in a join; nothing of the vocabulary's size is ever in one place.
+States are n-grams of the training text, arcs carry probabilities smoothed by absolute discounting, and each state's failure
+arc leads to the n-gram without its first word and carries the backoff weight. The root falls back to add-one unigrams over
+all types and one unseen type, so every state's probabilities sum to one.
+
+Every word is a state, and every longer n-gram seen ``MIN_COUNT`` times. All of them are rows of stored tables: counted by
+a groupBy, normalised by joins with the n-grams one word shorter. An n-gram that is kept has all its parts kept, so what a
+walk through the automaton adds up is a sum over the n-grams of a text, each with a value of its own:
+
+    log p(g) - weight(g without its last word) - log p(g without its first word) + weight(g)
+
+Texts meet these values in a join. The values of the most frequent n-grams are also broadcast: that saves shuffling their
+places, and changes no score.
 """
 
 from __future__ import annotations
@@ -21,17 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazewell.llm.words import U64, mix, pieces, word_numbers
+from hazewell.llm.words import U64, pieces, word_numbers
 from hazewell.session import stored
 
 ORDER = 3
-#: Share of all training tokens from which a word is a state of its own, and from which a longer n-gram is: at most
-#: 100,000 words and 500,000 longer n-grams of each order.
-MIN_SHARE, MIN_GRAM_SHARE = 1e-5, 2e-6
+#: Occurrences from which an n-gram of two or more words is kept, whatever the corpus.
+MIN_COUNT = 2
+#: Share of all training tokens from which an n-gram's value is broadcast too: at most 500,000 of each order.
+CACHE_SHARE = 2e-6
 DISCOUNT = 0.75
 #: The end of a text is a token too; before its first word a text is in the state of having just ended.
 END = U64(0x5851F42D4C957F2D)
-FLUSH = 400_000
+FLUSH = 1_000_000
+#: Joined values are summed as whole numbers of this fraction, so that their order doesn't matter.
+UNIT = 2.0**-32
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -40,245 +47,179 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(numbers, first[1:], END), first + np.arange(len(first))
 
 
-def _flushed(batches: Iterator, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Sums of (keys, counts) arrays, put out whenever a bounded number of different keys has gathered."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for key, count in batches:
-        both, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, count]), minlength=len(both)).astype(np.int64)
-        keys = both
-        if len(keys) > FLUSH:
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(keys):
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
+def _xx(x: np.ndarray, seed) -> np.ndarray:
+    """Spark's xxhash64 of one 64-bit number."""
+    p1, p2, p3, p4, p5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << U64(n)) | (v >> U64(64 - n))
+    h = (seed + p5 + U64(8)) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> U64(33))) * p2
+    h = (h ^ (h >> U64(29))) * p3
+    return h ^ (h >> U64(32))
 
 
-def _counts(rows: DataFrame, keys_of) -> DataFrame:
-    """token, c: how often each key occurs; summed in the tasks before the shuffle."""
-    schema = pa.schema([("token", pa.int64()), ("c", pa.int64())])
+def gram_key(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The number of an n-gram from those of its first and its last n - 1 words; a word's own is its token. As xxhash64(head, tail) in Spark."""
+    return _xx(tail, _xx(head, U64(42)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each():
-            for whole in batches:
-                for batch in pieces(whole, "text"):
-                    yield np.unique(keys_of(*_tokens(batch)), return_counts=True)
-
-        yield from _flushed(each(), schema)
-
-    return rows.select("text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-class Automaton:
-    """States 0 (the root), then one for each n-gram shorter than the order. ``arcs``: state * width + word -> (log10
-    probability, next state); ``fail`` and ``weight`` of each state; words have numbers from 0 in ``words`` (sorted)."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.width = len(words) + 1
-        self.total, self.types = total, types
-        self.unigram = np.log10(self.counts + 1.0) - math.log10(total + types + 1.0) if len(words) else np.zeros(0)
-        self.grams: list[dict[tuple, int]] = [{(w,): int(c) for w, c in enumerate(self.counts.tolist())}]
-
-    def numbers(self, tokens: np.ndarray) -> np.ndarray:
-        """Each token's word number, -1 for a token that is no state."""
-        if not len(self.words):
-            return np.full(len(tokens), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, at, -1)
-
-    def build(self, order: int, discount: float) -> None:
-        """Turn the counted n-grams into states, arcs and failure arcs."""
-        context: dict[tuple, list] = {}
-        for grams in self.grams[1:]:
-            for gram, c in grams.items():
-                context.setdefault(gram[:-1], []).append((gram[-1], c))
-        states = {(): 0}
-        for grams in self.grams[: order - 1]:
-            for gram in sorted(grams):
-                if gram in context or len(gram) == 1:
-                    states[gram] = len(states)
-        self.fail, self.weight = [0] * len(states), [0.0] * len(states)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        after = lambda gram: next(states[gram[i:]] for i in range(len(gram) + 1) if gram[i:] in states)
-        share: dict[tuple, float] = {(w,): 10.0**p for w, p in enumerate(self.unigram.tolist())}
-
-        def lower(gram: tuple) -> float:
-            """Probability of the last word after the rest, by the arcs made so far."""
-            factor = 1.0
-            while gram not in share:
-                factor *= 10.0 ** self.weight[states[gram[:-1]]] if gram[:-1] in states else 1.0
-                gram = gram[1:]
-            return factor * share[gram]
-
-        for state in sorted(states, key=len)[1:]:
-            n, s = self.grams[len(state) - 1][state], states[state]
-            self.fail[s] = after(state[1:])
-            arcs = context.get(state, [])
-            kept = rest = 0.0
-            for w, c in arcs:
-                kept += (c - discount) / n
-                rest += lower((*state[1:], w))
-            self.weight[s] = math.log10(max(1.0 - kept, 1e-12) / max(1.0 - rest, 1e-12)) if arcs else 0.0
-            for w, c in arcs:
-                p = (c - discount) / n
-                share[(*state, w)] = p
-                self.arcs[s * self.width + w] = (math.log10(p), after((*state, w)[-(order - 1) :]))
-        self.start_of_word = [states[(w,)] for w in range(self.width - 1)] if order > 1 else [0] * (self.width - 1)
-        at = int(np.searchsorted(self.words, END)) if len(self.words) else 0
-        self.begin = self.start_of_word[at] if at < len(self.words) and self.words[at] == END else 0
-
-    def score(self, numbers: list[int]) -> float:
-        """log10 probability of a text's tokens; those without a number add only their backoff weights here."""
-        arcs, fail, weight, width, total = self.arcs, self.fail, self.weight, self.width, 0.0
-        unigram, start_of_word, state = self.unigram_list, self.start_of_word, self.begin
-        for w in numbers:
-            while state:
-                arc = arcs.get(state * width + w) if w >= 0 else None
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                if w >= 0:
-                    total += unigram[w]
-                    state = start_of_word[w]
-        return total
-
-    @property
-    def unigram_list(self) -> list[float]:
-        if not hasattr(self, "_unigram_list"):
-            self._unigram_list = self.unigram.tolist()
-        return self._unigram_list
-
-
-def train(rows: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE, min_gram_share: float = MIN_GRAM_SHARE, discount: float = DISCOUNT) -> tuple[DataFrame, Automaton]:
-    """The table of all types (token, c), stored, and the automaton, from the texts of ``rows``.
-
-    Longer n-grams are counted level by level, only over n-grams whose every part is a state already; their counts are
-    summed in the tasks, then by a shuffle, and only those above the share come to the driver.
-    """
-    spark = rows.sparkSession
-    types = stored(_counts(rows, lambda tokens, _: tokens), "types")
-    total, n_types = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    few = types.filter(F.col("c") >= min_share * total).toPandas()
-    model = Automaton(few["token"].to_numpy(dtype=np.int64).view(np.uint64), few["c"].to_numpy(dtype=np.int64), int(total), int(n_types))
-    for n in range(2, order + 1):
-        known = model.grams[-1]
-        if not known:
-            break
-        table = spark.sparkContext.broadcast((model.words, _gram_numbers(known)))
-        limit = max(2.0, min_gram_share * total)
 
-        def keys_of(tokens: np.ndarray, first: np.ndarray, n=n, table=table) -> np.ndarray:
-            words, hashes = table.value
-            return _gram_keys(tokens, first, n, words, hashes)[0]
+def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 2 .. order the n-grams of all texts: n, head, tail, and the place of each one's last token. A text begins after
+    the end of another: an n-gram may begin with that end, but no other of its words is one."""
+    starts = first[:-1]
+    keys = np.insert(tokens, starts, END)
+    begin = starts + np.arange(len(starts))
+    text = np.repeat(np.arange(len(starts)), np.diff(first) + 1)
+    at = np.arange(len(keys))
+    inside = np.ones(len(keys), dtype=bool)
+    inside[begin] = False
+    for n in range(2, order + 1):
+        # keys[i] is the (n - 1)-gram that ends at at[i]; its neighbour ends one token later
+        if len(keys) < 2:
+            return
+        ok = (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1]) & inside[at[1:]]
+        head, tail, at, text = keys[:-1][ok], keys[1:][ok], at[1:][ok], text[1:][ok]
+        yield n, head, tail, at - text - 1
+        keys = gram_key(head, tail)
+
+
+def _sums(batches: Iterator, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (number of the row, its columns ..) with how often each occurs, put out whenever many have gathered."""
+
+    def out(parts):
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        _, where, count = np.unique(columns[0], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[where].view(np.int64) if c.dtype == np.uint64 else c[where], f.type) for c, f in zip(columns[1:], schema)), pa.array(count)], schema=schema)
+
+    held, size = [], 0
+    for part in batches:
+        held.append(part)
+        size += len(part[0])
+        if size > FLUSH:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
+
+
+def _counts(rows: DataFrame, columns: dict[str, str], parts_of) -> DataFrame:
+    """The columns that ``parts_of`` gives of all texts, and c: how often each occurs; summed in the tasks before the shuffle."""
+    arrow = {"long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([*((c, arrow[t]) for c, t in columns.items()), ("c", pa.int64())])
 
-        counted = _counts(rows, keys_of).filter(F.col("c") >= limit).toPandas()
-        model.grams.append(_named(counted, known, model.grams[0], n))
-    model.build(order, discount)
-    return types, model
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sums((part for whole in batches for batch in pieces(whole, "text") for part in parts_of(*_tokens(batch))), schema)
 
+    return rows.select("text").mapInArrow(count, ", ".join(f"{c} {t}" for c, t in columns.items()) + ", c long").groupBy(*columns).agg(F.sum("c").alias("c"))
 
-def _hash(columns: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(columns[0]), dtype=np.uint64)
-    for c in columns:
-        out = mix(out * U64(3) + c.astype(np.uint64) + U64(1))
-    return out
 
+def train(rows: DataFrame, order: int = ORDER, min_share: float = 0.0, min_gram_share: float = 0.0, discount: float = DISCOUNT) -> tuple[DataFrame, int, int]:
+    """The stored table of all n-grams, the number of tokens and that of types, from the texts of ``rows``.
 
-def _gram_numbers(grams: dict[tuple, int]) -> np.ndarray:
-    if not grams:
-        return np.zeros(0, np.uint64)
-    return np.sort(_hash(list(np.array(list(grams), dtype=np.int64).T)))
+    Columns: key, c, value (see above; a word's is more than the unseen type's by it), base (the same for the unigram
+    model; 0 for longer n-grams). ``min_share`` and ``min_gram_share`` leave out states below a share of all tokens; by
+    default there is no such limit, and the tables grow with the corpus.
+    """
+    types = stored(_counts(rows, {"key": "long"}, lambda tokens, _: [(tokens, tokens)]), "types")
+    total, n_types = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    limit = max(MIN_COUNT, min_gram_share * total)
 
+    def parts_of(tokens: np.ndarray, first: np.ndarray):
+        for n, head, tail, _ in _grams(tokens, first, order):
+            yield gram_key(head, tail), np.full(len(head), n, dtype=np.int32), head, tail
 
-def _gram_keys(tokens, first, n, words, hashes):
-    """n-grams whose words are all states and whose first n - 1 and last n - 1 words are n-grams that are states, as
-    packed keys: for two words both numbers, for more the place of the first n - 1 among the known and the last word.
-    A text begins after the end of another: its first word has END before it."""
-    starts = first[:-1]
-    padded = np.insert(tokens, starts, END)
-    own = np.full(len(padded), -1, dtype=np.int64)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, padded), len(words) - 1)
-        own = np.where(words[at] == padded, at, -1)
-    inside = np.ones(len(padded), dtype=bool)
-    inside[starts + np.arange(len(starts))] = False  # an n-gram may begin there, but no other of its words is one
-    m = len(padded) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), None
-    good = own[:m] >= 0
-    for i in range(1, n):
-        good &= (own[i : i + m] >= 0) & inside[i : i + m]
-    at = np.flatnonzero(good)
-    columns = [own[at + i] for i in range(n)]
-    if n == 2:
-        return (columns[0].astype(np.uint64) << U64(32)) | columns[1].astype(np.uint64), None
-    head, tail = _hash(columns[:-1]), _hash(columns[1:])
-    place = np.searchsorted(hashes, head)
-    place[place == len(hashes)] = 0
-    tails = np.searchsorted(hashes, tail)
-    tails[tails == len(hashes)] = 0
-    ok = (hashes[place] == head) & (hashes[tails] == tail)
-    return (place[ok].astype(np.uint64) << U64(32)) | columns[-1][ok].astype(np.uint64), None
-
-
-def _named(counted, known: dict[tuple, int], words: dict[tuple, int], n: int) -> dict[tuple, int]:
-    """Counted keys back as tuples of word numbers."""
-    keys, counts = counted["token"].to_numpy(dtype=np.int64).view(np.uint64), counted["c"].to_numpy(dtype=np.int64)
-    heads, last = (keys >> U64(32)).astype(np.int64).tolist(), (keys & U64(0xFFFFFFFF)).astype(np.int64).tolist()
-    if n == 2:
-        return {(h, w): c for h, w, c in zip(heads, last, counts.tolist())}
-    grams = list(known)
-    order = np.argsort(_hash(list(np.array(grams, dtype=np.int64).T)), kind="stable").tolist()
-    return {(*grams[order[h]], w): c for h, w, c in zip(heads, last, counts.tolist())}
-
-
-def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    counted = stored(_counts(rows, {"n": "int", "head": "long", "tail": "long"}, parts_of).filter(F.col("c") >= limit), "grams") if order > 1 else None
+    size = float(total + n_types + 1)
+    levels = [types.select("key", "c", ((F.col("c") + 1) / F.lit(size)).alias("p"))]
+    shorter, weights = levels[0].filter(F.col("c") >= min_share * total), []
+    for n in range(2, order + 1):
+        grams = counted.filter(F.col("n") == n).join(shorter.select(F.col("key").alias("head"), F.col("c").alias("of")), "head")
+        grams = grams.join(shorter.select(F.col("key").alias("tail"), F.col("p").alias("lower")), "tail")
+        shorter = stored(grams.select(F.xxhash64("head", "tail").alias("key"), "head", "c", "of", ((F.col("c") - F.lit(discount)) / F.col("of")).alias("p"), "lower"), f"arcs-{n}")
+        levels.append(shorter)
+        left = 1.0 - (F.sum("c") - F.lit(discount) * F.count("*")) / F.first("of")
+        rest = 1.0 - F.sum(F.col("lower").cast("decimal(28,18)")).cast("double")
+        weights.append(stored(shorter.groupBy("head").agg(F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(rest, F.lit(1e-12))).alias("weight")), f"weights-{n}"))
+    none, out = F.lit(0.0), None
+    for n, level in enumerate(levels, 1):
+        value = F.log10(F.col("c") + 1.0) if n == 1 else F.log10("p") - F.col("less") - F.log10("lower")
+        if n > 1:
+            level = level.join(weights[n - 2].withColumnRenamed("weight", "less"), "head")
+        if n < order:
+            level = level.join(weights[n - 1].withColumnRenamed("head", "key"), "key", "left")
+            value = value + F.coalesce("weight", none)
+        part = level.select("key", "c", value.alias("value"), (F.log10(F.col("c") + 1.0) if n == 1 else none).alias("base"))
+        out = part if out is None else out.unionAll(part)
+    return stored(out, "values"), int(total), int(n_types)
+
+
+class Cache:
+    """The values of the most frequent n-grams, by their numbers in order."""
+
+    def __init__(self, frequent):
+        keys = frequent["key"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.value, self.base = keys[order], frequent["value"].to_numpy(dtype=float)[order], frequent["base"].to_numpy(dtype=float)[order]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, -1 where it is not."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        order = np.argsort(keys)  # neighbours in order are found near each other
+        known = keys[order]
+        at = np.minimum(np.searchsorted(self.keys, known), len(self.keys) - 1)
+        out = np.empty(len(keys), dtype=np.int64)
+        out[order] = np.where(self.keys[at] == known, at, -1)
+        return out
+
+
+def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, cache_share: float = CACHE_SHARE, **options) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` is a condition on the documents; those for which it does not hold are held out of training, null counts
     as training. base_score adds the add-one unigram log10 probabilities of all tokens, score is the automaton's. A null
     or empty text is its end token alone. Rows are neither dropped nor merged. Without training texts every token has
-    probability 1 and no state exists.
+    probability 1 and no state exists. ``cache_share`` moves work between broadcast and join, and changes no score.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~F.coalesce(training, F.lit(True))).alias("held_out"))
-    types, model = train(rows.filter(~F.col("held_out")), **options)
-    shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    values, total, n_types = train(rows.filter(~F.col("held_out")), order, **options)
+    shared = spark.sparkContext.broadcast(Cache(values.filter(F.col("c") >= cache_share * total).toPandas()))
+    size = math.log10(total + n_types + 1.0)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 36
+        cache, row = shared.value, TaskContext.get().partitionId() << 36
         for whole in batches:
             for batch in pieces(whole, "text"):
                 tokens, first = _tokens(batch)
-                number = model.numbers(tokens)
-                known = number >= 0
-                base = np.where(known, model.unigram[np.maximum(number, 0)] if len(model.unigram) else 0.0, 0.0)
-                out: list[list] = [[], [], [], [], [], []]
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    own = number[a:b]
-                    rare, times = np.unique(tokens[a:b][~known[a:b]], return_counts=True)
-                    for column, value in zip(out, (b - a, int(known[a:b].sum()), float(base[a:b].sum()), model.score(own.tolist()), rare.view(np.int64), times.astype(np.int32))):
-                        column.append(value)
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[3:]))], schema=schema)
+                n, length = batch.num_rows, np.diff(first)
+                base, part, known = -size * length, -size * length, np.zeros(n, dtype=np.int64)
+                owner, rare, of = np.repeat(np.arange(n), length), [], []
+                for k, keys, last in [(1, tokens, np.arange(len(tokens))), *((k, gram_key(h, t), at) for k, h, t, at in _grams(tokens, first, order))]:
+                    at, own = cache.places(keys), owner[last]
+                    hit = at >= 0
+                    part += np.bincount(own[hit], cache.value[at[hit]], minlength=n)
+                    if k == 1:
+                        base += np.bincount(own[hit], cache.base[at[hit]], minlength=n)
+                        known += np.bincount(own[hit], minlength=n)
+                    rare.append(keys[~hit])
+                    of.append(own[~hit])
+                of = np.concatenate(of)
+                rare = np.concatenate(rare)[np.argsort(of, kind="stable")].view(np.int64)
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), pa.array(length), pa.array(known), pa.array(base), pa.array(part), lists], schema=schema)
                 row += n
 
-    half = stored(rows.select("doc_id", "text", "held_out").mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, rare array<long>, times array<int>"), "scores")
-    size = math.log10(model.total + model.types + 1.0)
-    rare = half.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), "x.times")
-    # counts of types of equal log are equal: sums in decimals do not depend on their order
-    value = (F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(size))).cast("decimal(30,12)")
-    rare = rare.join(types, "token", "left").groupBy("row").agg(F.sum(value).cast("double").alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
-    out = half.drop("rare", "times").join(rare, "row", "left")
-    rest = F.coalesce("rest", F.lit(0.0))
+    half = stored(rows.select("doc_id", "text", "held_out").mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, rare array<long>"), "scores")
+    whole = lambda c: F.round(F.col(c) / F.lit(UNIT)).cast("long")
+    # n-grams that no training text has, or that are no state, have no value and meet nothing; a word's base is above 0
+    found = half.select("row", F.explode("rare").alias("key")).join(values.select("key", whole("value").alias("value"), whole("base").alias("base")), "key")
+    found = found.groupBy("row").agg(F.sum("value").alias("more_value"), F.sum("base").alias("more_base"), F.sum((F.col("base") > 0).cast("int")).alias("more"))
+    out = half.drop("rare").join(found, "row", "left")
+    more = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("part") + rest).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + more("more")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + more("more_base") * F.lit(UNIT)).alias("base_score"), (F.col("part") + more("more_value") * F.lit(UNIT)).alias("score"),
     )

@@ -174,6 +174,28 @@ def test_scores_agree_with_brute_force(frame, odd_docs, words):
     assert sorted(got) == sorted(want)
 
 
+def test_rare_words_and_grams_are_states_in_any_corpus(frame, words):
+    """Beside half a million other tokens, a word pair seen twice still carries its own probability, cached or joined."""
+    filler = [(10 + i, " ".join(words(1000, i)), "en", "s", 0) for i in range(500)]
+    rare = [(i, "rare1 rare2 rare3", "en", "s", 0) for i in (1, 2)]
+    rows = frame(filler + rare, DOCS)
+    total, types = 500 * 1001 + 8, len({w for d in filler + rare for w in d[1].split()}) + 1
+    first = math.log10((2 - 0.75) / 502)  # after the end of a text: two of 502 texts begin with it
+    for share in (0.0, 1.0):
+        out = backoff_model.score(rows, F.lit(True), cache_share=share).filter("doc_id < 3").collect()
+        assert len(out) == 2 and all(r.train_tokens == total and r.n_known == 4 for r in out)
+        for r in out:
+            base = sum(math.log10((n + 1) / (total + types + 1)) for n in (2, 2, 2, 502))
+            assert abs(r.base_score - base) < 1e-6 and abs(r.score - (first + 3 * math.log10((2 - 0.75) / 2))) < 1e-6
+
+
+def test_gram_numbers_agree_with_spark(spark):
+    rnd = np.random.Generator(np.random.PCG64(7))
+    a, b = (rnd.integers(0, 2**64, 100, dtype=np.uint64) for _ in range(2))
+    rows = spark.createDataFrame(list(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())), "a long, b long").select(F.xxhash64("a", "b").alias("k")).collect()
+    assert [r.k for r in rows] == backoff_model.gram_key(a, b).view(np.int64).tolist()
+
+
 def test_scores_of_nothing(frame):
     assert backoff_model.score(frame([], DOCS), F.lit(True)).count() == 0
     r = backoff_model.score(frame([(1, "a b", "e", "s", 1)], DOCS), F.lit(False)).first()
