@@ -23,12 +23,14 @@ SYMBOLS = "#*$%&|<>"
 #: Groups of fewer rows share the estimate of their language's small groups, or that of all small ones.
 MIN_GROUP = 100
 STEPS = 3
-#: Rows farther than this many robust units from the centre are rejected: the chi-squared quantile of five statistics is
-#: exceeded by one clean row in 10**8; the rest is room for tails heavier than the normal one.
-CUTOFF = 7.0
+#: Rows farther than this many robust units from the centre are rejected: the root of the 0.999 quantile of chi-squared
+#: with five degrees of freedom.
+CUTOFF = 4.53
 #: Standard deviations below which a statistic's spread is not believed (where over half of a group is equal, the
-#: estimate would otherwise have no determinant): for each statistic in the order of ``VECTOR``.
-FLOORS = (0.08, 0.25, 0.25, 0.25, 1.0)
+#: estimate would otherwise have no determinant): for each statistic in the order of ``VECTOR``. A floor times the cut-off
+#: lies inside the statistic's range, so that each one alone can reject: about half of the lines being duplicates, or 23 %
+#: of the words repeated (more than 30 % fail the base rules).
+FLOORS = (0.08, 0.25, 0.17, 0.11, 1.0)
 VECTOR = ("v0", "v1", "v2", "v3", "v4")
 BINS_PER_UNIT = 16
 P = len(VECTOR)

@@ -61,6 +61,22 @@ def test_too_few_rows_have_no_distance_and_stay(frame, words):
     assert all(r.kept and r.distance is None for r in out)
 
 
+def test_each_statistic_alone_can_reject(frame, words):
+    """Short lines that are mostly duplicates, and repeated words, go though the text is usual in all else."""
+    clean = [(i, "\n".join(" ".join(words(10, 100 * i + k)) for k in range(3 + i % 9)), "en", "s", 0) for i in range(300)]
+    lines = [" ".join(words(1, 7)), *(" ".join(words(10, 40_000 + k)) for k in range(6))]
+    many = [(1000, "\n".join([lines[0]] * 20 + lines[1:]), "en", "s", 0)]  # 19 of 26 lines, and 20 of 80 words
+    again = [(1001, "\n".join([" ".join(words(10, 41_000))] * 2 + [" ".join(words(10, 42_000 + k)) for k in range(6)]), "en", "s", 0)]  # 1 of 8 lines, 20 of 80 words
+    apart = [(1002, "\n".join(x for k in range(7) for x in (lines[0], " ".join(words(10, 43_000 + k)))), "en", "s", 0)]  # 6 of 14 lines, no repeated window
+    by = {r.doc_id: r for r in robust_rules.judge(frame(clean + many + again + apart, DOCS)).collect()}
+    assert all(by[d[0]].kept for d in clean)
+    assert (by[1000].n_dup_lines, by[1000].n_lines, by[1000].base_failed, by[1000].kept) == (19, 26, False, False)
+    assert (by[1001].n_dup_lines, by[1001].n_repeat_words, by[1001].n_words, by[1001].kept) == (1, 20, 80, False)
+    assert (by[1002].n_dup_lines, by[1002].n_repeat_words, by[1002].kept) == (6, 0, True)
+    reach = (math.pi / 2, math.asin(math.sqrt(robust_rules.MOST_REPEATED / 100)))
+    assert all(r / robust_rules.FLOORS[i] > robust_rules.CUTOFF for i, r in zip((2, 3), reach))
+
+
 def test_estimate_is_the_determinant_minimum_of_its_starts(frame):
     """A contaminated normal sample: centre and spread are those of the clean part."""
     rnd = np.random.Generator(np.random.PCG64(3))
