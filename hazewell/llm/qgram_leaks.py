@@ -3,6 +3,9 @@
 Texts and items are folded to lower-case letters and digits with single spaces. An item of m characters occurs with at
 most k edits only where its diagonal band shares at least m + 1 - q (k + 1) q-grams with the text. Shared q-grams are
 counted in overlapping bands of diagonals; bands that meet the bound are aligned, inside the band only.
+
+Parts of an item count too: overlapping windows of a long item are searched like items, each with its own k and bound, and
+a run of shared q-grams on one diagonal is a passage quoted word for word. Short items are matched exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from hazewell.llm.words import U64, mix, pieces
 Q = 8
 #: Edits for each character of an item.
 BUDGET = 0.1
-#: Folded items of fewer characters are too short to tell a leak from chance; they match nothing.
+#: Folded items of fewer characters are too short to tell an edited copy from chance; they match exactly, as whole words.
 MIN_CHARS = 30
+#: A quoted passage of so many folded characters is a leak, whatever the rest of its item.
+QUOTE = 50
+#: Longer items are also searched by windows of so many characters, one begun each half of a window.
+REGION = 256
 #: Characters of benchmark items sent to the executors at once; a larger benchmark is worked off in blocks.
 BLOCK_CHARS = 8_000_000
 
@@ -80,13 +87,52 @@ def qgrams(code: np.ndarray, at: np.ndarray, q: int) -> tuple[np.ndarray, np.nda
     return total, inside
 
 
+def trimmed_code(code: np.ndarray) -> np.ndarray:
+    return code[:-1] if len(code) and code[-1] == 32 else code
+
+
+class Short:
+    """Items matched exactly, one sorted table of numbers for each length."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.tables = {}
+        for size in sorted({len(c) for _, c in items}):
+            same = [(n, c) for n, c in items if len(c) == size]
+            numbers = np.array([qgrams(c, np.array([0, size]), size)[0][0] for _, c in same], dtype=np.uint64)
+            order = np.argsort(numbers, kind="stable")
+            self.tables[size] = (numbers[order], [same[i] for i in order.tolist()])
+
+    def found(self, folded: Folded) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, end) in folded characters. An item begins and ends where a word does; scripts written
+        without spaces have no such places, and need none."""
+        for size, (numbers, items) in self.tables.items():
+            grams, inside = qgrams(folded.code, folded.at, size)
+            at = np.minimum(np.searchsorted(numbers, grams), len(numbers) - 1)
+            for i in np.flatnonzero((numbers[at] == grams) & inside).tolist():
+                before, after = (folded.code[i - 1] if i else 32), folded.code[i + size]
+                t = int(np.searchsorted(folded.at, i, side="right")) - 1
+                if i > folded.at[t] and before != 32 and before < 0x2E80 and folded.code[i] < 0x2E80 or after != 32 and after < 0x2E80 and folded.code[i + size - 1] < 0x2E80:
+                    continue
+                for k in range(int(at[i]), len(numbers)):
+                    if numbers[k] != grams[i]:
+                        break
+                    if np.array_equal(items[k][1], folded.code[i : i + size]):
+                        yield t, items[k][0], i, i + size
+
+
 class Items:
     """The searched side: q-gram postings of all items and the bounds of each."""
 
     def __init__(self, ids: list[int], texts: list[str], q: int = Q, budget: float = BUDGET, min_chars: int = MIN_CHARS):
         folded = fold(texts)
-        kept = [(i, folded.code[a : b - 1]) for i, a, b in zip(ids, folded.at[:-1], folded.at[1:]) if b - 1 - a >= max(q, min_chars)]
-        self.q, self.ids, self.codes = q, [i for i, _ in kept], [c for _, c in kept]
+        whole = [(i, trimmed_code(folded.code[a : b - 1])) for i, a, b in zip(ids, folded.at[:-1], folded.at[1:])]
+        long = [(n, c) for n, (_, c) in enumerate(whole) if len(c) >= max(q, min_chars)]
+        # windows end where their item ends; an item's own entry comes first
+        parts = [(n, c[a : a + REGION]) for n, c in long if len(c) > REGION for a in sorted({*range(0, len(c) - REGION, REGION // 2), len(c) - REGION})]
+        self.short = Short([(n, c) for n, (_, c) in enumerate(whole) if 0 < len(c) < max(q, min_chars)])
+        kept = long + parts
+        self.q, self.ids, self.codes, self.whole = q, [i for i, _ in whole], [c for _, c in kept], len(long)
+        self.origin = np.array([n for n, _ in kept], dtype=np.int64)
         size = np.array([len(c) for c in self.codes], dtype=np.int64)
         # as many edits as the budget allows and the bound can still see
         self.k = np.minimum((size * budget).astype(np.int64), np.maximum(0, size // q - 1))
@@ -140,22 +186,47 @@ def align(code: np.ndarray, items: list[np.ndarray], begin: np.ndarray, end: np.
 
 def search(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first, end, edits): for each text and item the best occurrence within the item's budget, in characters of the text."""
-    if not len(items.number) or not texts:
+    if not texts:
         return []
     folded = fold(texts)
+    # an item's best match: of the whole item, then of a window, then a quoted passage
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+
+    def note(t: int, n: int, rank: int, edits: int, begin: int, end: int) -> None:
+        found = (rank, edits, int(folded.place[begin]), int(folded.place[end - 1]) + 1)
+        best[t, n] = min(best.get((t, n), found), found)
+
+    for t, n, begin, end in items.short.found(folded):
+        note(t, n, 0, 0, begin, end)
+    _search_long(items, folded, len(texts), note)
+    return [(t, items.ids[n], first, end, edits) for (t, n), (_, edits, first, end) in sorted(best.items())]
+
+
+def _search_long(items: Items, folded: Folded, n_texts: int, note) -> None:
+    if not len(items.number):
+        return
     grams, inside = qgrams(folded.code, folded.at, items.q)
     if not len(grams):
-        return []
+        return
     hits = np.flatnonzero(items.sieve[mix(grams) >> U64(64 - _SIEVE_BITS)] & inside)
     known = np.searchsorted(items.number, grams[hits])
     known[known == len(items.number)] = 0
     same = items.number[known] == grams[hits]
     hits, known = hits[same], known[same]
     if not len(hits):
-        return []
+        return
     many = items.many[known]
     posting = np.arange(many.sum(), dtype=np.int64) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.first[known], many)
     item, diagonal = items.item[posting], np.repeat(hits, many) - items.spot[posting]
+    # runs of q-grams on one diagonal, in the items' own entries: a passage of QUOTE characters has QUOTE - q + 1 of them
+    run = max(1, QUOTE - items.q + 1)
+    own, place = item < items.whole, np.repeat(hits, many)
+    reach = len(folded.code) + max(len(c) for c in items.codes)
+    line = item[own] * (2 * reach + 2) + diagonal[own] + reach
+    order = np.lexsort((place[own], line))
+    line, at, which = line[order], place[own][order], item[own][order]
+    for i in np.flatnonzero((line[run - 1 :] == line[: len(line) - run + 1]) & (at[run - 1 :] == at[: len(at) - run + 1] + run - 1)).tolist() if len(line) >= run else ():
+        note(int(np.searchsorted(folded.at, at[i], side="right")) - 1, int(items.origin[which[i]]), 2, 0, int(at[i]), int(at[i]) + QUOTE)
     # fine bins of k + 1 diagonals; two neighbours are a band, and bands overlap by one bin
     width = items.k[item] + 1
     shift = int(max(items.k, default=0)) + max((len(c) for c in items.codes), default=0) + 2
@@ -173,19 +244,16 @@ def search(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int
         # texts that the band's cells touch: one, or neighbours where the band lies over an edge
         t0 = max(0, int(np.searchsorted(folded.at, low, side="right")) - 1)
         t1 = int(np.searchsorted(folded.at, low + 2 * (k + 1) + m, side="left"))
-        for t in range(t0, min(t1, len(texts))):
+        for t in range(t0, min(t1, n_texts)):
             a, z = max(int(folded.at[t]), low - k), min(int(folded.at[t + 1]), low + 3 * k + 2 + m)
             if z - a >= m - k:
                 todo.append((m, t, n, a, z, low - k - a, low + 3 * k + 2 - a))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     todo.sort()
     for c in range(0, len(todo), 256):
         _, text, item, a, z, low, high = (np.array(v, dtype=np.int64) for v in zip(*todo[c : c + 256]))
         for t, n, begin, (edits, i, j) in zip(text.tolist(), item.tolist(), a.tolist(), align(folded.code, [items.codes[n] for n in item], a, z, low, high)):
             if edits <= items.k[n] and j > i:
-                found = (edits, int(folded.place[begin + i]), int(folded.place[begin + j - 1]) + 1)
-                best[t, n] = min(best.get((t, n), found), found)
-    return [(t, items.ids[n], first, end, edits) for (t, n), (edits, first, end) in sorted(best.items())]
+                note(t, int(items.origin[n]), int(n >= items.whole), edits, begin + i, begin + j)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, most_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list]]:
@@ -199,9 +267,12 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, most_chars: int =
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row (doc_id, item_id, first, end, edits) for each document and item that occurs in it within the edit budget; first and end are places in its text.
+    """One row (doc_id, item_id, first, end, edits) for each document and item that leaks into it; first and end are places in its text.
 
-    Null or empty texts, and items of fewer than ``min_chars`` folded characters, match nothing. Repeated documents and
+    An item leaks where all of it, or a window of ``REGION`` characters, occurs within the edit budget, or ``QUOTE``
+    characters of it word for word; edits are those of the part that was found, which is the whole item where that
+    is within its budget, else the window, else the first passage of ``QUOTE`` characters. Items of fewer than ``min_chars`` folded characters
+    match exactly, as whole words. Null or empty texts and items match nothing. Repeated documents and
     items are reported each for itself; a null doc_id or item_id stays null. An empty table on either side gives an empty
     result. No row is shuffled: whole texts pass the searched items, batch by batch.
     """

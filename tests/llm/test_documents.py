@@ -132,6 +132,22 @@ def test_leaks_agree_with_full_alignment(frame, words):
         assert edits_within(fold(next(t for i, t in items if i == r.item_id)), fold(text[r.first : r.end])) == r.edits
 
 
+def test_parts_of_items_and_short_items_are_leaks(words):
+    long, middle = " ".join(words(100, 1)), " ".join(words(20, 2))
+    items = qgram_leaks.Items([1, 2, 3, 4, 5], [long, middle, "What is 6x7?", "日本の首都はどこですか", ""])
+    near = long[: len(long) // 2]
+    near = "".join(c for i, c in enumerate(near) if i % 16)  # an edit in each 16 characters: no long passage word for word
+    texts = [
+        "a " + near + " z", "a " + middle[: len(middle) * 85 // 100], middle[len(middle) // 2 :] + " " + " ".join(words(40, 9)), "so WHAT is 6x7, then", "so what is 6x75", "somewhat is 6x7",
+        "質問:日本の首都はどこですか?東京です", middle[:40] + " " + " ".join(words(40, 10)), "", None, " ".join(words(400, 11)),
+    ]
+    got = qgram_leaks.search(items, texts)
+    assert [(t, i) for t, i, *_ in got] == [(0, 1), (1, 2), (2, 2), (3, 3), (6, 4)]
+    by = {t: r for t, *r in got}
+    assert by[1][3] == by[2][3] == by[3][3] == by[6][3] == 0 < by[0][3] <= qgram_leaks.REGION * qgram_leaks.BUDGET
+    assert texts[3][by[3][1] : by[3][2]] == "WHAT is 6x7" and texts[6][by[6][1] : by[6][2]] == "日本の首都はどこですか"
+
+
 def test_blocks_of_items_and_filtering(frame, words, monkeypatch):
     items = frame([(i, " ".join(words(12, i))) for i in range(30)], "item_id long, text string")
     docs = frame([(i, "before " + " ".join(words(12, i)) + " after", 7) for i in range(0, 60, 2)] + [(None, None, 7)], "doc_id long, text string, edits long")
