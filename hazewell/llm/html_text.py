@@ -45,6 +45,11 @@ NOISE_WORDS = {
 }
 #: Their beginnings, where a name runs on (``commentlist``).
 NOISE_STARTS = ("comment", "sidebar", "advert", "adsby", "cookie", "newsletter", "breadcrumb", "footer", "navbar", "navigation", "sponsor", "popup", "disqus")
+#: Names that begin or end so tell what an element has or how it is, not what it is (``has-sidebar``, ``comments-open``).
+HAVING = {"has", "have", "with", "without", "no", "not", "is", "show", "shows", "hide", "hides", "allow", "allows"}
+STATES = {"open", "closed", "enabled", "disabled", "on", "off", "active", "inactive", "allowed", "loaded", "visible", "count", "ready"}
+#: Text of a block from so many characters on is prose.
+PROSE = 40
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
@@ -72,7 +77,7 @@ class _Node:
 
 
 def _element(tag: str, attributes: str, parent) -> _Node:
-    words: list[str] = []
+    words: set[str] = set()
     sign = tag
     hidden = False
     if attributes:
@@ -81,7 +86,10 @@ def _element(tag: str, attributes: str, parent) -> _Node:
             if name == "hidden" or name == "aria-hidden":
                 hidden |= name == "hidden" and value.lower() not in ("false", "until-found")
             else:
-                words += re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
+                for one in value.split():
+                    own = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()) if w]
+                    if len(own) < 2 or own[0] not in HAVING and own[-1] not in STATES:
+                        words.update(own)
                 if name == "class":
                     sign += "".join(f".{c}" for c in sorted(set(value.split()))[:6])
     inside = parent.article if parent else False
@@ -159,14 +167,36 @@ def parse(page: str) -> tuple[list[Block], set[tuple[str, str]]]:
     bad: dict[int, bool] = {id(root): False}
     for n in nodes[1:]:
         bad[id(n)] = n.noise or bad[id(n.parent)] or (n.soft and not n.protected)
+    for n in _spared(found, nodes[1:], bad):
+        n.soft = False
+        for x in nodes[1:]:
+            bad[id(x)] = x.noise or bad[id(x.parent)] or (x.soft and not x.protected)
     blocks = [Block(n.path, text, bad[id(n)], n.article) for n, text in found]
     return blocks, {(n.path, ",".join(dict.fromkeys(n.kids))) for n in nodes[1:]}
 
 
+def _spared(found: list[tuple[_Node, str]], nodes: list[_Node], bad: dict[int, bool]) -> Iterator[_Node]:
+    """Elements that only a name makes noise, but that hold over half of the page's prose outside of other noise, outermost
+    first. Where an article or main element has clean prose, the page has its text already, and none is spared."""
+    if any(n.article and not bad[id(n)] and len(text) >= PROSE for n, text in found):
+        return
+    below: dict[int, int] = {}
+    total = 0
+    for n, text in found:
+        if n.noise or len(text) < PROSE:
+            continue
+        total += len(text)
+        while n is not None:
+            below[id(n)] = below.get(id(n), 0) + len(text)
+            n = n.parent
+    for n in nodes:
+        if n.soft and not n.protected and 2 * below.get(id(n), 0) > total:
+            yield n
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
-    """Without noise; only what stands in an article or main element, if the page has any there."""
-    clean = [b for b in blocks if not b.noise]
-    return [b for b in clean if b.article] or clean
+    """Without noise. What stands outside of article and main elements is left to the style tree."""
+    return [b for b in blocks if not b.noise]
 
 
 def without(blocks: list[Block], low: set[str]) -> list[Block]:

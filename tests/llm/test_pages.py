@@ -79,6 +79,19 @@ def test_only_the_article_is_left(frame):
     assert html_text.extract(frame([], PAGES)).count() == 0
 
 
+def test_no_name_alone_drops_the_text():
+    prose = "A long first paragraph of the article, with all that it has to say."
+    text = lambda page: [b.text for b in html_text.main_blocks(html_text.parse(page)[0])]
+    for page in (
+        f"<body><article class='post comments-open'><p>{prose}</p></article></body>", f"<body><div class='content has-sidebar'><p>{prose}</p></div></body>",
+        f"<body><div class='search-page'><p>{prose}</p></div></body>", f"<body><article class='related'><div id='form'><p>{prose}</p></div></article></body>",
+    ):
+        assert text(page) == [prose]
+    # a teaser in an article does not drop the text beside it, and names still remove comments
+    assert text(f"<body><article><p>Teaser</p></article><div><p>{prose}</p></div><div class='comments'><p>Nice</p></div></body>") == ["Teaser", prose]
+    assert text(f"<body><article><p>{prose}</p></article><div class='comments'><p>{prose} {prose}</p></div></body>") == [prose]
+
+
 def test_style_tree_removes_what_every_page_of_a_host_repeats(frame, words):
     page = lambda i: f"<div class='wrap'><div class='body'><h1>{' '.join(words(5, i))}</h1><p>{' '.join(words(40, i + 999))}</p></div><div class='tagline'>The same on all pages</div></div>"
     rows = [(i, "http://site.example/" + str(i), page(i)) for i in range(30)]
