@@ -22,8 +22,12 @@ from hazewell.llm.common import free_name, small
 from hazewell.llm.url_filter import url_host
 from hazewell.session import stored
 
-#: Pages of different main text that a node must be seen on before its importance counts.
-MIN_PAGES = 20
+#: Pages of different main text that a node must be seen on: on fewer there is nothing to compare.
+MIN_PAGES = 2
+#: Few pages prove little: contents are weighed as if so many further pages without a node's texts had been seen. With the
+#: first number a text must be on all of three pages, or nearly all of many, to be removed; nodes that are low with the
+#: second one too are surely template (all of 12 pages, or nearly all of 20).
+UNSEEN, UNSEEN_SURE = 0.25, 4.0
 #: Nodes of at most this importance are removed.
 THRESHOLD = 0.1
 #: Weight of what is below a node, a child sequence.
@@ -199,12 +203,16 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if not b.noise]
 
 
-def without(blocks: list[Block], low: set[str]) -> list[Block]:
-    """The blocks that no low-importance node holds, unless these nodes hold more than half of the text."""
-    if not low:
-        return blocks
-    left = [b for b in blocks if not any(b.path == p or b.path.startswith(f"{p}>") for p in low)]
-    return left if 2 * sum(len(b.text) for b in left) >= sum(len(b.text) for b in blocks) else blocks
+def _outside(blocks: list[Block], low: set[str]) -> list[Block]:
+    return [b for b in blocks if not any(b.path == p or b.path.startswith(f"{p}>") for p in low)] if low else blocks
+
+
+def without(blocks: list[Block], low: set[str], sure: set[str] = frozenset()) -> list[Block]:
+    """The blocks that no low-importance node holds. Nodes that are surely template go whatever they hold; what few pages
+    speak against goes unless it is over half of the remaining text. A page that would keep nothing keeps its blocks."""
+    own = _outside(blocks, sure) or blocks
+    left = _outside(own, low)
+    return left if 2 * sum(len(b.text) for b in left) >= sum(len(b.text) for b in own) else own
 
 
 def _number(text: str) -> int:
@@ -212,7 +220,7 @@ def _number(text: str) -> int:
 
 
 def low_importance(pages: DataFrame, host: str = "host", html: str = "html", min_pages: int = MIN_PAGES, threshold: float = THRESHOLD, gamma: float = GAMMA) -> DataFrame:
-    """The style tree's nodes of low importance: host, path.
+    """The style tree's nodes of low importance: host, path, and sure: whether they are low by the larger number of unseen pages too.
 
     Pages of a host with the same main text count once, so copies of an article don't make it look like a template.
     Counts are combined before each shuffle; a host with a third of all pages is split over (path, text) keys.
@@ -250,9 +258,10 @@ def low_importance(pages: DataFrame, host: str = "host", html: str = "html", min
     below = counts.filter("texts > 0").select("h", F.explode(above).alias("path"), "texts", "text_logn").groupBy("h", "path").agg(F.sum("texts").alias("texts"), F.sum("text_logn").alias("text_logn"))
     tree = counts.filter("m IS NOT NULL").select("h", "path", "m", "style_nlogn", "styles").join(below, ["h", "path"]).filter(F.col("m") >= max(2, min_pages))
     shown = (F.log("m") - F.col("style_nlogn") / F.col("m")) / F.log("m")
-    content = F.lit(1.0) - F.col("text_logn") / F.col("texts") / F.log("m")
+    content = lambda unseen: F.lit(1.0) - F.col("text_logn") / F.col("texts") / F.log(F.col("m") + F.lit(unseen))
     weight = F.pow(F.lit(gamma), F.col("styles"))
-    return tree.filter((F.lit(1.0) - weight) * shown + weight * content <= threshold).select(F.col("h").alias("host"), "path")
+    low = lambda unseen: (F.lit(1.0) - weight) * shown + weight * content(unseen) <= threshold
+    return tree.filter(low(UNSEEN)).select(F.col("h").alias("host"), "path", low(UNSEEN_SURE).alias("sure"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", **tree) -> DataFrame:
@@ -263,16 +272,18 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", **tree) -> D
     Rows are neither dropped nor merged; an empty table gives an empty one.
     """
     rows = pages.drop("text", "n_chars")
-    host, low, out = free_name(rows, "site_host"), free_name(rows, "site_low"), free_name(rows, "site_text")
+    host, low, sure, out = (free_name(rows, f"site_{c}") for c in ("host", "low", "sure", "text"))
     rows = rows.withColumn(host, url_host(F.col(url)))
-    nodes = low_importance(rows, host, html, **tree).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias(low))  # bounded by a site's template
+    paths = lambda c: F.sort_array(F.collect_set(c))
+    nodes = low_importance(rows, host, html, **tree).groupBy("host").agg(paths("path").alias(low), paths(F.when(F.col("sure"), F.col("path"))).alias(sure))  # bounded by a site's template
     nodes = stored(nodes.withColumnRenamed("host", host), "low-nodes")
     rows = rows.join(small(nodes, 10_000), host, "left")
 
     @F.pandas_udf("string")
-    def main_text(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, removed in columns:
-            yield pd.Series(["\n".join(b.text for b in without(main_blocks(parse(p or "")[0]), set(r) if r is not None else set())) for p, r in zip(page, removed)], dtype=object)
+    def main_text(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        some = lambda paths: set(paths) if paths is not None else set()
+        for page, removed, surely in columns:
+            yield pd.Series(["\n".join(b.text for b in without(main_blocks(parse(p or "")[0]), some(r), some(y))) for p, r, y in zip(page, removed, surely)], dtype=object)
 
-    rows = rows.withColumn(out, main_text(F.coalesce(F.col(html), F.lit("")), F.col(low)))
-    return rows.select(*[c for c in rows.columns if c not in (host, low, out)], F.col(out).alias("text"), F.length(out).cast("long").alias("n_chars"))
+    rows = rows.withColumn(out, main_text(F.coalesce(F.col(html), F.lit("")), F.col(low), F.col(sure)))
+    return rows.select(*[c for c in rows.columns if c not in (host, low, sure, out)], F.col(out).alias("text"), F.length(out).cast("long").alias("n_chars"))

@@ -101,6 +101,19 @@ def test_style_tree_removes_what_every_page_of_a_host_repeats(frame, words):
     assert all(out[100 + i].endswith("The same on all pages") for i in range(40))
 
 
+def test_style_tree_needs_few_pages_and_not_a_share_of_the_text(frame, words):
+    page = lambda i, n, note: f"<div class='wrap'><div class='body'><p>{' '.join(words(n, i))}</p></div><div class='tagline'>{note}</div></div>"
+    note, long = "The same on all pages", "The same on all pages and much longer than any article " * 9
+    rows = [(10 * k + i, f"http://site{k}.example/{i}", page(10 * k + i, 40, note)) for k in (1, 3, 5) for i in range(k)]
+    rows += [(100 + i, f"http://long.example/{i}", page(100 + i, 12, long)) for i in range(25)]
+    rows += [(200 + i, f"http://near.example/{i}", f"<div class='wrap'><h1>{' '.join(words(3, 300 + i))}</h1><p>{' '.join(words(60, 7))}</p></div>") for i in range(3)]
+    out = {r.page_id: r.text for r in html_text.extract(frame(rows, PAGES)).collect()}
+    assert note in out[10]  # one page tells nothing
+    assert all(out[i] == " ".join(words(40, i)) for i in (*range(30, 33), *range(50, 55)))
+    assert all(out[100 + i] == " ".join(words(12, 100 + i)) for i in range(25))
+    assert all(out[200 + i].endswith(" ".join(words(60, 7))) for i in range(3))  # three near copies are no template
+
+
 def test_archives_give_every_page_back(spark, frame, tmp_path):
     big = "é" * 3_000_000
     rows = [(5, "http://a/\r\nX: 1%", "x" * 100), (3, None, "x" * 100), (9, "u", "x" * 100), (9, "u", "x" * 100), (1, "v", "y" * 99), (2, "v", "y" * 99), (4, "w", None), (None, "n", "x" * 100), (6, "b", big), (7, "b", big), (None, "z", "z" * 200), (None, "z", "z" * 200)]
