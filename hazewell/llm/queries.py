@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazewell.llm import backoff_model, html_text, near_dups, qgram_leaks, robust_rules, shard_table, source_mix, token_files, url_filter, warc
+from hazewell.llm import backoff_model, html_text, near_dups, qgram_leaks, resampling, robust_rules, secret_owners, shard_table, source_mix, token_files, url_filter, warc, whitening
 from hazewell.llm.common import table
 from hazewell.session import shared_dir, stored
 
@@ -95,8 +95,26 @@ def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
+def op11_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are the repositories, sources the owners."""
+    found = secret_owners.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    base = F.sha2(secret_owners.written(secret_owners.base_findings(F.col("findings"))), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secret_owners.written(F.col("findings")).alias("spans"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null where 64 bits can't hold it
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op5_backoff_model, op6_source_mix, op7_warc, op8_token_files, op9_near_dups, op10_shard_table)
+    q.__name__: q for q in (op1_url_filter, op2_html_text, op3_robust_rules, op4_qgram_leaks, op5_backoff_model, op6_source_mix, op7_warc, op8_token_files, op9_near_dups, op10_shard_table,
+                            op11_secret_owners, op12_whitening, op13_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL}

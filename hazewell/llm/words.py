@@ -57,10 +57,10 @@ def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end of each word; no word crosses from one text to the next."""
+def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word, a run of bytes that ``is_word`` marks; no word crosses from one text to the next."""
     n = len(data)
-    word = np.concatenate(([False], _IS_WORD[data], [False]))
+    word = np.concatenate(([False], is_word[data], [False]))
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
     inner = word[1:-1]
