@@ -8,17 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazewell.functions import scalars as S
+from hazewell.operators import moving, scan
 from hazewell.operators import windows as W
 from hazewell.operators.forecast import poisson_weight
 from hazewell.operators.quantiles import exact_quantiles, quantile_columns
 from hazewell.operators.scalars_on import with_scalar
+from hazewell.session import bounded_broadcast
 
 ALPHA = 0.1
 SERIES = ("model", "station_id")
+#: Rows of a series that one task composes at a time.
+STRETCH = 8_192
+MOVING_ROWS = 200_000
 
 
 def _scores(errors: DataFrame) -> DataFrame:
@@ -28,19 +35,19 @@ def _scores(errors: DataFrame) -> DataFrame:
 def conformal_fit(errors: DataFrame, alpha: float = ALPHA, finite_sample: bool = False) -> DataFrame:
     """Threshold per model: the 1 - alpha quantile of the absolute residuals.
 
-    ``finite_sample`` takes the ceil((n + 1)(1 - alpha))-th smallest score instead.
+    ``finite_sample`` takes the ceil((n + 1)(1 - alpha))-th smallest score instead. Null scores are left out.
     """
-    s = _scores(errors)
+    s = _scores(errors).filter(F.col("score").isNotNull())
     if not finite_sample:
         return quantile_columns(s, "score", {"threshold": 1 - alpha}, ["model"])
     placed = W.ordered_position(s, "score", ["station_id", "target_ts"], ["model"], name="_p")
     n = s.groupBy("model").agg(F.count("score").alias("_n"))
     want = F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.col("_n")) - 1
-    return placed.join(n, "model").filter(F.col("_p") == want).select("model", F.col("score").alias("threshold"))
+    return placed.join(bounded_broadcast(n), "model").filter(F.col("_p") == want).select("model", F.col("score").alias("threshold"))
 
 
 def conformal_apply(forecasts: DataFrame, fit: DataFrame) -> DataFrame:
-    j = forecasts.join(fit, "model")
+    j = forecasts.join(bounded_broadcast(fit), "model")
     return j.withColumns({"lower": F.col("yhat") - F.col("threshold"), "upper": F.col("yhat") + F.col("threshold")}).drop("threshold")
 
 
@@ -87,35 +94,28 @@ def quantile_quality(errors: DataFrame, offsets: DataFrame) -> DataFrame:
     return j.groupBy("model", "level").agg(c.alias("coverage")).withColumn("coverage_error", F.abs(F.col("coverage") - F.col("level")))
 
 
-def _fold(errors: DataFrame, zero: Column, step, value: str = "score") -> DataFrame:
-    """Fold over a series' scores in time order; a series adds one score an hour."""
-    g = _scores(errors).groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("target_ts", value))).alias("_s"))
-    return g.select(*SERIES, F.aggregate("_s", zero, step).alias("_r"))
-
-
 def online_quantile(errors: DataFrame, q: float = 0.9, rate: float = 0.01, legacy: bool = False) -> DataFrame:
-    """Running quantile: first score, then up by rate x q above the estimate and down by rate x (1 - q) below.
+    """Running quantile: first score, then up by rate x q above the estimate and down by rate x (1 - q) below. Null scores are left out.
 
-    ``legacy`` swaps the two steps, which then tends to the 1 - q quantile.
+    ``legacy`` swaps the two steps, which then tends to the 1 - q quantile. After p more rows the estimate is the first
+    score + p x up - rate x k, k of them being not above it, so whole numbers k are folded: a row adds one to k while k is
+    below a bound that its place and score give.
     """
-    up, down = (rate * (1 - q), rate * q) if legacy else (rate * q, rate * (1 - q))
-
-    def step(a: Column, s: Column) -> Column:
-        return F.when(a.isNull(), s["score"]).when(s["score"] > a, a + up).otherwise(a - down)
-
-    return _fold(errors, F.lit(None).cast("double"), step).withColumnRenamed("_r", "threshold")
+    up = rate * (1 - q) if legacy else rate * q
+    s = _scores(errors).filter(F.col("score").isNotNull()).select(*SERIES, "target_ts", "score")
+    first = bounded_broadcast(s.groupBy(*SERIES).agg(F.min(F.struct("target_ts", "score")).alias("_f")).select(*SERIES, F.col("_f.score").alias("_s0")))
+    placed = W.ordered_position(s, "target_ts", ["score"], SERIES, name="_p").join(first, list(SERIES))
+    below = (F.col("_s0") + (F.col("_p") - 1) * up - F.col("score")) / rate
+    # a hair's breadth takes up the rounding of sums: a score equal to the estimate is not above it
+    bound = F.when(F.col("_p") == 0, -1).otherwise(F.floor(below + 1e-9) + 1)
+    rows = placed.withColumns({"_bound": bound, "_cut": F.floor(F.col("_p") / STRETCH)})
+    done = scan.fold(rows, SERIES, ["_p"], ["_bound"], scan.Counted(), ["_k"], by_stretch="_cut").join(first, list(SERIES))
+    return done.select(*SERIES, (F.col("_s0") + (F.col("rows") - 1) * up - F.col("_k") * rate).alias("threshold"))
 
 
 def online_moments(errors: DataFrame, rate: float = 0.01) -> DataFrame:
-    """Exponential mean and variance of the scores, starting at 0 and 1; the variance moves from the second score on."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(1.0).alias("v"))
-
-    def step(a: Column, s: Column) -> Column:
-        m = a["m"] * (1 - rate) + s["score"] * rate
-        v = F.when(a["n"] >= 1, a["v"] * (1 - rate) + (s["score"] - m) * (s["score"] - m) * rate).otherwise(a["v"])
-        return F.struct((a["n"] + 1).alias("n"), m.alias("m"), v.alias("v"))
-
-    return _fold(errors, zero, step).select(*SERIES, F.col("_r.m").alias("mean"), F.col("_r.v").alias("variance"))
+    """Exponential mean and variance of the scores, starting at 0 and 1; the variance moves from the second score on. Null scores are left out."""
+    return scan.fold(_scores(errors), SERIES, ["target_ts", "score"], ["score"], scan.Moments(rate), ["mean", "variance"]).drop("rows")
 
 
 def _batches(errors: DataFrame, size: int) -> DataFrame:
@@ -126,20 +126,36 @@ def _batches(errors: DataFrame, size: int) -> DataFrame:
 def batch_adapt(errors: DataFrame, start: float, size: int = 50, rate: float = 0.1, alpha: float = ALPHA) -> DataFrame:
     """Threshold after mixing in the quantile of every full batch."""
     b = _batches(errors, size).groupBy(*SERIES, "batch").agg(F.percentile("score", 1 - alpha).alias("q"), F.count("*").alias("n")).filter(F.col("n") == size)
-    g = b.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("batch", "q"))).alias("_s"))
-    return g.select(*SERIES, F.aggregate("_s", F.lit(float(start)), lambda a, s: a * (1 - rate) + s["q"] * rate).alias("threshold"), F.size("_s").alias("batches"))
+    return scan.fold(b, SERIES, ["batch"], ["q"], scan.Decay(rate, [start]), ["threshold"]).withColumnRenamed("rows", "batches")
 
 
-def sliding_threshold(errors: DataFrame, rows: int = 1000, least: int = 100, alpha: float = ALPHA) -> DataFrame:
-    """Quantile of the most recent scores at every step, once enough were seen."""
-    f = Window.partitionBy(*SERIES).orderBy("target_ts").rowsBetween(-(rows - 1), 0)
-    s = _scores(errors)
-    return s.select(*SERIES, "target_ts", F.when(F.count("score").over(f) >= least, F.percentile("score", 1 - alpha).over(f)).alias("threshold"))
+def sliding_threshold(errors: DataFrame, rows: int = 1000, least: int = 100, alpha: float = ALPHA, segment_rows: int = MOVING_ROWS) -> DataFrame:
+    """Quantile of the most recent scores at every step, once enough were seen.
+
+    A segment of a series, with the rows that its first frames reach back to, is worked off by ``moving.quantiles``: the
+    cost of a row grows with the logarithm of the segment, whatever the frame.
+    """
+    s = _scores(errors).select(*SERIES, "target_ts", "score")
+
+    def op(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+        schema = T.StructType([*d.schema.fields, T.StructField("threshold", T.DoubleType())])
+
+        def run(table):
+            import pyarrow as pa
+
+            table = table.sort_by("target_ts")
+            found = moving.quantiles(table.column("score").to_numpy(), rows, 1 - alpha, least)
+            return table.append_column("threshold", pa.array(found, mask=np.isnan(found)))
+
+        return d.groupBy(*keys).applyInArrow(run, schema)
+
+    done = W.in_segments(s, op, rows - 1, segment_rows=max(segment_rows, rows), bucket="month", keys=SERIES, time="target_ts")
+    return done.select(*SERIES, "target_ts", "threshold")
 
 
 def coverage_monitor(errors: DataFrame, fit: DataFrame, size: int = 50, target: float = 0.9, tolerance: float = 0.05) -> DataFrame:
     """Coverage of every batch and whether it is off the target."""
-    b = _batches(errors, size).join(fit, "model")
+    b = _batches(errors, size).join(bounded_broadcast(fit), "model")
     c = b.groupBy(*SERIES, "batch").agg(F.avg((F.col("score") <= F.col("threshold")).cast("int")).alias("coverage"), F.max("target_ts").alias("until"))
     return c.withColumns({"coverage_error": F.abs(F.col("coverage") - target), "off": F.abs(F.col("coverage") - target) > tolerance})
 
@@ -172,7 +188,7 @@ def temporal_apply(forecasts: DataFrame, fit: DataFrame, tables: DataFrame, bins
 
 
 def conformal_half(forecasts: DataFrame, fit: DataFrame) -> DataFrame:
-    return forecasts.join(fit.select("model", F.col("threshold").alias("half_width")), "model")
+    return forecasts.join(bounded_broadcast(fit.select("model", F.col("threshold").alias("half_width"))), "model")
 
 
 def decay_weights(errors: DataFrame, decay: float = 0.99) -> DataFrame:
@@ -291,4 +307,4 @@ def calibration_drift(monitor: DataFrame, window: int = 5, limit: float = 0.1) -
 def wrap_intervals(forecasts: DataFrame, fit: DataFrame) -> DataFrame:
     """Low, middle and high quantile rows of a base forecast from its conformal threshold."""
     parts = F.array(*[F.struct(F.lit(q).alias("quantile"), (F.col("yhat") + F.col("threshold") * k).alias("value")) for q, k in ((0.1, -1.0), (0.5, 0.0), (0.9, 1.0))])
-    return forecasts.join(fit, "model").select("model", "station_id", "target_ts", F.explode(parts).alias("r")).select("model", "station_id", "target_ts", "r.*")
+    return forecasts.join(bounded_broadcast(fit), "model").select("model", "station_id", "target_ts", F.explode(parts).alias("r")).select("model", "station_id", "target_ts", "r.*")

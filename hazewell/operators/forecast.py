@@ -1,8 +1,8 @@
 """Baseline forecasts, ensembles and bias learning for all stations at once.
 
 Fits are grouped aggregates, so one job fits any number of stations.  Rules that depend on the
-previous step (adaptive weights, learned bias, learning rate) fold over one key's hours in time
-order; such a key holds at most one entry an hour.
+previous step (smoothed weights, learned bias, learning rate) are folded by ``scan``, in stretches
+side by side; adaptive weights pass by in order.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from hazewell.functions import scalars as S
 from hazewell.operators import joins as J
+from hazewell.operators import scan
+from hazewell.operators import windows as W
 from hazewell.operators.scalars_on import with_scalar
 
 TIME = "datetime_utc"
 DEFAULT_PM25 = 25.0
 SEASON_PERIODS = [168, 24, 72]
 WEIGHT_LIMITS = (0.05, 0.8)
+#: Rows of one key that a moving frame is worked out over in one task.
+SEGMENT = 100_000
 
 
 def simple_forecasts(readings: DataFrame) -> DataFrame:
@@ -205,48 +209,44 @@ def dynamic_weights(errors: DataFrame, hours: int = 168, least: int = 24) -> Dat
     return raw.select("model", "target_ts", "score", _limited(F.col("raw"), t).alias("weight"))
 
 
-def _score_steps(errors: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Per station and hour the score of each model (null where it has none), as an ordered array of steps."""
-    hour = errors.groupBy("station_id", "target_ts").agg(*[F.avg(F.when(F.col("model") == m, 1 / (1 + F.abs("err")))).alias(m) for m in models])
-    step = F.struct("target_ts", F.array(*models).alias("s"))
-    return hour.groupBy("station_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-
-
-def _renormal(ws: Column) -> Column:
-    total = F.aggregate(ws, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(ws, lambda x: x / total)
-
-
-def _equal(models: Sequence[str]) -> Column:
-    return F.array(*[F.lit(1.0 / len(models)) for _ in models])
+def _score_hours(errors: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Per station and hour the score of each model, null where it has none."""
+    return errors.groupBy("station_id", "target_ts").agg(*[F.avg(F.when(F.col("model") == m, 1 / (1 + F.abs("err")))).alias(m) for m in models])
 
 
 def _unfold(df: DataFrame, models: Sequence[str]) -> DataFrame:
-    pairs = F.arrays_zip(F.array(*map(F.lit, models)).alias("model"), F.col("w").alias("weight"))
-    return df.select("station_id", F.explode(pairs).alias("p")).select("station_id", F.col("p")["model"].alias("model"), F.col("p")["weight"].alias("weight"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_w{i}").alias("weight")) for i, m in enumerate(models)])
+    return df.select("station_id", F.explode(pairs).alias("p")).select("station_id", "p.model", "p.weight")
 
 
 def adaptive_weights(errors: DataFrame, models: Sequence[str], rate: float = 0.1) -> DataFrame:
-    """Final weights after each hour moved them by rate x (score - 0.5), limited and renormalised."""
+    """Final weights after each hour moved them by rate x (score - 0.5), limited and renormalised.
+
+    Limits and shares of several weights at once compose to nothing simpler, so a station's hours pass by in order.
+    """
     lo, hi = WEIGHT_LIMITS
 
-    def step(ws: Column, st: Column) -> Column:
-        moved = F.zip_with(ws, st["s"], lambda w, s: F.greatest(F.lit(lo), F.least(F.lit(hi), w + F.coalesce((s - 0.5) * rate, F.lit(0.0)))))
-        return _renormal(moved)
+    def step(ws, scores):
+        moved = [max(lo, min(hi, w if s is None else w + (s - 0.5) * rate)) for w, s in zip(ws, scores)]
+        total = sum(moved)
+        return [w / total for w in moved]
 
-    done = _score_steps(errors, models).select("station_id", F.aggregate("steps", _equal(models), step).alias("w"))
+    done = scan.in_order(_score_hours(errors, models), ["station_id"], ["target_ts"], models, [1.0 / len(models)] * len(models), step, [f"_w{i}" for i in range(len(models))])
     return _unfold(done, models)
 
 
 def smooth_weights(errors: DataFrame, models: Sequence[str], factor: float = 0.3) -> DataFrame:
-    """Final weights after smoothing each hour's score shares with the weights before."""
-    def step(ws: Column, st: Column) -> Column:
-        total = F.aggregate(st["s"], F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-        mixed = F.zip_with(ws, st["s"], lambda w, s: w * (1 - factor) + F.coalesce(F.try_divide(s, total), F.lit(0.0)) * factor)
-        return F.when(total > 0, _renormal(mixed)).otherwise(ws)
+    """Final weights after smoothing each hour's score shares with the weights before; an hour without scores leaves them.
 
-    done = _score_steps(errors, models).select("station_id", F.aggregate("steps", _equal(models), step).alias("w"))
-    return _unfold(done, models)
+    Shares add up to one and so do weights: what smoothing gives needs no second share-out.
+    """
+    hours = _score_hours(errors, models)
+    total = sum((F.coalesce(m, F.lit(0.0)) for m in models), F.lit(0.0))
+    shares = hours.select("station_id", "target_ts", *[F.when(total > 0, F.coalesce(m, F.lit(0.0)) / total).alias(m) for m in models])
+    names = [f"_w{i}" for i in range(len(models))]
+    done = scan.fold(shares, ["station_id"], ["target_ts"], models, scan.Decay(factor, [1.0 / len(models)] * len(models)), names)
+    equal = [F.coalesce(n, F.lit(1.0 / len(models))).alias(n) for n in names]
+    return _unfold(hours.select("station_id").distinct().join(done, "station_id", "left").select("station_id", *equal), models)
 
 
 def dynamic_forecast(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
@@ -312,15 +312,15 @@ def learn_bias(errors: DataFrame, keep: int = 336, least: int = 24, smoothing: f
     alpha = max(0.05, min(0.2, smoothing))
     key = ["model", "station_id", "hour"]
     rows = errors.select("model", "station_id", F.hour("target_ts").alias("hour"), "target_ts", "err")
-    past = Window.partitionBy(*key).orderBy("target_ts").rowsBetween(-(keep - 1), 0)
-    steps = rows.withColumns({"m": F.avg("err").over(past), "n": F.count("err").over(past)})
 
-    def step(b: Column, s: Column) -> Column:
-        move = F.greatest(F.lit(-max_step), F.least(F.lit(max_step), (s["m"] - b) * alpha))
-        return F.when(s["n"] >= least, F.greatest(F.lit(-bound), F.least(F.lit(bound), b + move))).otherwise(b)
+    def recent(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+        past = Window.partitionBy(*keys).orderBy("target_ts").rowsBetween(-(keep - 1), 0)
+        return d.withColumns({"m": F.avg("err").over(past), "n": F.count("err").over(past)})
 
-    g = steps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("target_ts", "m", "n"))).alias("s"), F.count("*").alias("observations"))
-    return g.select(*key, F.aggregate("s", F.lit(0.0), step).alias("bias"), "observations")
+    steps = W.in_segments(rows, recent, keep - 1, segment_rows=max(SEGMENT, keep), bucket="month", keys=key, time="target_ts")
+    done = scan.fold(steps.filter(F.col("n") >= least), key, ["target_ts"], ["m"], scan.Limited(alpha, max_step, bound), ["bias"])
+    counts = rows.groupBy(*key).agg(F.count("*").alias("observations"))
+    return counts.join(done.select(*key, "bias"), key, "left").select(*key, F.coalesce("bias", F.lit(0.0)).alias("bias"), "observations")
 
 
 def apply_bias(forecasts: DataFrame, bias: DataFrame) -> DataFrame:
@@ -356,13 +356,9 @@ def latest_errors(errors: DataFrame) -> DataFrame:
 def adapt_rate(errors: DataFrame, start: float = 0.1) -> DataFrame:
     """Learning rate per (model, station, hour): up 10 % after an error above 5, down 5 % after one below 2."""
     key = ["model", "station_id", "hour"]
-    g = errors.groupBy("model", "station_id", F.hour("target_ts").alias("hour")).agg(
-        F.array_sort(F.collect_list(F.struct("target_ts", F.abs("err").alias("e")))).alias("s"))
-
-    def step(r: Column, s: Column) -> Column:
-        return F.when(s["e"] > 5, F.least(F.lit(0.3), r * 1.1)).when(s["e"] < 2, F.greatest(F.lit(0.05), r * 0.95)).otherwise(r)
-
-    return g.select(*key, F.aggregate("s", F.lit(start), step).alias("rate"))
+    e = F.abs("err")
+    rows = errors.select("model", "station_id", F.hour("target_ts").alias("hour"), "target_ts", F.when(e > 5, 1.1).when(e < 2, 0.95).otherwise(1.0).alias("scale"))
+    return scan.fold(rows, key, ["target_ts"], ["scale"], scan.Clamped(start, 0.05, 0.3), ["rate"]).select(*key, "rate")
 
 
 def error_trend(errors: DataFrame) -> DataFrame:

@@ -249,25 +249,25 @@ def global_position(df: DataFrame) -> DataFrame:
     return ordered_position(df, "station_id", [TIME], name="global_position")
 
 
-def in_segments(df: DataFrame, op: Callable[..., DataFrame], back: int, ahead: int = 0, segment_rows: int = SEGMENT_ROWS, bucket: str = "day") -> DataFrame:
-    """Run a bounded-frame operator over ordered segments of each station.
+def in_segments(df: DataFrame, op: Callable[..., DataFrame], back: int, ahead: int = 0, segment_rows: int = SEGMENT_ROWS, bucket: str = "day", keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
+    """Run a bounded-frame operator over ordered segments of each station (or other ``keys``).
 
-    A row's exact position comes from counts per (station, time bucket) and its rank in the bucket; rows near
+    A row's exact position comes from counts per (keys, time bucket) and its rank in the bucket; rows near
     the edge of a segment are copied to the neighbours whose frames reach them and dropped from the result.
     """
     if max(back, ahead) > segment_rows:
         raise ValueError("a frame may not be longer than a segment")
-    base = df.withColumn("_d", F.date_trunc(bucket, TIME))
-    counts = base.groupBy("station_id", "_d").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("station_id").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("station_id", "_d", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy("station_id", "_d").orderBy(TIME)) - 1
-    placed = base.withColumn("_r", rank).join(offsets, ["station_id", "_d"]).withColumn("_p", F.col("_off") + F.col("_r"))
+    base = df.withColumn("_d", F.date_trunc(bucket, time))
+    counts = base.groupBy(*keys, "_d").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_d", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_d").orderBy(time)) - 1
+    placed = base.withColumn("_r", rank).join(offsets, [*keys, "_d"]).withColumn("_p", F.col("_off") + F.col("_r"))
     home = F.floor(F.col("_p") / segment_rows)
     first, last = F.floor((F.col("_p") - ahead) / segment_rows), F.floor((F.col("_p") + back) / segment_rows)
     copies = placed.withColumn("_home", home).withColumn("segment", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     copies = copies.drop("_d", "_c", "_off", "_r", "_p")
-    done = op(copies, keys=("station_id", "segment"))
+    done = op(copies, keys=(*keys, "segment"))
     return done.filter(F.col("segment") == F.col("_home")).drop("segment", "_home")
 
 

@@ -36,16 +36,16 @@ SELECT f.event_id AS forecast_id, o.event_id, o.user_id, f.value AS yhat, o.valu
 q("stream_dedupe", "ST6", lambda t: X.run_to_table(X.stream_dedupe(
     _events(t).withColumn("hour", F.date_trunc("hour", "ts")), ["station_id", "hour"]), "dedupe").select("station_id", "hour"), """
 SELECT DISTINCT station AS station_id, hour_ts AS hour FROM ev""")
-q("stream_alerts", "ST7", lambda t: X.run_to_table(X.stream_alerts(_events(t), cooldown_minutes=720), "alerts"), """
-WITH RECURSIVE a AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev WHERE value >= 55),
+q("stream_alerts", "ST7", lambda t: X.run_to_table(X.stream_alerts(_events(t), cooldown_minutes=720), "alerts"), f"""
+WITH RECURSIVE a AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev WHERE value >= 55 AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev WHERE value >= 55)),
 r AS (SELECT user_id, i, event_id, ts, value, ts AS last, true AS sent FROM a WHERE i = 1
   UNION ALL SELECT a.user_id, a.i, a.event_id, a.ts, a.value, CASE WHEN a.ts - r.last >= INTERVAL 12 HOUR THEN a.ts ELSE r.last END, a.ts - r.last >= INTERVAL 12 HOUR FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1)
 SELECT user_id, event_id, ts, value FROM r WHERE sent""", "value")
 q("stream_stale", "ST8", lambda t: X.run_to_table(X.stream_stale(_events(t)), "stale"), f"""
-SELECT user_id, ts AS stale_since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM ev)
+SELECT user_id, ts AS stale_since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM ev WHERE ts <= {WM})
 WHERE nx - ts > INTERVAL 2 HOUR OR (nx IS NULL AND ts + INTERVAL 2 HOUR < {WM})""")
-q("stream_bias", "ST9", lambda t: X.last_rows(X.run_to_table(X.stream_bias(_events(t)), "bias"), ["station_id", "hour"]), """
-WITH RECURSIVE a AS (SELECT station, hour(ts) AS hour, value, row_number() OVER (PARTITION BY station, hour(ts) ORDER BY ts, event_id) AS i FROM ev),
+q("stream_bias", "ST9", lambda t: X.last_rows(X.run_to_table(X.stream_bias(_events(t)), "bias"), ["station_id", "hour"]), f"""
+WITH RECURSIVE a AS (SELECT station, hour(ts) AS hour, value, row_number() OVER (PARTITION BY station, hour(ts) ORDER BY ts, event_id) AS i FROM ev WHERE ts <= {WM}),
 e AS (SELECT station, hour, i - 1 AS i, avg(d) OVER (PARTITION BY station, hour ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
   FROM (SELECT *, value - lag(value) OVER (PARTITION BY station, hour ORDER BY i) AS d FROM a) WHERE i > 1),
 k AS (SELECT station, hour, count(*) - 1 AS n FROM a GROUP BY 1, 2),
@@ -53,20 +53,11 @@ r AS (SELECT station, hour, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS bias FR
   UNION ALL SELECT r.station, r.hour, e.i, CASE WHEN e.i >= 24 THEN least(10, greatest(-10, bias + least(0.8, greatest(-0.8, 0.1 * (m - bias))))) ELSE bias END
   FROM r JOIN e ON e.station = r.station AND e.hour = r.hour AND e.i = r.i + 1)
 SELECT r.station AS station_id, r.hour, n, bias FROM r JOIN k ON k.station = r.station AND k.hour = r.hour AND k.n = r.i""", "bias")
-q("stream_conformal", "ST10", lambda t: X.last_rows(X.run_to_table(X.stream_conformal(_events(t)), "conformal"), ["station_id"]), """
-WITH RECURSIVE a AS (SELECT station, abs(value - 50) AS s, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS i FROM ev), k AS (SELECT station, max(i) AS n FROM a GROUP BY 1),
+q("stream_conformal", "ST10", lambda t: X.last_rows(X.run_to_table(X.stream_conformal(_events(t)), "conformal"), ["station_id"]), f"""
+WITH RECURSIVE a AS (SELECT station, abs(value - 50) AS s, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS i FROM ev WHERE ts <= {WM}), k AS (SELECT station, max(i) AS n FROM a GROUP BY 1),
 r AS (SELECT station, i, s AS thr, CAST(0 AS BIGINT) AS inside FROM a WHERE i = 1
   UNION ALL SELECT r.station, a.i, CASE WHEN s > thr THEN thr + 0.45 ELSE thr - 0.05 END, inside + CASE WHEN s <= thr THEN 1 ELSE 0 END FROM r JOIN a ON a.station = r.station AND a.i = r.i + 1)
 SELECT r.station AS station_id, n, thr AS threshold, inside / (n - 1) AS coverage FROM r JOIN k ON k.station = r.station AND k.n = r.i""", "threshold coverage")
 
 
-def _refresh(t):
-    path = t.path("events")
-
-    def source(session):
-        return session.read.parquet(path).withColumn("ts", c("ts").cast("timestamp")).withColumn("station_id", station_code(c("event_type"))).withColumn("value", c("value") / GAIN)
-
-    return X.stream_refresh(_events(t), source).drop("day")
-
-
-q("stream_refresh", "ST11", _refresh, "SELECT station AS station_id, hour_ts AS datetime_utc, avg(value / CAST(1.0007 AS DOUBLE)) AS pm25 FROM ev GROUP BY 1, 2", "pm25")
+q("stream_refresh", "ST11", lambda t: X.stream_refresh(_scaled(t)).select("station_id", "datetime_utc", "pm25"), "SELECT station AS station_id, hour_ts AS datetime_utc, avg(value / CAST(1.0007 AS DOUBLE)) AS pm25 FROM ev GROUP BY 1, 2", "pm25")

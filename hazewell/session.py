@@ -47,9 +47,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def bounded_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """The frame written once, and marked for broadcast if it has ``most`` rows or fewer; beyond, joins with it shuffle and adaptive execution splits hot keys."""
-    kept = stored(df, "side")
-    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+    """The frame worked out once. With ``most`` rows or fewer it is taken to the driver and marked for broadcast; beyond,
+    it is written, joins with it shuffle and adaptive execution splits hot keys."""
+    few = df.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        return F.broadcast(df.sparkSession.createDataFrame(few, df.schema))
+    return stored(df, "side")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

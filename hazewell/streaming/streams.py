@@ -7,14 +7,15 @@ table; ``run_to_table`` drives one to completion with ``availableNow`` and reads
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from hazewell.session import shared_dir
+from hazewell.session import bounded_broadcast, shared_dir, stored
 
 LATE = "1 hour"
 
@@ -96,121 +97,213 @@ def stream_dedupe(events: DataFrame, keys: list[str], late: str = LATE) -> DataF
 
 # --- keyed state ----------------------------------------------------------------------------
 
-def _sorted(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch, in event order; the batch size is bounded by the source option."""
-    return pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR_US = 3_600_000_000
+
+
+class EventOrder(StatefulProcessor):
+    """Folds the rows of a key in event order, however they come in.
+
+    Rows wait in map state, in parts of one hour each, until the watermark has passed them; then they are folded hour by
+    hour, in order of (time, event). A key's memory is an hour of its rows. Late rows, which the watermark had passed when
+    they came, are dropped by Spark. ``step(key, state, ts, event_id, value)`` takes microseconds and gives the new state (a
+    tuple of ``state_schema``, None at first) and what to put out, a list of rows; ``idle`` says when, in microseconds, a
+    state without further rows is done with (None: never), and what is put out then. With ``summary`` a row is put out for
+    each release instead of for each step.
+    """
+
+    def __init__(self, columns, state_schema, step, idle=None, summary=None):
+        self.columns, self.state_schema, self.step, self.idle, self.summary = columns, state_schema, step, idle, summary
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "hour BIGINT, part BIGINT", "rows BINARY")
+        self.parts = handle.getValueState("parts", "n BIGINT")
+        self.folded = handle.getValueState("folded", self.state_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        first = None
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            numbers = np.column_stack([at, frame["event_id"].to_numpy(np.int64), frame["value"].to_numpy(np.float64).view(np.int64)])
+            hours = at // HOUR_US
+            for hour in np.unique(hours):
+                self.waiting.updateValue((int(hour), part), (numbers[hours == hour].tobytes(),))
+                part += 1
+            first = at.min() if first is None else min(first, at.min())
+        if first is not None:
+            self.parts.update((part,))
+            self.handle.registerTimer(int(first) // 1000)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        state = tuple(self.folded.get()) if self.folded.exists() else None
+        out, steps, later = [], 0, None
+        for hour in sorted({k[0] for k in self.waiting.keys()}):
+            if hour * HOUR_US > passed:
+                later = hour * HOUR_US if later is None else min(later, hour * HOUR_US)
+                continue
+            parts = [k for k in self.waiting.keys() if k[0] == hour]
+            rows = np.concatenate([np.frombuffer(self.waiting.getValue(tuple(k))[0], np.int64).reshape(-1, 3) for k in parts])
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            due = int(np.searchsorted(rows[:, 0], passed, side="right"))
+            for ts, event, value in zip(rows[:due, 0].tolist(), rows[:due, 1].tolist(), rows[:due, 2].copy().view(np.float64).tolist()):
+                state, some = self.step(key, state, ts, event, value)
+                out += some
+                steps += 1
+            for k in parts:
+                self.waiting.removeKey(tuple(k))
+            if due < len(rows):
+                self.waiting.updateValue((int(hour), int(parts[0][1])), (rows[due:].tobytes(),))
+                later = int(rows[due, 0]) if later is None else min(later, int(rows[due, 0]))
+        if steps and self.summary:
+            out.append(self.summary(key, state))
+        if state is not None:
+            over = self.idle(state)[0] if self.idle else None
+            if over is not None and over < passed:
+                out += self.idle(state)[1](key)
+                self.folded.clear()
+                state = over = None
+            elif steps:
+                self.folded.update(state)
+            later = over if later is None else later if over is None else min(later, over)
+        if later is not None:
+            self.handle.registerTimer(max(int(later) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def event_order(events: DataFrame, keys: list[str], late: str, schema: str, state_schema: str, step, idle=None, summary=None) -> DataFrame:
+    """The stream folded per key in event order; see ``EventOrder``. Rows need ts, event_id and value."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that holds map state and timers
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+    rows = events.withWatermark("ts", late).select(*keys, "event_id", "ts", F.col("value").cast("double").alias("value"))
+    return rows.groupBy(*keys).transformWithStateInPandas(EventOrder(columns, state_schema, step, idle, summary), schema, "Append", "EventTime")
+
+
+def _stamp(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
 
 
 def stream_alerts(events: DataFrame, threshold: float = 55.0, cooldown_minutes: int = 30, late: str = LATE) -> DataFrame:
     """Alerts above the threshold, at most one per user and cool-down; a user's state goes when the watermark passes the cool-down."""
     cool = cooldown_minutes * 60_000_000
 
-    def step(key, parts, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["user_id", "event_id", "ts", "value"])
-            return
-        last = state.get[0] if state.exists else None
-        out = []
-        for eid, ts, value in _sorted(parts)[["event_id", "ts", "value"]].itertuples(index=False):
-            at = ts.value // 1000
-            if last is None or at - last >= cool:
-                out.append((key[0], eid, ts, value))
-                last = at
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + cool) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "value"])
-
-    high = events.filter(F.col("value") >= threshold).withWatermark("ts", late).select("user_id", "event_id", "ts", "value")
-    return high.groupBy("user_id").applyInPandasWithState(
-        step, "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE", "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(key, last, ts, event, value):
+        if last is None or ts - last[0] >= cool:
+            return (ts,), [(key[0], event, _stamp(ts), value)]
+        return last, []
+
+    return event_order(events.filter(F.col("value") >= threshold), ["user_id"], late, "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE", "last BIGINT", step,
+                       idle=lambda last: (last[0] + cool, lambda key: []))
 
 
 def stream_stale(events: DataFrame, hours: int = 2, late: str = LATE) -> DataFrame:
     """One row per silence longer than the limit: seen as a gap between events, or by the event-time timer when no event follows."""
-    gap = hours * 3_600_000_000
-
-    def step(key, parts, state: GroupState):
-        cols = ["user_id", "stale_since"]
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="us"))], columns=cols)
-            return
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts in _sorted(parts)["ts"]:
-            at = ts.value // 1000
-            if last is not None and at - last > gap:
-                out.append((key[0], pd.Timestamp(last, unit="us")))
-            last = at
-        state.update((last,))
-        due = (last + gap) // 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=cols)
-
-    e = events.withWatermark("ts", late).select("user_id", "event_id", "ts")
-    return e.groupBy("user_id").applyInPandasWithState(step, "user_id BIGINT, stale_since TIMESTAMP", "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
+    gap = hours * HOUR_US
+
+    def step(key, last, ts, event, value):
+        return (ts,), [(key[0], _stamp(last[0]))] if last is not None and ts - last[0] > gap else []
+
+    return event_order(events.withColumn("value", F.lit(0.0)), ["user_id"], late, "user_id BIGINT, stale_since TIMESTAMP", "last BIGINT", step,
+                       idle=lambda last: (last[0] + gap, lambda key: [(key[0], _stamp(last[0]))]))
 
 
 def stream_bias(events: DataFrame, least: int = 24, alpha: float = 0.1, max_step: float = 0.8, bound: float = 10.0, late: str = LATE) -> DataFrame:
     """Learned bias of the last-value forecast per (station, hour of day): state holds last value, count, error sum and bias."""
-    def step(key, parts, state: GroupState):
-        last, n, total, bias = state.get if state.exists else (None, 0, 0.0, 0.0)
-        rows = _sorted(parts)
-        for value in rows["value"]:
-            if last is not None:
-                n, total = n + 1, total + (value - last)
-                if n >= least:
-                    move = min(max_step, max(-max_step, alpha * (total / n - bias)))
-                    bias = min(bound, max(-bound, bias + move))
-            last = value
-        state.update((float(last), int(n), float(total), float(bias)))
-        yield pd.DataFrame([(key[0], key[1], n, bias)], columns=["station_id", "hour", "n", "bias"])
-
-    e = events.withWatermark("ts", late).select("station_id", F.hour("ts").cast("bigint").alias("hour"), "event_id", "ts", "value")
-    return e.groupBy("station_id", "hour").applyInPandasWithState(
-        step, "station_id BIGINT, hour BIGINT, n BIGINT, bias DOUBLE", "last DOUBLE, n BIGINT, total DOUBLE, bias DOUBLE", "append", GroupStateTimeout.NoTimeout)
+    def step(key, state, ts, event, value):
+        if state is None:
+            return (value, 0, 0.0, 0.0), []
+        last, n, total, bias = state
+        n, total = n + 1, total + (value - last)
+        if n >= least:
+            move = min(max_step, max(-max_step, alpha * (total / n - bias)))
+            bias = min(bound, max(-bound, bias + move))
+        return (value, n, total, bias), []
+
+    return event_order(events.withColumn("hour", F.hour("ts").cast("bigint")), ["station_id", "hour"], late, "station_id BIGINT, hour BIGINT, n BIGINT, bias DOUBLE",
+                       "last DOUBLE, n BIGINT, total DOUBLE, bias DOUBLE", step, summary=lambda key, state: (key[0], key[1], state[1], state[3]))
 
 
 def stream_conformal(events: DataFrame, centre: float = 50.0, q: float = 0.9, rate: float = 0.5, late: str = LATE) -> DataFrame:
     """Running quantile of the distance from a centre per station, with the share it covered so far."""
-    def step(key, parts, state: GroupState):
-        n, inside, thr = state.get if state.exists else (0, 0, None)
-        for value in _sorted(parts)["value"]:
-            score = abs(value - centre)
-            if thr is None:
-                thr = score
-            else:
-                inside += score <= thr
-                thr = thr + rate * q if score > thr else thr - rate * (1 - q)
-            n += 1
-        state.update((int(n), int(inside), float(thr)))
-        yield pd.DataFrame([(key[0], n, thr, inside / max(n - 1, 1))], columns=["station_id", "n", "threshold", "coverage"])
-
-    e = events.withWatermark("ts", late).select("station_id", "event_id", "ts", "value")
-    return e.groupBy("station_id").applyInPandasWithState(
-        step, "station_id BIGINT, n BIGINT, threshold DOUBLE, coverage DOUBLE", "n BIGINT, inside BIGINT, threshold DOUBLE", "append", GroupStateTimeout.NoTimeout)
+    def step(key, state, ts, event, value):
+        score = abs(value - centre)
+        if state is None:
+            return (1, 0, score), []
+        n, inside, thr = state
+        return (n + 1, inside + int(score <= thr), thr + rate * q if score > thr else thr - rate * (1 - q)), []
+
+    return event_order(events, ["station_id"], late, "station_id BIGINT, n BIGINT, threshold DOUBLE, coverage DOUBLE", "n BIGINT, inside BIGINT, threshold DOUBLE", step,
+                       summary=lambda key, state: (key[0], state[0], state[2], state[1] / max(state[0] - 1, 1)))
 
 
 # --- refresh --------------------------------------------------------------------------------
 
-def stream_refresh(events: DataFrame, source: Callable[[SparkSession], DataFrame], name: str = "refresh") -> DataFrame:
-    """Keep an hourly table up to date: each micro-batch recomputes and overwrites only the days it touches.
+SUMS = "station_id BIGINT, datetime_utc TIMESTAMP, total DOUBLE, n BIGINT, least DOUBLE, most DOUBLE"
+
+
+class HourlyView:
+    """Hourly sums, counts, least and greatest values in a store by day, kept up to date from batches of new events.
 
-    ``source`` reads all events; days are matched by a semi-join, and the dynamic overwrite makes a retry harmless.
+    A batch reads and writes only the days that it touches: ``day=D/epoch=E`` holds day D as of batch E. The log, one small
+    table a batch, names the days of each batch that is done; the newest logged epoch of a day is its state. A batch that is
+    run again after a failure starts from the states before it and overwrites its own; one that is logged is left out.
     """
-    spark = events.sparkSession
-    root = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
-    def refresh(batch: DataFrame, _epoch: int) -> None:
-        session = batch.sparkSession
-        days = batch.select(F.to_date("ts").alias("day")).distinct()
-        rows = source(session).withColumn("day", F.to_date("ts")).join(days, "day", "left_semi")
-        hourly = rows.groupBy("day", "station_id", F.date_trunc("hour", "ts").alias("datetime_utc")).agg(F.avg("value").alias("pm25"))
-        hourly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/out")
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.days, self.log = spark, f"{root}/days", f"{root}/log"
+
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    q = events.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    def done(self, before: int | None = None) -> DataFrame:
+        """Newest epoch of each day, of batches before the given one."""
+        if not self._there(self.log):
+            return self.spark.createDataFrame([], "day DATE, epoch BIGINT")
+        rows = self.spark.read.schema("day DATE, epoch BIGINT, batch BIGINT").parquet(self.log)
+        return (rows if before is None else rows.filter(F.col("batch") < before)).groupBy("day").agg(F.max("epoch").alias("epoch"))
+
+    def paths(self, days: list, before: int) -> list[str]:
+        """Where the states of these days lie; a day that has none yet is left out."""
+        known = self.done(before).filter(F.col("day").isin(days)).collect() if days else []
+        return [f"{self.days}/day={r['day']}/epoch={r['epoch']}" for r in known]
+
+    def add(self, batch: DataFrame, epoch: int) -> None:
+        """Merge new events (station_id, ts, value) into the days that they touch."""
+        if self._there(f"{self.log}/batch={epoch}/_SUCCESS"):
+            return
+        new = batch.groupBy("station_id", F.date_trunc("hour", "ts").alias("datetime_utc")).agg(
+            F.sum("value").alias("total"), F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        new = stored(new, "refresh-new")  # read for its days, and once more to be merged
+        days = [r["day"] for r in new.select(F.to_date("datetime_utc").alias("day")).distinct().collect()]  # calendar days of one batch
+        old = self.paths(days, epoch)
+        both = new.unionByName(self.spark.read.schema(SUMS).parquet(*old)) if old else new
+        merged = both.groupBy("station_id", "datetime_utc").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        merged = merged.withColumns({"day": F.to_date("datetime_utc"), "epoch": F.lit(epoch).cast("long")})
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(self.days)
+        log = self.spark.createDataFrame([(d, epoch) for d in days], "day DATE, epoch BIGINT")
+        log.coalesce(1).write.mode("overwrite").parquet(f"{self.log}/batch={epoch}")
+
+    def read(self) -> DataFrame:
+        """day, station_id, datetime_utc, pm25 (mean), n, least, most: the newest state of every day."""
+        if not self._there(self.days):
+            return self.spark.createDataFrame([], f"day DATE, {SUMS}").withColumn("pm25", F.lit(0.0)).drop("total")
+        rows = self.spark.read.schema(f"{SUMS}, day DATE, epoch BIGINT").parquet(self.days)
+        newest = bounded_broadcast(self.done())
+        return rows.join(newest, ["day", "epoch"]).select("day", "station_id", "datetime_utc", F.try_divide("total", "n").alias("pm25"), "n", "least", "most")
+
+
+def stream_refresh(events: DataFrame, name: str = "refresh") -> DataFrame:
+    """Keep an hourly table up to date from a stream of events; see ``HourlyView``."""
+    spark = events.sparkSession
+    root = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    rows = events.select("station_id", "ts", "value")
+    q = rows.writeStream.foreachBatch(lambda batch, epoch: HourlyView(batch.sparkSession, root).add(batch, epoch)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return HourlyView(spark, root).read()
