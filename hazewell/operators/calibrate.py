@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from hazewell.functions import scalars as S
 from hazewell.operators import moving, scan
 from hazewell.operators import windows as W
-from hazewell.operators.forecast import poisson_weight
 from hazewell.operators.quantiles import exact_quantiles, quantile_columns
+from hazewell.operators.replicas import weighted_sums
 from hazewell.operators.scalars_on import with_scalar
 from hazewell.session import bounded_broadcast
 
@@ -273,16 +273,33 @@ def calibration_metrics(bands: DataFrame, target: float = 0.9, keys: Sequence[st
         F.avg(winkler(1 - target)).alias("winkler"), (err + F.try_divide(w, F.stddev_pop("y"))).alias("interval_score"))
 
 
-def bootstrap_metrics(bands: DataFrame, replicas: int = 1000, target: float = 0.9, level: float = 0.95, coverage_error: bool = False) -> DataFrame:
-    """Mean and bounds of coverage, width and Winkler score, and if asked of the distance of coverage from the target, over hash-weighted replicas; copies meet in the partial aggregate."""
-    rows = bands.select("model", "station_id", "target_ts", F.col("y").between(F.col("lower"), F.col("upper")).cast("double").alias("c"), (F.col("upper") - F.col("lower")).alias("w"),
-                        winkler(1 - target).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
-    p = rows.withColumn("p", poisson_weight(F.col("replica"), F.col("station_id"), F.col("target_ts")))
-    per = p.groupBy("model", "replica").agg(*[F.try_divide(F.sum(F.col("p") * F.col(x)), F.sum("p")).alias(n) for x, n in (("c", "coverage"), ("w", "width"), ("k", "winkler"))])
-    per = per.withColumn("coverage_error", F.abs(F.col("coverage") - target))
-    long = per.select("model", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("coverage", "width", "winkler", *["coverage_error"] * coverage_error)])).alias("m")).select("model", "m.*")
+def bootstrap_metrics(bands: DataFrame, replicas: int = 1000, target: float = 0.9, level: float = 0.95, coverage_error: bool = False, blocks: int = 4096) -> DataFrame:
+    """Mean and bounds of coverage, width and Winkler score, and if asked of the distance of coverage from the target, over replicas.
+
+    The table is read once: rows are added up in blocks, dealt by a hash of their key, and replicas weigh blocks. Up to
+    about ``blocks`` rows a model nearly every row is its own block; beyond, blocks are independent groups of rows of about
+    equal size, whose weighted means spread as those of rows do. A model's blocks, at most ``blocks`` rows, are one group.
+    """
+    names = ["coverage", "width", "winkler", *["coverage_error"] * coverage_error]
+    rows = bands.select("model", F.pmod(F.xxhash64("station_id", "target_ts"), F.lit(blocks)).alias("block"), F.col("y").between(F.col("lower"), F.col("upper")).cast("double").alias("c"),
+                        (F.col("upper") - F.col("lower")).alias("w"), winkler(1 - target).alias("k"))
+    sums = rows.groupBy("model", "block").agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in "cwk"], F.count("*").alias("n")).withColumn("key", F.xxhash64("block"))
     half = (1 - level) / 2
-    return long.groupBy("model", "metric").agg(F.avg("v").alias("mean"), F.percentile("v", half).alias("low"), F.percentile("v", 1 - half).alias("high"))
+
+    def run(table):
+        import pyarrow as pa
+
+        values, n = (np.column_stack([table.column(x).to_numpy().astype(float) for x in some]) for some in ("cwk", "n"))
+        centre = values.sum(axis=0) / n.sum()  # what replicas have in common is not summed again and again
+        made = weighted_sums(table.column("key").to_numpy(), np.column_stack([values - centre * n, n]), replicas)
+        made = made[made[:, 3] > 0]
+        per = centre + made[:, :3] / made[:, 3:]
+        per = np.column_stack([per, np.abs(per[:, 0] - target)])[:, : len(names)]
+        # differences from one replica: what doesn't vary stays exactly that
+        found = [per[0] + x for x in ((per - per[0]).mean(axis=0), *np.quantile(per - per[0], [half, 1 - half], axis=0))] if len(per) else [[None] * len(names)] * 3
+        return pa.table([pa.array([table.column("model")[0].as_py()] * len(names), pa.string()), pa.array(names), *[pa.array(list(f), pa.float64()) for f in found]], ["model", "metric", "mean", "low", "high"])
+
+    return sums.groupBy("model").applyInArrow(run, "model string, metric string, mean double, low double, high double")
 
 
 def calibration_check(bands: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ station, so every prediction is one ``transform``.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +20,7 @@ from hazewell.operators.quantiles import quantile_columns
 from hazewell.operators.scalars_on import with_scalar
 from hazewell.operators.select import fit_forest
 from hazewell.operators.sets import jaccard
+from hazewell.session import stored
 
 TIME = "datetime_utc"
 UNIT = 1_000_003
@@ -34,18 +36,19 @@ def unit_hash(*cols) -> Column:
 def permutation_importance(model, assembler, df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str], repeats: int = 3) -> DataFrame:
     """Rise of the squared error when one column takes the values of other rows; mean and deviation over repeats.
 
-    Per repeat every row gets a donor: rows are numbered in two hash orders and matched by number.  The donor
-    serves all columns, so there is one join per repeat and one transform for all columns and repeats.
+    Rows are numbered once in a hash order; in repeat r the donor of row p is row p + shift_r of that order. The donor
+    serves all columns, so there is one stored copy, one join for all repeats, and one transform for all columns and repeats.
     """
     base = df.dropna(subset=[*cols, target]).select(*keys, *cols, target)
-    parts = []
-    for r in range(repeats):
-        order = [W.ordered_position(base.withColumn("_h", unit_hash(*keys, F.lit(s))), "_h", list(keys), name="_pos").drop("_h") for s in (f"row{r}", f"donor{r}")]
-        donor = order[1].select("_pos", *[F.col(c).alias(f"_d_{c}") for c in cols])
-        parts.append(order[0].join(donor, "_pos").withColumn("repeat", F.lit(r)))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    numbered = stored(W.ordered_position(base.withColumn("_h", F.xxhash64(*keys)), "_h", list(keys), name="_pos").drop("_h"), "numbered")
+    n = numbered.count()
+    shifts = random.Random(n).sample(range(1, n), min(repeats, n - 1)) if n > 1 else []
+    if not shifts:
+        return df.sparkSession.createDataFrame([(c, None, None) for c in cols], "feature string, importance double, std double")
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(s).cast("long").alias("s")) for r, s in enumerate(shifts)])).alias("x")
+    donors = numbered.select("_pos", *[F.col(c).alias(f"_d_{c}") for c in cols], each)
+    donors = donors.select(F.pmod(F.col("_pos") - F.col("x.s"), F.lit(n)).alias("_pos"), "x.repeat", *[f"_d_{c}" for c in cols])
+    rows = numbered.join(donors, "_pos")
     swapped = rows.select("*", F.explode(F.array(*map(F.lit, [*cols, "none"]))).alias("feature"))
     swapped = swapped.select("repeat", "feature", target, *[F.when(F.col("feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
     sq = model.transform(assembler.transform(swapped)).withColumn("_e", F.pow(F.col(target) - F.col("prediction"), 2))
@@ -187,7 +190,7 @@ def sensitivity(model, assembler, base: DataFrame, cols: Sequence[str], change:
     return _predict(model, assembler, up, "p").join(ref, "station_id").select("station_id", "feature", F.abs(F.col("p") - F.col("baseline_pred")).alias("sensitivity"))
 
 
-def counterfactuals(model, assembler, base: DataFrame, cols: Sequence[str], trials: int = 20, sizes: Sequence[float] = (0.1, 0.2, 0.5, 1.0), keep: int = 5, goal: float = 1.2) -> DataFrame:
+def counterfactuals(model, assembler, base: DataFrame, cols: Sequence[str], trials: int = 100, sizes: Sequence[float] = (0.1, 0.2, 0.5, 1.0), keep: int = 5, goal: float = 1.2) -> DataFrame:
     """First trials whose prediction comes nearer to ``goal`` times the baseline than the baseline is."""
     sized = F.explode(F.array(*map(F.lit, sizes))).alias("size")
     rows = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).select("*", sized)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hazewell.functions import scalars as S
 from hazewell.operators import joins as J
+from hazewell.operators import replicas as replicas_
 from hazewell.operators import scan
 from hazewell.operators import windows as W
 from hazewell.operators.scalars_on import with_scalar
@@ -395,25 +396,32 @@ def std_quantiles(forecasts: DataFrame, levels: Sequence[float] = (0.1, 0.25, 0.
 
 def poisson_weight(replica: Column, *key: Column) -> Column:
     """How often a row enters a bootstrap replica: Poisson(1) from a hash of row key and replica, the same on every retry."""
-    u = F.pmod(F.xxhash64(*key, replica), F.lit(1_000_003)) / 1_000_003.0
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+    u = F.pmod(F.xxhash64(*key, replica), F.lit(replicas_.UNIT)) / float(replicas_.UNIT)
     out = F.lit(0)
-    for c in cuts:
+    for c in replicas_.CUTS:
         out = out + F.when(u >= c, 1).otherwise(0)
     return out
 
 
 def bootstrap_forecast(df: DataFrame, replicas: int = 100, col: str = "pm25") -> DataFrame:
-    """Hour-of-day forecast of every replica from one weighted aggregate, then mean, deviation and quantiles per hour.
+    """Hour-of-day forecast of every replica, then mean, deviation and quantiles over replicas, per station and hour.
 
-    Rows are weighted, not copied out per draw; the copies per replica meet in the map-side aggregate.
+    A group is one hour of the day of one station, a row a day; its replicas are one product of weights and values.
     """
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica")
-    rows = df.filter(F.col(col).isNotNull()).select("station_id", TIME, F.hour(TIME).alias("hour"), F.col(col).alias("y"), reps)
-    w = poisson_weight(F.col("replica"), F.col("station_id"), F.col(TIME))
-    per = rows.withColumn("w", w).groupBy("station_id", "hour", "replica").agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("f"))
-    return per.groupBy("station_id", "hour").agg(
-        F.avg("f").alias("yhat"), F.stddev_pop("f").alias("std"), F.percentile("f", 0.1).alias("q10"), F.percentile("f", 0.9).alias("q90"))
+    rows = df.filter(F.col(col).isNotNull()).select("station_id", F.hour(TIME).alias("hour"), F.xxhash64("station_id", TIME).alias("key"), F.col(col).cast("double").alias("y"))
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        y = table.column("y").to_numpy()
+        sums = replicas_.weighted_sums(table.column("key").to_numpy(), np.column_stack([y, np.ones(len(y))]), replicas)
+        f = sums[sums[:, 1] > 0]
+        f = f[:, 0] / f[:, 1]
+        found = [f.mean(), f.std(), *np.quantile(f, [0.1, 0.9])] if len(f) else [None] * 4
+        return pa.table([table.column("station_id").slice(0, 1), table.column("hour").slice(0, 1), *[pa.array([v], pa.float64()) for v in found]], ["station_id", "hour", "yhat", "std", "q10", "q90"])
+
+    return rows.groupBy("station_id", "hour").applyInArrow(run, "station_id long, hour int, yhat double, std double, q10 double, q90 double")
 
 
 def performance_records(errors: DataFrame, half: float = 20.0) -> DataFrame:

@@ -132,8 +132,9 @@ def check_schema(df: DataFrame, expected: dict[str, T.DataType]) -> DataFrame:
     return one.select(F.explode(F.array(*[f"_{i}" for i in range(len(rows))])).alias("r")).select("r.*")
 
 
-def record_quality(raw: DataFrame, low: float = 0, high: float = 1000) -> DataFrame:
-    """One row of record counts: null cells of the critical columns, duplicates, out of range, valid.
+def record_quality(raw: DataFrame, low: float = 0, high: float = 1000, keys: Sequence[str] = ()) -> DataFrame:
+    """One row of record counts, or one for each value of ``keys``, columns that follow from station and time: null cells
+    of the critical columns, duplicates, out of range, valid.
 
     Rows of one key are first counted per key, so duplicates need no ordering inside a hot key: a key with
     n rows has n - 1 duplicates, and the first row by event_id is the one kept.
@@ -144,9 +145,9 @@ def record_quality(raw: DataFrame, low: float = 0, high: float = 1000) -> DataFr
         nulls = nulls + F.col(c).isNull().cast("int")
     out = F.coalesce((F.col("parameter") == "pm25") & ((F.col("value") < low) | (F.col("value") > high)), F.lit(False))
     good = (nulls == 0) & ~out
-    per = raw.groupBy("station_id", TIME, "parameter").agg(
+    per = raw.groupBy("station_id", TIME, "parameter", *[k for k in keys if k != "station_id"]).agg(
         F.count("*").alias("n"), F.sum(nulls).alias("nulls"), F.count_if(out).alias("outliers"), F.min_by(good, "event_id").alias("first_good"))
-    return per.agg(
+    return per.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.sum("nulls").alias("missing"), F.sum(F.col("n") - 1).alias("duplicates"),
         F.sum("outliers").alias("outliers"), F.count_if("first_good").alias("valid"))
 

@@ -16,8 +16,15 @@ KEYS = ["station_id", "datetime_utc"]
 COLS = ["u10", "v10", "t2m_celsius", "blh", "wind_speed"]
 
 
+MODELS: dict = {}
+
+
 def _model(t):
-    return fit_forest(t.met, COLS, "pm25", trees=100, depth=10)
+    """The forest of a table, fitted once a session: what follows asks the same model."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in MODELS:
+        MODELS[key] = fit_forest(t.met, COLS, "pm25", trees=100, depth=10)
+    return MODELS[key]
 
 
 q("permutation_importance", "O1", lambda t: O.permutation_importance(*_model(t), t.met, COLS, "pm25", KEYS, repeats=10))

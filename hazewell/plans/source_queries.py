@@ -48,6 +48,14 @@ q("write_partitioned", "A4", lambda t: _round_trip(t, t.readings, R.write_partit
 SELECT station_id, year(datetime_utc) AS year, month(datetime_utc) AS month, count(*) AS n, sum(pm25) AS total FROM readings GROUP BY 1, 2, 3""", "total")
 q("combine_targets", "A5", lambda t: R.combine_targets(_round_trip(t, t.raw, R.write_partitioned, "targets")).select("station_id", "datetime_utc", "parameter", "value", "event_id"), """
 SELECT station_id, datetime_utc, parameter, min_by(value, event_id) AS value, min(event_id) AS event_id FROM raw_meas WHERE value IS NOT NULL GROUP BY 1, 2, 3""", "value")
+PQ = """pq AS (SELECT station_id, year(datetime_utc) AS year, month(datetime_utc) AS month, (value IS NULL)::INT + (station_id IS NULL)::INT + (datetime_utc IS NULL)::INT + (parameter IS NULL)::INT AS nulls,
+  coalesce(parameter = 'pm25' AND (value < 0 OR value > 1000), false) AS o, row_number() OVER (PARTITION BY station_id, datetime_utc, parameter ORDER BY event_id) AS rn FROM raw_meas)"""
+PQC = """count(*) AS total, CAST(sum(nulls) AS BIGINT) AS missing, count(*) FILTER (WHERE rn > 1) AS duplicates, count(*) FILTER (WHERE o) AS outliers, count(*) FILTER (WHERE rn = 1 AND nulls = 0 AND NOT o) AS valid"""
+PQS = "least(1.0, greatest(0.0, 0.4 * valid / total + 0.3 * (1 - missing / total) + 0.2 * (1 - duplicates / total) + 0.1 * (1 - outliers / total))) AS score"
+q("partition_quality", "A5 score", lambda t: R.targets_quality(_round_trip(t, t.raw, R.write_partitioned, "targets")),
+  f"WITH {PQ} SELECT *, {PQS} FROM (SELECT station_id, year, month, {PQC} FROM pq GROUP BY 1, 2, 3)", "score")
+q("combined_quality", "A5 score", lambda t: R.targets_quality(_round_trip(t, t.raw, R.write_partitioned, "targets"), ()),
+  f"WITH {PQ} SELECT *, {PQS} FROM (SELECT {PQC} FROM pq)", "score")
 q("write_compact", "A6", lambda t: _round_trip(t, t.met, lambda d, p: R.write_compact(d, p, keep=("pm25",)), "compact").select(
     "station_id", "datetime_utc", "pm25", "blh", F.typeof("blh").alias("blh_type"), F.typeof("station_id").alias("id_type")), """
 SELECT station_id, datetime_utc, pm25, blh, 'float' AS blh_type, 'int' AS id_type FROM met""", "pm25 blh")
@@ -104,7 +112,7 @@ WITH s AS (SELECT min(datetime_utc) AS a, max(datetime_utc) AS z FROM readings)
 SELECT 'month' AS unit, unnest(generate_series(date_trunc('month', a), z, INTERVAL 1 MONTH)) AS slot FROM s
 UNION ALL SELECT 'day', unnest(generate_series(date_trunc('day', a), z, INTERVAL 1 DAY)) FROM s
 UNION ALL SELECT 'half_hour', unnest(generate_series(a, z, INTERVAL 30 MINUTE)) FROM s""")
-q("missing_partitions", "A18", lambda t: L.missing_partitions(L.required_partitions(t.sparse), L.present_partitions(t.sparse)), """
+q("missing_partitions", "A18", lambda t: L.missing_slots(t.sparse), """
 SELECT station_id, slot FROM (SELECT DISTINCT station_id FROM sparse),
   (SELECT unnest(generate_series(date_trunc('day', min(datetime_utc)), max(datetime_utc), INTERVAL 1 DAY)) AS slot FROM sparse)
 EXCEPT SELECT station_id, date_trunc('day', datetime_utc) FROM sparse""")

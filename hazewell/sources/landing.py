@@ -119,6 +119,19 @@ def missing_partitions(required: DataFrame, present: DataFrame) -> DataFrame:
     return required.join(present, ["station_id", "slot"], "left_anti")
 
 
+def missing_slots(df: DataFrame, unit: str = "day") -> DataFrame:
+    """(station, slot) without rows between the first and the last slot of the whole table, read off neighbouring slots: no list of the slots required is made."""
+    one = F.expr(f"INTERVAL 1 {unit.upper()}")
+    have = present_partitions(df, unit)
+    span = have.agg(F.min("slot").alias("_first"), F.max("slot").alias("_last"))
+    w = Window.partitionBy("station_id").orderBy("slot")  # a row a slot
+    steps = have.crossJoin(F.broadcast(span)).withColumns({"_from": F.coalesce(F.lag("slot").over(w) + one, F.col("_first")), "_next": F.lead("slot").over(w)})
+    before = F.when(F.col("_from") < F.col("slot"), F.sequence("_from", F.col("slot") - one, one))
+    after = F.when(F.col("_next").isNull() & (F.col("slot") < F.col("_last")), F.sequence(F.col("slot") + one, F.col("_last"), one))
+    none = F.array().cast("array<timestamp>")
+    return steps.select("station_id", F.explode(F.concat(F.coalesce(before, none), F.coalesce(after, none))).alias("slot"))
+
+
 def next_range(df: DataFrame, start: str) -> DataFrame:
     """Per station: the later of the configured start and one hour after the latest row."""
     return df.groupBy("station_id").agg(

@@ -62,6 +62,13 @@ def combine_targets(parts: DataFrame) -> DataFrame:
     return done.sortWithinPartitions("station_id", "datetime_utc")
 
 
+def targets_quality(parts: DataFrame, keys: Sequence[str] = ("station_id", "year", "month")) -> DataFrame:
+    """Record counts and quality score of every partition that ``combine_targets`` takes in; without keys, of all together."""
+    from hazewell.operators.quality import quality_score, record_quality
+
+    return quality_score(record_quality(parts, keys=keys))
+
+
 def write_compact(df: DataFrame, path: str, keep: Sequence[str] = ()) -> None:
     """Narrow types (float, int) with dictionary encoding."""
     narrow = {T.DoubleType: "float", T.LongType: "int"}

@@ -296,3 +296,68 @@ def test_day_store_survives_a_batch_that_was_cut_off(spark, tmp_path, monkeypatc
     assert view_rows(view) == [(1, DAY, 2.0, 1, 2.0, 2.0)]
     view.add(second, 1)
     assert view_rows(view) == [(1, DAY, 3.0, 2, 2.0, 4.0)]
+
+
+# --- replicas, importance, partitions -------------------------------------------------------------
+
+def plain_bands(n, seed=4):
+    rnd = np.random.Generator(np.random.PCG64(seed))
+    y = rnd.gamma(2.0, 20.0, n)
+    mid = y + rnd.normal(0, 12, n)
+    return [("m", i % 7, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(a), float(b - 18), float(b + 18 + i % 5)) for i, (a, b) in enumerate(zip(y, mid))]
+
+
+def test_replica_weights_are_those_of_the_column_form(spark):
+    from hazewell.operators import replicas
+
+    df = spark.range(500).select("id", F.xxhash64("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("r"))
+    rows = df.select("id", "key", "r", forecast.poisson_weight(F.col("r"), F.col("id")).alias("w")).orderBy("id", "r").collect()
+    keys = np.array([r.key for r in rows if r.r == 0])
+    assert replicas.poisson(keys, 10).ravel().tolist() == [r.w for r in rows]
+
+
+def test_a_thousand_replicas_of_blocks_agree_with_replicas_of_rows(spark):
+    """60,000 rows lie in 1,024 blocks; intervals of weighted rows, by brute force, are within 5 % of those of blocks."""
+    rows = plain_bands(60_000)
+    df = spark.createDataFrame(rows, "model string, station_id long, target_ts timestamp, y double, lower double, upper double")
+    out = calibrate.bootstrap_metrics(df, replicas=1000, blocks=1024)
+    assert "Generate" not in explained(out)
+    got = {r.metric: r for r in out.collect()}
+    y, lo, hi = (np.array([r[i] for r in rows]) for i in (3, 4, 5))
+    wink = hi - lo + 20 * (np.maximum(0, lo - y) + np.maximum(0, y - hi))
+    rnd = np.random.Generator(np.random.PCG64(9))
+    per = {"coverage": [], "width": [], "winkler": []}
+    for _ in range(600):
+        w = rnd.poisson(1.0, len(rows))
+        for name, v in (("coverage", (y >= lo) & (y <= hi)), ("width", hi - lo), ("winkler", wink)):
+            per[name].append((w * v).sum() / w.sum())
+    for name, values in per.items():
+        low, high = np.quantile(values, [0.025, 0.975])
+        assert abs(got[name].low - low) < 0.05 * abs(low) and abs(got[name].high - high) < 0.05 * abs(high)
+        assert (got[name].high - got[name].low) / (high - low) == pytest.approx(1, abs=0.15)
+
+
+def test_donors_come_from_one_numbering(spark):
+    from hazewell.operators import explain, select
+
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i, rnd.random(), rnd.random(), 0.0) for i in range(300)], "id long, a double, b double, y double").withColumn("y", F.col("a") * 10)
+    model, va = select.fit_forest(df, ["a", "b"], "y", trees=5, depth=4)
+    plan = explained(explain.permutation_importance(model, va, df, ["a", "b"], "y", ["id"], repeats=10))
+    physical = plan.split("== Physical Plan ==")[1]
+    assert physical.count("SortMergeJoin") + physical.count("BroadcastHashJoin") + physical.count("ShuffledHashJoin") <= 3
+    got = {r.feature: r for r in explain.permutation_importance(model, va, df, ["a", "b"], "y", ["id"], repeats=10).collect()}
+    assert got["a"].importance > 10 and abs(got["b"].importance) < 1 and got["a"].std > 0
+    one = explain.permutation_importance(model, va, df.limit(1), ["a", "b"], "y", ["id"]).collect()
+    assert [r.importance for r in one] == [None, None]
+
+
+def test_missing_slots_are_read_off_neighbours(spark):
+    from hazewell.sources import landing
+
+    rnd = random.Random(5)
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(0, 24 * 60))) for s in range(4) for _ in range(12)]
+    df = spark.createDataFrame(rows, "station_id long, datetime_utc timestamp")
+    want = {tuple(r) for r in landing.missing_partitions(landing.required_partitions(df), landing.present_partitions(df)).collect()}
+    got = [tuple(r) for r in landing.missing_slots(df).collect()]
+    assert set(got) == want and len(got) == len(want)

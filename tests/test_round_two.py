@@ -129,9 +129,9 @@ def test_keyed_streams_over_several_files(spark, tmp_path):
 
     def all_of(folder):
         stream = streams.event_stream(spark, f"{tmp_path}/{folder}").withColumn("station_id", F.length("event_type").cast("long"))
-        out = [streams.last_rows(streams.run_to_table(streams.stream_bias(stream, late="40 days"), "b"), ["station_id", "hour"])]
-        out += [streams.last_rows(streams.run_to_table(streams.stream_conformal(stream, late="40 days"), "c"), ["station_id"])]
-        out += [streams.run_to_table(streams.stream_alerts(stream, cooldown_minutes=720, late="40 days"), "a")]
+        out = [streams.last_rows(streams.run_to_table(streams.stream_bias(stream), "b"), ["station_id", "hour"])]
+        out += [streams.last_rows(streams.run_to_table(streams.stream_conformal(stream), "c"), ["station_id"])]
+        out += [streams.run_to_table(streams.stream_alerts(stream, cooldown_minutes=720), "a")]
         return [sorted(map(tuple, x.collect())) for x in out]
 
     many, one = all_of("many"), all_of("one")
