@@ -1,22 +1,26 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are n-grams of the training text, arcs carry probabilities smoothed by absolute discounting, and each state's failure
-arc leads to the n-gram without its first word and carries the backoff weight. The root falls back to add-one unigrams over
-all types and one unseen type, so every state's probabilities sum to one.
+States are the contexts of up to two words that some kept n-gram continues. A state's arcs carry the log probabilities of
+its continuations, smoothed by absolute discounting; its failure arc leads to the context without its first word and carries
+the log of what the discounts left over. The root has an arc for every word, add-one smoothed, one unseen type included.
+So every state's probabilities sum to one:
 
-Every word is a state, and every longer n-gram seen ``MIN_COUNT`` times. All of them are rows of stored tables: counted by
-a groupBy, normalised by joins with the n-grams one word shorter. An n-gram that is kept has all its parts kept, so what a
-walk through the automaton adds up is a sum over the n-grams of a text, each with a value of its own:
+    p(w | h) = (c(h w) - d) / c(h) + left(h) p(w | shorter h)    with an arc,    left(h) p(w | shorter h)    without
 
-    log p(g) - weight(g without its last word) - log p(g without its first word) + weight(g)
+A text is scored in one traversal from left to right: the state is carried from token to token, failure arcs are followed
+until a state has an arc for the token, and log probabilities add up.
 
-Texts meet these values in a join. The values of the most frequent n-grams are also broadcast: that saves shuffling their
-places, and changes no score.
+All words are counted, and every n-gram seen ``MIN_COUNT`` times is kept, whatever the corpus. No task holds the model.
+Texts become chunks of word codes. A chunk sends each of its distinct n-grams once, packed, to the range of hashes that
+its first two words fall in; a range adds up all chunks' counts and answers each chunk with the totals of just the n-grams
+that it sent. With these answers a chunk has all states and arcs that its own texts can meet, and walks them.
+
+The broadcast part is bounded: codes and totals of the ``VOCABULARY`` most frequent words. Other words are their hash, and
+their totals come in the answers.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,201 +29,399 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazewell.llm.words import U64, pieces, word_numbers
+from hazewell.llm.words import U64, mix, pieces, word_numbers
 from hazewell.session import stored
 
 ORDER = 3
 #: Occurrences from which an n-gram of two or more words is kept, whatever the corpus.
 MIN_COUNT = 2
-#: Share of all training tokens from which an n-gram's value is broadcast too: at most 500,000 of each order.
-CACHE_SHARE = 2e-6
 DISCOUNT = 0.75
+#: Words that have short codes: 24 bytes each are broadcast.
+VOCABULARY = 1 << 20
+#: Tokens of a chunk, at most: their distinct words and context fit in 21 bits.
+CHUNK = 2_000_000
+#: Tokens of the corpus for each range of hashes.
+RANGE = 2_000_000
 #: The end of a text is a token too; before its first word a text is in the state of having just ended.
 END = U64(0x5851F42D4C957F2D)
+BITS = U64(21)
+LOW = U64((1 << 21) - 1)
+HASHED = U64(1 << 63)
 FLUSH = 1_000_000
-#: Joined values are summed as whole numbers of this fraction, so that their order doesn't matter.
-UNIT = 2.0**-32
 
 
+# --- packed columns ------------------------------------------------------------------------------------
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of non-negative whole numbers as compressed byte planes; each column takes as many bytes a number as its largest needs."""
+    head, body = [len(columns)], []
+    for c in columns:
+        c = np.ascontiguousarray(c.astype(np.uint64))
+        width = (int(c.max(initial=0)).bit_length() + 7) // 8
+        head += [len(c), width]
+        body.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = b"".join(body)
+    return np.array([*head, len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    head = np.frombuffer(blob, np.int64, 2 * n + 2)
+    raw = np.frombuffer(pa.decompress(blob[8 * len(head) :], int(head[-1]), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for size, width in zip(head[1:-1:2].tolist(), head[2:-1:2].tolist()):
+        c = np.zeros((size, 8), np.uint8)
+        c[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        out.append(c.reshape(-1).view(np.uint64))
+        at += size * width
+    return out
+
+
+# --- words ---------------------------------------------------------------------------------------------
+
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of column ``text``, an end after each text, and where each text starts, with one more end."""
     numbers, first = word_numbers(batch.column(batch.schema.get_field_index("text")))
     return np.insert(numbers, first[1:], END), first + np.arange(len(first))
 
 
-def _xx(x: np.ndarray, seed) -> np.ndarray:
-    """Spark's xxhash64 of one 64-bit number."""
-    p1, p2, p3, p4, p5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, n: (v << U64(n)) | (v >> U64(64 - n))
-    h = (seed + p5 + U64(8)) ^ (turn(x * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> U64(33))) * p2
-    h = (h ^ (h >> U64(29))) * p3
-    return h ^ (h >> U64(32))
-
-
-def gram_key(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """The number of an n-gram from those of its first and its last n - 1 words; a word's own is its token. As xxhash64(head, tail) in Spark."""
-    return _xx(tail, _xx(head, U64(42)))
-
-
-def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For 2 .. order the n-grams of all texts: n, head, tail, and the place of each one's last token. A text begins after
-    the end of another: an n-gram may begin with that end, but no other of its words is one."""
-    starts = first[:-1]
-    keys = np.insert(tokens, starts, END)
-    begin = starts + np.arange(len(starts))
-    text = np.repeat(np.arange(len(starts)), np.diff(first) + 1)
-    at = np.arange(len(keys))
-    inside = np.ones(len(keys), dtype=bool)
-    inside[begin] = False
-    for n in range(2, order + 1):
-        # keys[i] is the (n - 1)-gram that ends at at[i]; its neighbour ends one token later
-        if len(keys) < 2:
-            return
-        ok = (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1]) & inside[at[1:]]
-        head, tail, at, text = keys[:-1][ok], keys[1:][ok], at[1:][ok], text[1:][ok]
-        yield n, head, tail, at - text - 1
-        keys = gram_key(head, tail)
-
-
-def _sums(batches: Iterator, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches of (number of the row, its columns ..) with how often each occurs, put out whenever many have gathered."""
-
-    def out(parts):
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        _, where, count = np.unique(columns[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(c[where].view(np.int64) if c.dtype == np.uint64 else c[where], f.type) for c, f in zip(columns[1:], schema)), pa.array(count)], schema=schema)
-
-    held, size = [], 0
-    for part in batches:
-        held.append(part)
-        size += len(part[0])
-        if size > FLUSH:
+def word_counts(rows: DataFrame) -> DataFrame:
+    """key, c (training) and seen (all) of every token; summed in the tasks before the shuffle."""
+
+    def out(held):
+        keys, train = (np.concatenate(x) for x in zip(*held))
+        found, at, seen = np.unique(keys, return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(at, train, len(found)).astype(np.int64)), pa.array(seen)], ["key", "c", "seen"])
+
+    def count(batches):
+        held, size = [], 0
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                tokens, first = _tokens(batch)
+                train = ~np.asarray(batch.column(batch.schema.get_field_index("held_out")))
+                held.append((tokens, np.repeat(train, np.diff(first))))
+                size += len(tokens)
+                if size > FLUSH:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
             yield out(held)
-            held, size = [], 0
-    if size:
-        yield out(held)
 
+    return rows.select("text", "held_out").mapInArrow(count, "key long, c long, seen long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+
+
+class Words:
+    """Codes 1, 2, .. of the most frequent words, by falling count, and their counts; ``whole`` if these are all words seen MIN_COUNT times."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, whole: bool):
+        order = np.lexsort((keys, -counts))
+        keys, self.counts, self.whole = keys[order], np.concatenate(([0], counts[order])), whole
+        by_key = np.argsort(keys)
+        self.keys, self.code = keys[by_key], (by_key + 1).astype(np.uint64)
+
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        """A word's code, or its hash with the highest bit set."""
+        found, at = np.unique(numbers, return_inverse=True)
+        where = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+        hit = self.keys[where] == found if len(self.keys) else np.zeros(len(found), bool)
+        return np.where(hit, self.code[where] if len(self.keys) else U64(0), found | HASHED)[at]
 
-def _counts(rows: DataFrame, columns: dict[str, str], parts_of) -> DataFrame:
-    """The columns that ``parts_of`` gives of all texts, and c: how often each occurs; summed in the tasks before the shuffle."""
-    arrow = {"long": pa.int64(), "int": pa.int32()}
-    schema = pa.schema([*((c, arrow[t]) for c, t in columns.items()), ("c", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sums((part for whole in batches for batch in pieces(whole, "text") for part in parts_of(*_tokens(batch))), schema)
+def vocabulary(types: DataFrame, size: int) -> Words:
+    """The most frequent words: all of those counts that ``size`` words have room for."""
+    by_count = types.filter(F.col("c") >= MIN_COUNT).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
+    least, room, whole = None, size, True
+    for r in by_count.toLocalIterator():
+        if r["n"] > room:
+            whole = False
+            break
+        least, room = r["c"], room - r["n"]
+    if least is None:
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), whole)
+    found = types.filter(F.col("c") >= least).select("key", "c").toArrow()  # at most ``size`` rows
+    return Words(found.column("key").to_numpy().view(np.uint64), found.column("c").to_numpy(), whole)
 
-    return rows.select("text").mapInArrow(count, ", ".join(f"{c} {t}" for c, t in columns.items()) + ", c long").groupBy(*columns).agg(F.sum("c").alias("c"))
 
+# --- chunks --------------------------------------------------------------------------------------------
 
-def train(rows: DataFrame, order: int = ORDER, min_share: float = 0.0, min_gram_share: float = 0.0, discount: float = DISCOUNT) -> tuple[DataFrame, int, int]:
-    """The stored table of all n-grams, the number of tokens and that of types, from the texts of ``rows``.
+def chunks(rows: DataFrame, shared) -> DataFrame:
+    """The texts as chunks: chunk, docs (row, doc_id, whether it has one, held out, own tokens and context of each part of a text), part (their codes).
 
-    Columns: key, c, value (see above; a word's is more than the unseen type's by it), base (the same for the unigram
-    model; 0 for longer n-grams). ``min_share`` and ``min_gram_share`` leave out states below a share of all tokens; by
-    default there is no such limit, and the tables grow with the corpus.
+    A text longer than a chunk goes on in the next one, which begins with the two tokens before it as context.
     """
-    types = stored(_counts(rows, {"key": "long"}, lambda tokens, _: [(tokens, tokens)]), "types")
-    total, n_types = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    limit = max(MIN_COUNT, min_gram_share * total)
-
-    def parts_of(tokens: np.ndarray, first: np.ndarray):
-        for n, head, tail, _ in _grams(tokens, first, order):
-            yield gram_key(head, tail), np.full(len(head), n, dtype=np.int32), head, tail
-
-    counted = stored(_counts(rows, {"n": "int", "head": "long", "tail": "long"}, parts_of).filter(F.col("c") >= limit), "grams") if order > 1 else None
-    size = float(total + n_types + 1)
-    levels = [types.select("key", "c", ((F.col("c") + 1) / F.lit(size)).alias("p"))]
-    shorter, weights = levels[0].filter(F.col("c") >= min_share * total), []
-    for n in range(2, order + 1):
-        grams = counted.filter(F.col("n") == n).join(shorter.select(F.col("key").alias("head"), F.col("c").alias("of")), "head")
-        grams = grams.join(shorter.select(F.col("key").alias("tail"), F.col("p").alias("lower")), "tail")
-        shorter = stored(grams.select(F.xxhash64("head", "tail").alias("key"), "head", "c", "of", ((F.col("c") - F.lit(discount)) / F.col("of")).alias("p"), "lower"), f"arcs-{n}")
-        levels.append(shorter)
-        left = 1.0 - (F.sum("c") - F.lit(discount) * F.count("*")) / F.first("of")
-        rest = 1.0 - F.sum(F.col("lower").cast("decimal(28,18)")).cast("double")
-        weights.append(stored(shorter.groupBy("head").agg(F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(rest, F.lit(1e-12))).alias("weight")), f"weights-{n}"))
-    none, out = F.lit(0.0), None
-    for n, level in enumerate(levels, 1):
-        value = F.log10(F.col("c") + 1.0) if n == 1 else F.log10("p") - F.col("less") - F.log10("lower")
-        if n > 1:
-            level = level.join(weights[n - 2].withColumnRenamed("weight", "less"), "head")
-        if n < order:
-            level = level.join(weights[n - 1].withColumnRenamed("head", "key"), "key", "left")
-            value = value + F.coalesce("weight", none)
-        part = level.select("key", "c", value.alias("value"), (F.log10(F.col("c") + 1.0) if n == 1 else none).alias("base"))
-        out = part if out is None else out.unionAll(part)
-    return stored(out, "values"), int(total), int(n_types)
-
-
-class Cache:
-    """The values of the most frequent n-grams, by their numbers in order."""
-
-    def __init__(self, frequent):
-        keys = frequent["key"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.value, self.base = keys[order], frequent["value"].to_numpy(dtype=float)[order], frequent["base"].to_numpy(dtype=float)[order]
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key is, -1 where it is not."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, dtype=np.int64)
-        order = np.argsort(keys)  # neighbours in order are found near each other
-        known = keys[order]
-        at = np.minimum(np.searchsorted(self.keys, known), len(self.keys) - 1)
-        out = np.empty(len(keys), dtype=np.int64)
-        out[order] = np.where(self.keys[at] == known, at, -1)
-        return out
 
+    def run(batches):
+        words, task = shared.value, TaskContext.get().partitionId()
+        at, made, held, size = task << 36, task << 24, [], 0
+
+        def out():
+            docs = [np.array([h[k] for h in held], np.int64) for k in range(6)]
+            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([pack(docs)]), pa.array([pack([np.concatenate([h[6] for h in held])])])], ["chunk", "docs", "part"])
+
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                tokens, first = _tokens(batch)
+                codes, held_out = words.codes(np.append(tokens, END)), np.asarray(batch.column(batch.schema.get_field_index("held_out")))
+                end, ids = codes[-1:], batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+                for i in range(batch.num_rows):
+                    begin, stop = int(first[i]), int(first[i + 1])
+                    while begin < stop:
+                        last = min(stop, begin + CHUNK - size)
+                        before = end if begin == first[i] else np.concatenate([end, codes[first[i] : begin]])[-2:] if begin - first[i] < 2 else codes[begin - 2 : begin]
+                        held.append((at + i, ids[i] or 0, int(ids[i] is not None), int(held_out[i]), last - begin, len(before), np.concatenate([before, codes[begin:last]])))
+                        size += last - begin
+                        begin = last
+                        if size >= CHUNK:
+                            yield out()
+                            held, size, made = [], 0, made + 1
+                at += batch.num_rows
+        if held:
+            yield out()
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "chunk long, docs binary, part binary")
+
+
+class Grams:
+    """A chunk's tokens and its distinct n-grams.
+
+    ``key`` has the n-grams in order: the places of up to three words among the chunk's distinct words, 21 bits each, 0 where
+    there is none. Bigrams have no third word, single words (those without a code) no second.
+    """
 
-def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, cache_share: float = CACHE_SHARE, **options) -> DataFrame:
+    def __init__(self, docs: bytes, part: bytes, words: Words, order: int):
+        self.rows, self.ids, self.has_id, self.held_out, self.own, context = (c.view(np.int64) for c in unpack(docs))
+        self.codes = unpack(part)[0]
+        length = self.own + context
+        self.first = np.concatenate(([0], np.cumsum(length)))[:-1]
+        place = np.arange(len(self.codes)) - np.repeat(self.first, length)
+        self.is_own = place >= np.repeat(context, length)
+        train = np.repeat(self.held_out == 0, length) & self.is_own
+        self.distinct, local = np.unique(self.codes, return_inverse=True)
+        self.local = local = (local + 1).astype(np.uint64)
+        coded = self.codes < HASHED
+        known = coded if words.whole else np.ones(len(coded), bool)  # an n-gram with a word seen once can't be seen twice
+        self.two, self.three = np.zeros(len(local), np.uint64), np.zeros(len(local), np.uint64)
+        pair = np.flatnonzero((place >= 1) & known & np.roll(known, 1)) if order > 1 else np.zeros(0, int)
+        self.two[pair] = (local[pair - 1] << (BITS + BITS)) | (local[pair] << BITS)
+        triple = pair[(place[pair] >= 2) & known[pair - 2] & self.is_own[pair]] if order > 2 else np.zeros(0, int)
+        self.three[triple] = (local[triple - 2] << (BITS + BITS)) | (local[triple - 1] << BITS) | local[triple]
+        one = np.flatnonzero(~coded)
+        at = np.concatenate([one, pair, triple])
+        all_ = np.concatenate([local[one] << (BITS + BITS), self.two[pair], self.three[triple]])
+        all_ = np.sort((all_ << U64(1)) | train[at])
+        key = all_ >> U64(1)
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+        self.key = key[new]
+        self.count = np.add.reduceat((all_ & U64(1)).astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the n-grams' words, 0 where there is none."""
+        codes = np.concatenate([np.zeros(1, np.uint64), self.distinct])
+        return codes[self.key >> (BITS + BITS)], codes[(self.key >> BITS) & LOW], codes[self.key & LOW]
+
+    def by_range(self, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each range and its n-grams, in order. A word without a code is in one range with all that it begins; a frequent word's n-grams are dealt by their second word too."""
+        a, b, _ = self.columns()
+        of = (mix(np.where(a < HASHED, a * U64(0x9E3779B97F4A7C15) + b, a)) % U64(ranges)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(ranges + 1))
+        for r in range(ranges):
+            if edges[r] < edges[r + 1]:
+                yield r, order[edges[r] : edges[r + 1]]
+
+
+def sent(stored_chunks: DataFrame, shared, ranges: int, order: int) -> DataFrame:
+    """chunk, range, and the chunk's n-grams in that range with their counts, packed."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, docs, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                grams = Grams(docs.as_py(), part.as_py(), shared.value, order)
+                a, b, w = grams.columns()
+                for r, at in grams.by_range(ranges):
+                    step = np.diff(a[at], prepend=U64(0))  # places are in order of codes: small steps
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([r], pa.int32()), pa.array([pack([step, b[at], w[at], grams.count[at]])])], ["chunk", "range", "blob"])
+
+    return stored_chunks.select("chunk", "docs", "part").mapInArrow(run, "chunk long, range int, blob binary")
+
+
+def totals(a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, limit: int):
+    """Over all chunks' n-grams of a range: for each its number among the distinct ones; and of these codes, total (0 below the limit), and how
+    much its kept continuations add up to and are."""
+    small = not len(a) or max(int(a.max()), int(b.max()), int(w.max())) <= int(LOW)
+    order = np.argsort((a << (BITS + BITS)) | (b << BITS) | w, kind="stable") if small else np.lexsort((w, b, a))
+    a, b, w = a[order], b[order], w[order]
+    head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    new = head | np.concatenate(([True], w[1:] != w[:-1]))[: len(a)]
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, np.int64)
+    a, b, w, head = a[first], b[first], w[first], head[first]
+    total = np.where((total >= limit) | (b == 0), total, 0)
+    n, mass, arcs = len(first), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    three = np.flatnonzero((w > 0) & (total > 0))
+    owner = np.flatnonzero(head)[np.cumsum(head) - 1] if n else np.zeros(0, int)  # a kept trigram's bigram is there, first of its group
+    np.add.at(mass, owner[three], total[three])
+    np.add.at(arcs, owner[three], 1)
+    # what a word without a code continues with lies in this range as well
+    two = np.flatnonzero((w == 0) & (b > 0) & (total > 0))
+    word = np.flatnonzero((b == 0) & (a >= HASHED))
+    if len(word):
+        at = np.minimum(np.searchsorted(a[word], a[two]), len(word) - 1)
+        mine = a[word[at]] == a[two]
+        np.add.at(mass, word[at[mine]], total[two[mine]])
+        np.add.at(arcs, word[at[mine]], 1)
+    return number, a, b, w, total, mass, arcs
+
+
+def answers(asked: DataFrame, limit: int) -> DataFrame:
+    """For each chunk and range the totals of its n-grams in the order in which they were sent; and as chunk -1 what each coded word's kept continuations in the range add up to and are."""
+
+    def run(table):
+        blobs = [unpack(b.as_py()) for b in table.column("blob")]
+        a = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in blobs])
+        number, a, b, w, total, mass, arcs = totals(a, *(np.concatenate([x[k] for x in blobs]) for k in (1, 2)), np.concatenate([x[3] for x in blobs]).astype(np.int64), limit)
+        out, at = [], 0
+        for x in blobs:
+            mine = number[at : at + len(x[0])]
+            at += len(x[0])
+            out.append(pack([total[mine], mass[mine], arcs[mine]]))
+        kept = np.flatnonzero((w == 0) & (b > 0) & (total > 0) & (a < HASHED))
+        word, of = np.unique(a[kept], return_inverse=True)
+        out.append(pack([word, np.bincount(of, total[kept], len(word)).astype(np.int64), np.bincount(of, minlength=len(word))]))
+        chunk = [*table.column("chunk").to_pylist(), -1]
+        return pa.table([pa.array(chunk, pa.int64()), pa.array([table.column("range")[0].as_py()] * len(chunk), pa.int32()), pa.array(out, pa.binary())], ["chunk", "range", "blob"])
+
+    return asked.groupBy("range").applyInArrow(run, "chunk long, range int, blob binary")
+
+
+def word_arcs(answered: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """By code: what a word's kept continuations add up to, and how many they are."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                word, mass, arcs = unpack(blob.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (word, mass, arcs)], ["word", "mass", "arcs"])
+
+    rows = answered.filter("chunk < 0").select("blob").mapInArrow(run, "word long, mass long, arcs long").groupBy("word").agg(F.sum("mass").alias("mass"), F.sum("arcs").alias("arcs")).toArrow()
+    mass, arcs = np.zeros(len(words.counts), np.int64), np.zeros(len(words.counts), np.int64)
+    mass[rows.column("word").to_numpy()], arcs[rows.column("word").to_numpy()] = rows.column("mass").to_numpy(), rows.column("arcs").to_numpy()
+    return mass, arcs
+
+
+# --- the automaton -------------------------------------------------------------------------------------
+
+class Automaton:
+    """The states and arcs that a chunk's texts can meet, token by token.
+
+    For each token: ``arc[k]`` is the log probability of the arc for it from the state of the k tokens before it (NaN where
+    that state has none), ``fail[k]`` the weight of that state's failure arc, and ``state`` how many tokens the longest state
+    that ends with this token has.
+    """
+
+    def __init__(self, grams: Grams, words: Words, mass: np.ndarray, arcs: np.ndarray, answer, size: float, discount: float):
+        total, own_mass, own_arcs = answer
+        n = len(grams.codes)
+        coded = grams.codes < HASHED
+        code = np.where(coded, grams.codes, U64(0)).astype(np.int64)
+        count, left, more = words.counts[code].astype(float), mass[code].astype(float), arcs[code].astype(float)
+        at = np.searchsorted(grams.key, grams.local[~coded] << (BITS + BITS))
+        count[~coded], left[~coded], more[~coded] = total[at], own_mass[at], own_arcs[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest1 = np.where(more > 0, 1.0 - (left - discount * more) / count, 1.0)
+            self.count, p1 = count, (count + 1.0) / size
+            c2, m2, k2 = self._of(grams.key, grams.two, total, own_mass, own_arcs)
+            c3, *_ = self._of(grams.key, grams.three, total, own_mass, own_arcs)
+            rest2 = np.where(k2 > 0, 1.0 - (m2 - discount * k2) / c2, 1.0)
+            before = lambda x, k: np.concatenate([np.ones(k), x[:-k]])[:n]
+            p2 = np.where(c2 > 0, (c2 - discount) / before(count, 1), 0.0) + before(rest1, 1) * p1
+            p3 = np.where(c3 > 0, (c3 - discount) / before(c2, 1), 0.0) + before(rest2, 1) * p2
+            nothing = np.nan
+            self.arc = [np.log10(p1), np.where(c2 > 0, np.log10(p2), nothing), np.where(c3 > 0, np.log10(p3), nothing)]
+            self.fail = [np.zeros(n), np.log10(before(rest1, 1)), np.log10(before(rest2, 1))]
+        self.state = np.where(k2 > 0, 2, np.where(more > 0, 1, 0))
+
+    @staticmethod
+    def _of(key, wanted, *columns):
+        """The columns' values at each wanted n-gram, 0 where it is none or not kept."""
+        kept = np.flatnonzero(columns[0] > 0)
+        known = key[kept]
+        out = [np.zeros(len(wanted)) for _ in columns]
+        if len(known):
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = (known[at] == wanted) & (wanted > 0)
+            for o, c in zip(out, columns):
+                o[hit] = c[kept[at[hit]]]
+        return out
+
+    def walk(self, first: int, context: int, own: int) -> float:
+        """Log probability of the ``own`` tokens after the context, from left to right."""
+        begin = first + context
+        state, total = min(int(self.state[begin - 1]), context), 0.0
+        span = slice(begin, begin + own)
+        arc0, arc1, arc2, fail1, fail2, states = (x[span].tolist() for x in (*self.arc, *self.fail[1:], self.state))
+        for one, two, three, from1, from2, after in zip(arc0, arc1, arc2, fail1, fail2, states):
+            if state == 2:
+                if three == three:  # an arc is there
+                    total += three
+                    state = after
+                    continue
+                total += from2
+                state = 1
+            if state == 1:
+                if two == two:
+                    total += two
+                    state = after
+                    continue
+                total += from1
+            total += one
+            state = after
+        return total
+
+
+def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT, words_broadcast: int = VOCABULARY) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` is a condition on the documents; those for which it does not hold are held out of training, null counts
     as training. base_score adds the add-one unigram log10 probabilities of all tokens, score is the automaton's. A null
-    or empty text is its end token alone. Rows are neither dropped nor merged. Without training texts every token has
-    probability 1 and no state exists. ``cache_share`` moves work between broadcast and join, and changes no score.
+    or empty text is its end token alone. Texts of any length are walked whole. Rows are neither dropped nor merged.
+    Without training texts every token has probability 1 and no state but the root exists. ``order`` is 1, 2 or 3.
+    ``words_broadcast`` moves work between broadcast and answers, and changes no score.
     """
+    if not (1 <= order <= 3 and min_count >= 2 and 0 < discount < 1):
+        raise ValueError("an order of 1 to 3, a least count of 2 or more, and a discount between 0 and 1")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~F.coalesce(training, F.lit(True))).alias("held_out"))
-    values, total, n_types = train(rows.filter(~F.col("held_out")), order, **options)
-    shared = spark.sparkContext.broadcast(Cache(values.filter(F.col("c") >= cache_share * total).toPandas()))
-    size = math.log10(total + n_types + 1.0)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("rare", pa.list_(pa.int64()))])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, row = shared.value, TaskContext.get().partitionId() << 36
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                tokens, first = _tokens(batch)
-                n, length = batch.num_rows, np.diff(first)
-                base, part, known = -size * length, -size * length, np.zeros(n, dtype=np.int64)
-                owner, rare, of = np.repeat(np.arange(n), length), [], []
-                for k, keys, last in [(1, tokens, np.arange(len(tokens))), *((k, gram_key(h, t), at) for k, h, t, at in _grams(tokens, first, order))]:
-                    at, own = cache.places(keys), owner[last]
-                    hit = at >= 0
-                    part += np.bincount(own[hit], cache.value[at[hit]], minlength=n)
-                    if k == 1:
-                        base += np.bincount(own[hit], cache.base[at[hit]], minlength=n)
-                        known += np.bincount(own[hit], minlength=n)
-                    rare.append(keys[~hit])
-                    of.append(own[~hit])
-                of = np.concatenate(of)
-                rare = np.concatenate(rare)[np.argsort(of, kind="stable")].view(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), pa.array(length), pa.array(known), pa.array(base), pa.array(part), lists], schema=schema)
-                row += n
-
-    half = stored(rows.select("doc_id", "text", "held_out").mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, rare array<long>"), "scores")
-    whole = lambda c: F.round(F.col(c) / F.lit(UNIT)).cast("long")
-    # n-grams that no training text has, or that are no state, have no value and meet nothing; a word's base is above 0
-    found = half.select("row", F.explode("rare").alias("key")).join(values.select("key", whole("value").alias("value"), whole("base").alias("base")), "key")
-    found = found.groupBy("row").agg(F.sum("value").alias("more_value"), F.sum("base").alias("more_base"), F.sum((F.col("base") > 0).cast("int")).alias("more"))
-    out = half.drop("rare").join(found, "row", "left")
-    more = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + more("more")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more("more_base") * F.lit(UNIT)).alias("base_score"), (F.col("part") + more("more_value") * F.lit(UNIT)).alias("score"),
-    )
+    types = stored(word_counts(rows), "types")
+    n_train, n_types, n_all = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    size = float(n_train + n_types + 1)
+    words = vocabulary(types, words_broadcast)
+    shared = spark.sparkContext.broadcast(words)
+    parts = stored(chunks(rows, shared), "chunks")
+    ranges = max(1, -(-int(n_all) // RANGE))
+    answered = stored(answers(sent(parts, shared, ranges, order).repartition(ranges, "range"), min_count), "answers")
+    arcs = spark.sparkContext.broadcast(word_arcs(answered, words))
+    n_chunks = max(1, min(parts.count(), 10 * ranges))
+
+    def run(left, right):
+        grams = Grams(left.column("docs")[0].as_py(), left.column("part")[0].as_py(), shared.value, order)
+        blobs = dict(zip(right.column("range").to_pylist(), right.column("blob")))
+        answer = [np.zeros(len(grams.key), np.int64) for _ in range(3)]
+        for r, at in grams.by_range(ranges):
+            for whole, some in zip(answer, unpack(blobs[r].as_py())):
+                whole[at] = some.astype(np.int64)
+        machine = Automaton(grams, shared.value, *arcs.value, answer, size, discount)
+        length = np.diff(np.append(grams.first, len(grams.codes)))
+        context = length - grams.own
+        own_sum = lambda x: np.add.reduceat(np.where(grams.is_own, x, 0), grams.first)
+        scores = [machine.walk(*span) for span in zip(grams.first.tolist(), context.tolist(), grams.own.tolist())]
+        return pa.table([pa.array(grams.rows), pa.array(grams.ids, mask=grams.has_id == 0), pa.array(grams.held_out != 0), pa.array(grams.own), pa.array(own_sum(machine.count > 0).astype(np.int64)), pa.array(own_sum(machine.arc[0])), pa.array(scores, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    asked = parts.repartition(n_chunks, "chunk").groupBy("chunk")
+    walked = asked.cogroup(answered.filter("chunk >= 0").repartition(n_chunks, "chunk").groupBy("chunk")).applyInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    # parts of one text add up in decimals: their order doesn't matter
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,14)")).cast("double")
+    whole = walked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), exact("base").alias("base_score"), exact("score").alias("score"))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")

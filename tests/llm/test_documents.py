@@ -161,71 +161,107 @@ def test_blocks_of_items_and_filtering(frame, words, monkeypatch):
     assert qgram_leaks.find_leaks(frame([], "doc_id long, text string"), items).count() == 0
 
 
-def test_scores_agree_with_brute_force(frame, odd_docs, words):
-    rnd = random.Random(8)
-    common = words(12, 1)
-    docs = [*odd_docs[:4], *odd_docs[5:]] + [(100 + i, " ".join(rnd.choice(common) if rnd.random() < 0.8 else rnd.choice(words(300, 2)) for _ in range(rnd.randint(0, 60))).title(), "en", "s", 0) for i in range(150)]
-    options = {"min_share": 1e-2, "min_gram_share": 1e-3}
-    rows = frame([(*d, 0.5) for d in docs], DOCS + ", score double")
-    training = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2
-    out = backoff_model.score(rows, training, **options).collect()
-    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = lambda t: WORD.findall((t or "").translate(up)) + [None]
-    train = [tokens(d[1]) for d in docs if (d[0] or 0) % 7 != 2]
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_scores(docs, held_out, order=3):
+    """All n-grams counted and every probability worked out from its definition; docs are (doc_id, text)."""
+    tokens = lambda t: WORD.findall((t or "").translate(UP)) + [None]
+    train = [tokens(t) for d, t in docs if not held_out(d)]
     c = collections.Counter(w for t in train for w in t)
     total, types = sum(c.values()), len(c)
-    grams = [{}, {(w,): n for w, n in c.items() if n >= 1e-2 * total}]
-    for n in (2, 3):
+    grams, arcs = {1: {(w,): n for w, n in c.items()}}, collections.defaultdict(list)
+    for n in range(2, order + 1):
         found = collections.Counter(tuple(x[i : i + n]) for t in train for x in [[None, *t]] for i in range(len(x) - n + 1))
-        grams.append({g: k for g, k in found.items() if k >= max(2, 1e-3 * total) and g[:-1] in grams[n - 1] and g[1:] in grams[n - 1] and all((w,) in grams[1] for w in g)})
+        grams[n] = {g: k for g, k in found.items() if k >= 2}
+        for g, k in grams[n].items():
+            arcs[g[:-1]].append(k)
 
     def p(gram):
         if len(gram) == 1:
             return (c[gram[0]] + 1) / (total + types + 1)
-        n, state = len(gram), gram[:-1]
-        if gram in grams[n]:
-            return (grams[n][gram] - 0.75) / grams[n - 1][state]
-        arcs = [g for g in grams[n] if g[:-1] == state]
-        if not arcs:
+        state = gram[:-1]
+        if not arcs[state]:
             return p(gram[1:])
-        kept, rest = sum((grams[n][g] - 0.75) / grams[n - 1][state] for g in arcs), sum(p(g[1:]) for g in arcs)
-        return (1 - kept) / (1 - rest) * p(gram[1:])
+        of = grams[len(state)][state]
+        left = 1 - sum(k - 0.75 for k in arcs[state]) / of
+        return (max(grams[len(gram)].get(gram, 0) - 0.75, 0)) / of + left * p(gram[1:])
 
-    some = list(grams[2])[:3]
-    assert some and grams[3]
-    for state in [g[:1] for g in some] + some:  # every state's probabilities sum to one, the unseen type among them
-        assert abs(sum(p((*state, w)) for w in c) + p((*state, "never seen")) - 1) < 1e-9
-    got, want = [], []
-    for r in out:
-        got.append((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)))
-    for d in docs:
-        t = tokens(d[1])
+    out = []
+    for d, text in docs:
+        t = tokens(text)
         x = [None, *t]
-        score = sum(math.log10(p(tuple(x[max(0, i - 2) : i + 1]))) for i in range(1, len(x)))
-        want.append((d[0] or 0, (d[0] or 0) % 7 == 2, len(t), sum(c[w] > 0 for w in t), total, round(sum(math.log10((c[w] + 1) / (total + types + 1)) for w in t), 6), round(score, 6)))
-    assert sorted(got) == sorted(want)
+        score = sum(math.log10(p(tuple(x[max(0, i - order + 1) : i + 1]))) for i in range(1, len(x)))
+        base = sum(math.log10((c[w] + 1) / (total + types + 1)) for w in t)
+        out.append((d or 0, held_out(d), len(t), sum(c[w] > 0 for w in t), total, round(base, 6), round(score, 6)))
+    return sorted(out), p, c, list(arcs)
+
+
+@pytest.mark.parametrize("order, chunk, part, vocabulary", [(3, None, None, None), (3, 50, 40, 5), (3, 7, 300, 0), (2, None, None, 3), (1, None, None, None)])
+def test_scores_agree_with_brute_force(frame, odd_docs, words, monkeypatch, order, chunk, part, vocabulary):
+    """Also with texts that are cut into many chunks, many ranges, and few or no words with a code."""
+    rnd = random.Random(8)
+    common = words(12, 1)
+    docs = [*odd_docs[:4], *odd_docs[5:]] + [(100 + i, " ".join(rnd.choice(common) if rnd.random() < 0.8 else rnd.choice(words(300, 2)) for _ in range(rnd.randint(0, 60))).title(), "en", "s", 0) for i in range(150)]
+    held_out = lambda d: (d or 0) % 7 == 2
+    want, p, c, states = plain_scores([d[:2] for d in docs], held_out, order)
+    some = [s for s in states if len(s) == 1][:3] + [s for s in states if len(s) == 2][:3]
+    assert len(some) == {3: 6, 2: 3, 1: 0}[order]
+    for state in some:  # every state's probabilities sum to one, the unseen type among them
+        assert abs(sum(p((*state, w)) for w in c) + p((*state, "never seen")) - 1) < 1e-9
+    for name, value in (("CHUNK", chunk), ("RANGE", part)):
+        if value:
+            monkeypatch.setattr(backoff_model, name, value)
+    options = {} if vocabulary is None else {"words_broadcast": vocabulary}
+    rows = frame([(*d, 0.5, 1) for d in docs], DOCS + ", score double, chunk int")
+    out = backoff_model.score(rows, F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2, order=order, **options).collect()
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out) == want
+    assert sum(r.doc_id is None for r in out) == sum(d[0] is None for d in docs)
 
 
 def test_rare_words_and_grams_are_states_in_any_corpus(frame, words):
-    """Beside half a million other tokens, a word pair seen twice still carries its own probability, cached or joined."""
-    filler = [(10 + i, " ".join(words(1000, i)), "en", "s", 0) for i in range(500)]
-    rare = [(i, "rare1 rare2 rare3", "en", "s", 0) for i in (1, 2)]
-    rows = frame(filler + rare, DOCS)
-    total, types = 500 * 1001 + 8, len({w for d in filler + rare for w in d[1].split()}) + 1
-    first = math.log10((2 - 0.75) / 502)  # after the end of a text: two of 502 texts begin with it
-    for share in (0.0, 1.0):
-        out = backoff_model.score(rows, F.lit(True), cache_share=share).filter("doc_id < 3").collect()
-        assert len(out) == 2 and all(r.train_tokens == total and r.n_known == 4 for r in out)
-        for r in out:
-            base = sum(math.log10((n + 1) / (total + types + 1)) for n in (2, 2, 2, 502))
-            assert abs(r.base_score - base) < 1e-6 and abs(r.score - (first + 3 * math.log10((2 - 0.75) / 2))) < 1e-6
-
-
-def test_gram_numbers_agree_with_spark(spark):
-    rnd = np.random.Generator(np.random.PCG64(7))
-    a, b = (rnd.integers(0, 2**64, 100, dtype=np.uint64) for _ in range(2))
-    rows = spark.createDataFrame(list(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())), "a long, b long").select(F.xxhash64("a", "b").alias("k")).collect()
-    assert [r.k for r in rows] == backoff_model.gram_key(a, b).view(np.int64).tolist()
+    """Beside half a million other tokens, a word pair seen twice still carries its own probability."""
+    docs = [(10 + i, " ".join(words(1000, i))) for i in range(500)] + [(i, "rare1 rare2 rare3") for i in (1, 2)]
+    want, p, *_ = plain_scores(docs, lambda d: False)
+    assert p(("rare1", "rare2")) > (2 - 0.75) / 2
+    for size in (100, 1 << 20):
+        out = backoff_model.score(frame([(*d, "en", "s", 0) for d in docs], DOCS), F.lit(True), words_broadcast=size).collect()
+        assert [(r.doc_id, r.n_known) for r in sorted(out)] == [(w[0], w[3]) for w in want]
+        assert [r.score for r in sorted(out)] == pytest.approx([w[6] for w in want], abs=2e-6)
+
+
+def test_the_walk_carries_a_state(words):
+    """The state after a token is the longest one that ends with it; a failure arc costs its weight once."""
+    from hazewell.llm.words import mix
+
+    texts = ["a b c", "a b c", "a b d", "x b c", "x b c"]
+    numbers = {w: mix(np.array([i + 1], np.uint64))[0] for i, w in enumerate("abcdx")} | {None: backoff_model.END}
+    seq = [[*t.split(), None] for t in texts]
+    c = collections.Counter(w for t in seq for w in t)
+    vocab = backoff_model.Words(np.array([numbers[w] for w in c if c[w] > 1]), np.array([c[w] for w in c if c[w] > 1]), True)
+    codes = [vocab.codes(np.array([numbers[w] for w in [None, *t]])) for t in seq]
+    docs = backoff_model.pack([np.arange(5), np.arange(5), np.ones(5, int), np.zeros(5, int), np.array([len(t) for t in seq]), np.ones(5, int)])
+    grams = backoff_model.Grams(docs, backoff_model.pack([np.concatenate(codes)]), vocab, 3)
+    number, *_, total, mass, arcs = backoff_model.totals(*grams.columns(), grams.count, 2)
+    a, b, w, total, mass, arcs = backoff_model.totals(*grams.columns(), grams.count, 2)[1:]
+    kept = (w == 0) & (b > 0) & (total > 0)
+    by_word = [np.bincount(a[kept].astype(int), v, len(vocab.counts)).astype(int) for v in (total[kept], np.ones(kept.sum()))]
+    machine = backoff_model.Automaton(grams, vocab, *by_word, [x[number] for x in (total, mass, arcs)], float(sum(c.values()) + len(c) + 1), 0.75)
+    ends = lambda i, j: machine.state[grams.first[i] + j]
+    assert [ends(0, j) for j in range(4)] == [1, 2, 2, 2] and ends(2, 3) == 0  # d was seen once: no state
+    at = grams.first[2] + 3  # "d" after "a b": no arc there nor after "b"; down to the root
+    assert np.isnan(machine.arc[2][at]) and np.isnan(machine.arc[1][at]) and machine.fail[2][at] < 0 and machine.fail[1][at] < 0
+    steps = machine.walk(int(grams.first[2]), 1, 4)
+    one, two, three = machine.arc
+    f = grams.first[2]
+    assert abs(steps - (two[f + 1] + three[f + 2] + machine.fail[2][at] + machine.fail[1][at] + one[at] + one[at + 1])) < 1e-12
+
+
+def test_packed_columns_come_back():
+    rnd = np.random.Generator(np.random.PCG64(3))
+    for columns in ([], [np.zeros(0, np.uint64)], [np.zeros(5, np.uint64), rnd.integers(0, 2**64, 100, dtype=np.uint64), np.arange(300)]):
+        back = backoff_model.unpack(backoff_model.pack(columns))
+        assert len(back) == len(columns) and all((x == y.astype(np.uint64)).all() for x, y in zip(back, columns))
 
 
 def test_scores_of_nothing(frame):
