@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from hazewell.functions import scalars as S
 from hazewell.functions.scalars import interact
+from hazewell.operators import pairs
 from hazewell.operators.quantiles import exact_quantiles
 from hazewell.operators.scalars_on import KINDS, with_scalar
 
@@ -60,17 +61,16 @@ def duplicate_cols(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> D
     """Pairs of equal columns: equal fingerprints over (row key, value), then a count of differing rows."""
     prints = per_feature(df, {c: {"print": F.bit_xor(F.xxhash64(*keys, F.col(c).cast("double")))} for c in cols})
     groups = prints.groupBy("print").agg(F.sort_array(F.collect_list("feature")).alias("g")).filter(F.size("g") > 1)
-    pairs = [p for r in groups.select("g").collect() for p in combinations(sorted(r.g, key=list(cols).index), 2)]  # a few column names
-    if not pairs:
+    equal = [p for r in groups.select("g").collect() for p in combinations(sorted(r.g, key=list(cols).index), 2)]  # a few column names
+    if not equal:
         return df.sparkSession.createDataFrame([], "a STRING, b STRING")
-    diff = per_feature(df, {f"{a}|{b}": {"a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "differ": F.count_if(~F.col(a).eqNullSafe(F.col(b)))} for a, b in pairs})
+    diff = per_feature(df, {f"{a}|{b}": {"a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "differ": F.count_if(~F.col(a).eqNullSafe(F.col(b)))} for a, b in equal})
     return diff.filter("differ = 0").select("a", "b")
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], least: float = 0.95) -> DataFrame:
-    """Pairs of columns with an absolute correlation above the limit (rows where both are present)."""
-    pairs = {f"{a}|{b}": {"a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "r": S.corr(a, b)} for a, b in combinations(cols, 2)}
-    return per_feature(df, pairs).filter(F.abs("r") > least).select("a", "b", "r")
+    """Pairs of columns with an absolute correlation above the limit (rows where both are present); one scan for any number of columns."""
+    return pairs.correlations(df, cols).filter(F.abs("r") > least)
 
 
 def drop_correlated(df: DataFrame, cols: Sequence[str], least: float = 0.95) -> DataFrame:
@@ -191,18 +191,12 @@ def combine_scores(scores: DataFrame) -> DataFrame:
 # --- interactions ---------------------------------------------------------------------------
 
 def find_interactions(df: DataFrame, cols: Sequence[str], target: str, kinds: Sequence[str] = tuple(KINDS), least: float = 0.1, top: int = 20) -> DataFrame:
-    """Best pair features by correlation with the target: |r| at least the limit, more than ten values, p below 0.05."""
-    m = {}
-    for a, b in combinations(cols, 2):
-        for k in kinds:
-            x = interact(F.col(a), F.col(b), k)
-            m[f"{a}|{b}|{k}"] = {
-                "a": F.first(F.lit(a)), "b": F.first(F.lit(b)), "kind": F.first(F.lit(k)), "r": S.corr(x, F.col(target)),
-                "n": F.count_if(x.isNotNull() & F.col(target).isNotNull()), "nulls": F.greatest(_null_share(a), _null_share(b))}
+    """Best pair features by correlation with the target: |r| at least the limit, more than ten values, p below 0.05; one scan for all pairs and kinds."""
     r = F.abs("r")
     t = r * F.sqrt((F.col("n") - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
     ok = (r >= least) & (F.col("n") > 10) & (t > 1.96) & (F.col("nulls") <= 0.5)
-    return per_feature(df, m, "pair").filter(ok).select("a", "b", "kind", r.alias("score"), "n").orderBy(F.desc("score"), "a", "b", "kind").limit(top)
+    found = pairs.interactions(df, cols, target, kinds)
+    return found.filter(ok).select("a", "b", "kind", r.alias("score"), "n").orderBy(F.desc("score"), "a", "b", "kind").limit(top)
 
 
 # Pairs with a physical meaning.

@@ -361,3 +361,52 @@ def test_missing_slots_are_read_off_neighbours(spark):
     want = {tuple(r) for r in landing.missing_partitions(landing.required_partitions(df), landing.present_partitions(df)).collect()}
     got = [tuple(r) for r in landing.missing_slots(df).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+# --- pairs of columns ------------------------------------------------------------------------------
+
+def test_pairs_of_many_columns_take_one_scan(spark):
+    from hazewell.operators import pairs, select
+
+    rnd = np.random.Generator(np.random.PCG64(1))
+    x = rnd.normal(size=(400, 40)) @ rnd.normal(size=(40, 40)) + 1e5
+    x[:, 7] = 3.0
+    x[:, 8] = x[:, 9] * 2
+    gaps = rnd.random(x.shape) < 0.05
+    cols = [f"x{i}" for i in range(40)]
+    rows = [[None if g else float(v) for v, g in zip(r, m)] for r, m in zip(x, gaps)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    got = {(r.a, r.b): r.r for r in pairs.correlations(df, cols).collect()}
+    pdf = pd.DataFrame(np.where(gaps, np.nan, x), columns=cols)
+    assert len(got) == 40 * 39 // 2
+    for i, a in enumerate(cols):
+        for b in cols[i + 1 :]:
+            if "x7" in (a, b):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(pdf[a].corr(pdf[b]), abs=1e-9)
+    assert {(r.a, r.b) for r in select.corr_pairs(df, cols).collect()} == {k for k, v in got.items() if v is not None and abs(v) > 0.95} >= {("x8", "x9")}
+    wide = df.select(*cols, *[F.col(c).alias(f"{c}_{k}") for c in cols for k in range(7)])
+    plan = explained(pairs.correlations(wide, wide.columns)).split("== Physical Plan ==")[1]
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+
+
+def test_pair_features_by_brute_force(spark):
+    from hazewell.operators import pairs
+
+    rnd = np.random.Generator(np.random.PCG64(2))
+    n = 500
+    data = {"a": rnd.normal(3, 2, n), "b": rnd.gamma(2, 3, n), "c": rnd.normal(-1, 4, n), "y": rnd.normal(0, 1, n)}
+    data["y"] += data["a"] * data["b"] / 10
+    pdf = pd.DataFrame(data).mask(rnd.random((n, 4)) < 0.06)
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in pdf.to_numpy()]
+    got = {(r.a, r.b, r.kind): r for r in pairs.interactions(spark.createDataFrame(rows, "a double, b double, c double, y double"), ["a", "b", "c"], "y", ["multiplicative", "ratio", "difference", "polynomial", "log_ratio"]).collect()}
+    assert len(got) == 15
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        u, v = pdf[a], pdf[b]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            made = {"multiplicative": u * v, "ratio": u / (v + 1e-8), "difference": u - v, "polynomial": u * u + v * v, "log_ratio": (np.log(u + 1) - np.log(v + 1)).where((u > 0) & (v > 0))}
+        for kind, x in made.items():
+            r = got[a, b, kind]
+            assert r.n == (x.notna() & pdf["y"].notna()).sum() and r.r == pytest.approx(x.corr(pdf["y"]), abs=1e-9)
+            assert r.nulls == pytest.approx(max(u.isna().mean(), v.isna().mean()))
