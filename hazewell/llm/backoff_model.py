@@ -38,10 +38,10 @@ MIN_COUNT = 2
 DISCOUNT = 0.75
 #: Words that have short codes: 24 bytes each are broadcast.
 VOCABULARY = 1 << 20
-#: Tokens of a chunk, at most: their distinct words and context fit in 21 bits.
-CHUNK = 2_000_000
-#: Tokens of the corpus for each range of hashes.
-RANGE = 2_000_000
+#: Tokens of a chunk, at most: their distinct words and context fit in 21 bits, and a chunk's n-grams in some 200 MB.
+CHUNK = 700_000
+#: Tokens of the corpus for each range of hashes: a range's n-grams take some 200 MB.
+RANGE = 1_500_000
 #: The end of a text is a token too; before its first word a text is in the state of having just ended.
 END = U64(0x5851F42D4C957F2D)
 BITS = U64(21)
@@ -185,10 +185,11 @@ class Grams:
     """A chunk's tokens and its distinct n-grams.
 
     ``key`` has the n-grams in order: the places of up to three words among the chunk's distinct words, 21 bits each, 0 where
-    there is none. Bigrams have no third word, single words (those without a code) no second.
+    there is none. Bigrams have no third word, single words (those without a code) no second. With ``places``, ``two`` and
+    ``three`` say for each token where the bigram and the trigram that end there are in ``key``, -1 where there is none.
     """
 
-    def __init__(self, docs: bytes, part: bytes, words: Words, order: int):
+    def __init__(self, docs: bytes, part: bytes, words: Words, order: int, places: bool = False):
         self.rows, self.ids, self.has_id, self.held_out, self.own, context = (c.view(np.int64) for c in unpack(docs))
         self.codes = unpack(part)[0]
         length = self.own + context
@@ -196,23 +197,35 @@ class Grams:
         place = np.arange(len(self.codes)) - np.repeat(self.first, length)
         self.is_own = place >= np.repeat(context, length)
         train = np.repeat(self.held_out == 0, length) & self.is_own
-        self.distinct, local = np.unique(self.codes, return_inverse=True)
-        self.local = local = (local + 1).astype(np.uint64)
         coded = self.codes < HASHED
+        code = self.codes[coded].astype(np.int64)
+        used = np.zeros(len(words.counts) + 1, bool)
+        used[code] = True
+        hashed, which = np.unique(self.codes[~coded], return_inverse=True)
+        self.distinct = np.concatenate([np.flatnonzero(used).astype(np.uint64), hashed])
+        local = np.empty(len(self.codes), np.uint64)
+        local[coded] = np.cumsum(used)[code]
+        local[~coded] = (len(self.distinct) - len(hashed) + 1 + which).astype(np.uint64)
         known = coded if words.whole else np.ones(len(coded), bool)  # an n-gram with a word seen once can't be seen twice
-        self.two, self.three = np.zeros(len(local), np.uint64), np.zeros(len(local), np.uint64)
         pair = np.flatnonzero((place >= 1) & known & np.roll(known, 1)) if order > 1 else np.zeros(0, int)
-        self.two[pair] = (local[pair - 1] << (BITS + BITS)) | (local[pair] << BITS)
         triple = pair[(place[pair] >= 2) & known[pair - 2] & self.is_own[pair]] if order > 2 else np.zeros(0, int)
-        self.three[triple] = (local[triple - 2] << (BITS + BITS)) | (local[triple - 1] << BITS) | local[triple]
+        del place, known, code
         one = np.flatnonzero(~coded)
-        at = np.concatenate([one, pair, triple])
-        all_ = np.concatenate([local[one] << (BITS + BITS), self.two[pair], self.three[triple]])
-        all_ = np.sort((all_ << U64(1)) | train[at])
-        key = all_ >> U64(1)
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-        self.key = key[new]
-        self.count = np.add.reduceat((all_ & U64(1)).astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+        all_ = np.concatenate([local[one] << (BITS + BITS), (local[pair - 1] << (BITS + BITS)) | (local[pair] << BITS),
+                               (local[triple - 2] << (BITS + BITS)) | (local[triple - 1] << BITS) | local[triple]])
+        all_ = (all_ << U64(1)) | train[np.concatenate([one, pair, triple])]
+        order_ = np.argsort(all_) if places else None
+        all_ = all_[order_] if places else np.sort(all_)
+        new = np.ones(len(all_), bool)
+        new[1:] = (all_[1:] >> U64(1)) != (all_[:-1] >> U64(1))
+        first = np.flatnonzero(new)
+        self.key = all_[first] >> U64(1)
+        self.count = np.add.reduceat((all_ & U64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        if places:
+            at = np.empty(len(all_), np.int64)
+            at[order_] = np.cumsum(new) - 1
+            self.one, self.two, self.three = (np.full(len(local), -1) for _ in range(3))
+            self.one[one], self.two[pair], self.three[triple] = np.split(at, [len(one), len(one) + len(pair)])
 
     def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of the n-grams' words, 0 where there is none."""
@@ -223,6 +236,7 @@ class Grams:
         """Each range and its n-grams, in order. A word without a code is in one range with all that it begins; a frequent word's n-grams are dealt by their second word too."""
         a, b, _ = self.columns()
         of = (mix(np.where(a < HASHED, a * U64(0x9E3779B97F4A7C15) + b, a)) % U64(ranges)).astype(np.int64)
+        of = of.astype(np.uint16) if ranges < 1 << 16 else of  # short numbers are sorted digit by digit
         order = np.argsort(of, kind="stable")
         edges = np.searchsorted(of[order], np.arange(ranges + 1))
         for r in range(ranges):
@@ -249,7 +263,7 @@ def totals(a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, limit
     """Over all chunks' n-grams of a range: for each its number among the distinct ones; and of these codes, total (0 below the limit), and how
     much its kept continuations add up to and are."""
     small = not len(a) or max(int(a.max()), int(b.max()), int(w.max())) <= int(LOW)
-    order = np.argsort((a << (BITS + BITS)) | (b << BITS) | w, kind="stable") if small else np.lexsort((w, b, a))
+    order = np.argsort((a << (BITS + BITS)) | (b << BITS) | w) if small else np.lexsort((w, b, a))
     a, b, w = a[order], b[order], w[order]
     head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
     new = head | np.concatenate(([True], w[1:] != w[:-1]))[: len(a)]
@@ -327,13 +341,14 @@ class Automaton:
         coded = grams.codes < HASHED
         code = np.where(coded, grams.codes, U64(0)).astype(np.int64)
         count, left, more = words.counts[code].astype(float), mass[code].astype(float), arcs[code].astype(float)
-        at = np.searchsorted(grams.key, grams.local[~coded] << (BITS + BITS))
+        at = grams.one[~coded]
         count[~coded], left[~coded], more[~coded] = total[at], own_mass[at], own_arcs[at]
+        of = lambda x, at: np.where(at >= 0, x[at], 0).astype(float) if len(x) else np.zeros(n)
         with np.errstate(divide="ignore", invalid="ignore"):
             rest1 = np.where(more > 0, 1.0 - (left - discount * more) / count, 1.0)
             self.count, p1 = count, (count + 1.0) / size
-            c2, m2, k2 = self._of(grams.key, grams.two, total, own_mass, own_arcs)
-            c3, *_ = self._of(grams.key, grams.three, total, own_mass, own_arcs)
+            c2, m2, k2 = (of(x, grams.two) for x in (total, own_mass, own_arcs))
+            c3 = of(total, grams.three)
             rest2 = np.where(k2 > 0, 1.0 - (m2 - discount * k2) / c2, 1.0)
             before = lambda x, k: np.concatenate([np.ones(k), x[:-k]])[:n]
             p2 = np.where(c2 > 0, (c2 - discount) / before(count, 1), 0.0) + before(rest1, 1) * p1
@@ -343,19 +358,6 @@ class Automaton:
             self.fail = [np.zeros(n), np.log10(before(rest1, 1)), np.log10(before(rest2, 1))]
         self.state = np.where(k2 > 0, 2, np.where(more > 0, 1, 0))
 
-    @staticmethod
-    def _of(key, wanted, *columns):
-        """The columns' values at each wanted n-gram, 0 where it is none or not kept."""
-        kept = np.flatnonzero(columns[0] > 0)
-        known = key[kept]
-        out = [np.zeros(len(wanted)) for _ in columns]
-        if len(known):
-            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            hit = (known[at] == wanted) & (wanted > 0)
-            for o, c in zip(out, columns):
-                o[hit] = c[kept[at[hit]]]
-        return out
-
     def walk(self, first: int, context: int, own: int) -> float:
         """Log probability of the ``own`` tokens after the context, from left to right."""
         begin = first + context
@@ -406,7 +408,7 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text",
     n_chunks = max(1, min(parts.count(), 10 * ranges))
 
     def run(left, right):
-        grams = Grams(left.column("docs")[0].as_py(), left.column("part")[0].as_py(), shared.value, order)
+        grams = Grams(left.column("docs")[0].as_py(), left.column("part")[0].as_py(), shared.value, order, places=True)
         blobs = dict(zip(right.column("range").to_pylist(), right.column("blob")))
         answer = [np.zeros(len(grams.key), np.int64) for _ in range(3)]
         for r, at in grams.by_range(ranges):

@@ -241,7 +241,7 @@ def test_the_walk_carries_a_state(words):
     vocab = backoff_model.Words(np.array([numbers[w] for w in c if c[w] > 1]), np.array([c[w] for w in c if c[w] > 1]), True)
     codes = [vocab.codes(np.array([numbers[w] for w in [None, *t]])) for t in seq]
     docs = backoff_model.pack([np.arange(5), np.arange(5), np.ones(5, int), np.zeros(5, int), np.array([len(t) for t in seq]), np.ones(5, int)])
-    grams = backoff_model.Grams(docs, backoff_model.pack([np.concatenate(codes)]), vocab, 3)
+    grams = backoff_model.Grams(docs, backoff_model.pack([np.concatenate(codes)]), vocab, 3, places=True)
     number, *_, total, mass, arcs = backoff_model.totals(*grams.columns(), grams.count, 2)
     a, b, w, total, mass, arcs = backoff_model.totals(*grams.columns(), grams.count, 2)[1:]
     kept = (w == 0) & (b > 0) & (total > 0)
