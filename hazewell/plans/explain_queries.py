@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from hazewell.operators import attribution as A
 from hazewell.operators import explain as O
 from hazewell.operators import joins as J
 from hazewell.operators import udf as U
@@ -49,6 +50,8 @@ q("attribution_by_hour", "O5", lambda t: O.attribution_by_hour(_att(t)), f"""
 WITH {ATT} SELECT date_trunc('hour', datetime_utc) AS hour, feature, avg(abs(attribution)) AS importance, count(*) AS n FROM att GROUP BY 1, 2""", "importance")
 q("attribution_top_features", "O5", lambda t: O.attribution_top(_att(t), KEYS), f"""
 WITH {ATT} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id, datetime_utc ORDER BY abs(attribution) DESC, feature) AS rank FROM att) WHERE rank <= 3""", "attribution")
+q("forest_attributions", "O5 forest", lambda t: A.forest_attributions(_model(t)[0], t.met, COLS, KEYS))
+q("forest_attribution_rollup", "O5 forest", lambda t: O.attribution_rollup(A.forest_attributions(_model(t)[0], t.met, COLS, KEYS)))
 SCEN = {"calmer": {"wind_speed": ("multiply", 0.5)}, "warmer": {"t2m_celsius": ("add", 5.0)}, "stagnant": {"wind_speed": ("multiply", 0.3), "blh": ("add", -200.0)}}
 q("what_if_scenarios", "O6", lambda t: O.what_if(*_model(t), O.last_rows(t.met, COLS), COLS, SCEN))
 

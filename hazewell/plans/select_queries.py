@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from hazewell.operators import select as K
+from hazewell.operators.neighbours import mi_neighbours
 from hazewell.plans.registry import query as q
 
 c = F.col
@@ -68,6 +69,7 @@ WITH y AS (SELECT u10, blh, {_bins('pm25')} AS yb, {_bins('u10')} AS bu, {_bins(
 j AS (SELECT 'u10' AS feature, bu AS bx, yb, count(*) AS n FROM y GROUP BY ALL UNION ALL SELECT 'blh', bb, yb, count(*) FROM y GROUP BY ALL),
 p AS (SELECT *, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, yb) AS ny, sum(n) OVER (PARTITION BY feature) AS nt FROM j)
 SELECT feature, sum(n / nt * ln(n * nt / (nx * ny))) AS score FROM p GROUP BY 1""", "score")
+q("mutual_information_neighbours", "K13 neighbours", lambda t: mi_neighbours(t.met, BASE, "pm25", KEYS))
 q("tree_scores", "K14", lambda t: K.tree_score(t.met, BASE, "pm25", trees=100, depth=10))
 q("combined_scores", "K15", lambda t: K.combine_scores(t.scores), """
 SELECT feature, avg(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) WHEN score > 0 THEN 1 ELSE 0 END) AS score

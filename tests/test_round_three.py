@@ -410,3 +410,93 @@ def test_pair_features_by_brute_force(spark):
             r = got[a, b, kind]
             assert r.n == (x.notna() & pdf["y"].notna()).sum() and r.r == pytest.approx(x.corr(pdf["y"]), abs=1e-9)
             assert r.nulls == pytest.approx(max(u.isna().mean(), v.isna().mean()))
+
+
+# --- attributions of a forest ---------------------------------------------------------------------
+
+def plain_game(tree, node, x, known):
+    """A tree's value with only some features known: both ways, weighted by training rows, at splits on the others."""
+    if tree["left"][node] < 0:
+        return tree["value"][node]
+    f, a, b = tree["feature"][node], tree["left"][node], tree["right"][node]
+    if f in known:
+        return plain_game(tree, a if x[f] <= tree["cut"][node] else b, x, known)
+    return (tree["rows"][a] * plain_game(tree, a, x, known) + tree["rows"][b] * plain_game(tree, b, x, known)) / tree["rows"][node]
+
+
+@pytest.mark.parametrize("most", [200_000, 30])
+def test_forest_attributions_are_shapley_values(spark, monkeypatch, most):
+    """Against sums over all subsets of six columns; also with a forest that goes out in parts."""
+    import math
+
+    from hazewell.operators import attribution, select
+
+    monkeypatch.setattr(attribution, "LEAVES", most)
+    rnd = np.random.Generator(np.random.PCG64(3))
+    x = rnd.normal(size=(300, 6))
+    y = x[:, 0] * 3 + np.where(x[:, 1] > 0, x[:, 2], -1) + rnd.normal(size=300) / 5
+    cols = [f"f{i}" for i in range(6)]
+    rows = [(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))] + [(1000, *[None] * 6, 0.0)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols) + ", y double").repartition(3)
+    model, va = select.fit_forest(df, cols, "y", trees=7, depth=6)
+    got = {}
+    out = attribution.forest_attributions(model, df, cols, ["id"])
+    for r in out.collect():
+        got.setdefault(r.id, {})[r.feature] = r
+    pred = {r.id: r.prediction for r in model.transform(va.transform(df)).select("id", "prediction").collect()}
+    assert set(got) == set(pred) and len(pred) == 300
+    for i, parts in got.items():
+        assert sum(p.attribution for p in parts.values()) + parts["f0"].mean == pytest.approx(pred[i], abs=1e-9)
+    tables = attribution.tree_tables(spark, model)
+    for i in (0, 17, 200):
+        value = {}
+        for mask in range(64):
+            known = {f for f in range(6) if mask >> f & 1}
+            value[mask] = np.mean([plain_game(t, 0, x[i], known) for t in tables])
+        for f in range(6):
+            want = sum(math.factorial(bin(m).count("1")) * math.factorial(5 - bin(m).count("1")) / 720 * (value[m | 1 << f] - value[m]) for m in range(64) if not m >> f & 1)
+            assert got[i][f"f{f}"].attribution == pytest.approx(want, abs=1e-9)
+
+
+# --- mutual information from neighbours -----------------------------------------------------------
+
+def plain_information(x, y, k=3):
+    rx, ry = (np.argsort(np.argsort(v)) for v in (x, y))
+    n = len(x)
+    d = np.maximum(np.abs(rx[:, None] - rx[None]), np.abs(ry[:, None] - ry[None]))
+    np.fill_diagonal(d, 10**9)
+    kth = np.sort(d, axis=1)[:, k - 1]
+    harmonic = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, n + 2)))) - 0.5772156649015329
+    psi = lambda m: harmonic[np.asarray(m) - 1]
+    near = [(np.abs(r[:, None] - r[None]) < kth[:, None]).sum(axis=1) - 1 for r in (rx, ry)]
+    return max(0.0, psi(k) + psi(n) - (psi(near[0] + 1) + psi(near[1] + 1)).mean())
+
+
+@pytest.mark.parametrize("least", [1024, 4])
+def test_information_from_neighbours_by_brute_force(spark, monkeypatch, least):
+    """Also with strips so narrow that rows are looked at again in wider ones."""
+    from hazewell.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAST", least)
+    monkeypatch.setattr(neighbours, "ROOTS", 8 if least > 4 else 0.1)
+    rnd = np.random.Generator(np.random.PCG64(6))
+    n = 2000
+    y = rnd.normal(size=n)
+    data = {"same": y + rnd.normal(size=n) / 2, "bent": y * y + rnd.normal(size=n) / 10, "none": rnd.normal(size=n), "line": y * 3 + 1}
+    rows = [(i, *[float(v[i]) for v in data.values()], float(y[i])) for i in range(n)] + [(n + 1, None, float("nan"), 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, same double, bent double, none double, line double, y double").repartition(4)
+    got = {r.feature: r.score for r in neighbours.mi_neighbours(df, list(data), "y", ["id"]).collect()}
+    for name, x in data.items():
+        assert got[name] == pytest.approx(plain_information(x, y), rel=1e-9, abs=1e-9)
+    assert got["same"] == pytest.approx(0.5 * np.log(5), rel=0.1) and got["none"] < 0.05 and got["bent"] > 0.5
+
+
+def test_neighbours_with_ties_and_few_rows(spark):
+    from hazewell.operators import neighbours
+
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 2)) for i in range(3000)], "id long, x double, y double")
+    assert neighbours.mi_neighbours(df, ["x"], "y", ["id"]).first().score == pytest.approx(np.log(2), rel=0.05)
+    flat = df.withColumn("x", F.lit(1.0))
+    assert neighbours.mi_neighbours(flat, ["x"], "y", ["id"]).first().score < 0.05
+    assert neighbours.mi_neighbours(df.limit(3), ["x"], "y", ["id"]).count() == 0
+    assert neighbours.digamma(np.array([1, 2, 10, 1000])) == pytest.approx([-0.5772156649, 0.4227843351, 2.2517525891, 6.9072551956], abs=1e-9)
