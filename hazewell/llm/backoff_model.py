@@ -16,7 +16,9 @@ its first two words fall in; a range adds up all chunks' counts and answers each
 that it sent. With these answers a chunk has all states and arcs that its own texts can meet, and walks them.
 
 The broadcast part is bounded: codes and totals of the ``VOCABULARY`` most frequent words. Other words are their hash, and
-their totals come in the answers.
+their totals come in the answers. A word seen once has no kept n-gram: so that its n-grams needn't be sent, the other words
+that were seen more often are marked in a table of bits of fixed size. Marks that fall together cost a few n-grams sent
+in vain, and change nothing else.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ ORDER = 3
 #: Occurrences from which an n-gram of two or more words is kept, whatever the corpus.
 MIN_COUNT = 2
 DISCOUNT = 0.75
-#: Words that have short codes: 24 bytes each are broadcast.
-VOCABULARY = 1 << 20
+#: Words that have short codes: 32 bytes each are broadcast. Codes fit in 21 bits.
+VOCABULARY = 2_000_000
+#: Bits of the table that marks other words seen MIN_COUNT times.
+MARKS = 1 << 27
 #: Tokens of a chunk, at most: their distinct words and context fit in 21 bits, and a chunk's n-grams in some 200 MB.
 CHUNK = 700_000
 #: Tokens of the corpus for each range of hashes: a range's n-grams take some 200 MB.
@@ -111,35 +115,59 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Words:
-    """Codes 1, 2, .. of the most frequent words, by falling count, and their counts; ``whole`` if these are all words seen MIN_COUNT times."""
+    """Codes 1, 2, .. of the most frequent words, by falling count, and their counts; ``marks`` if other words were seen MIN_COUNT times."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, whole: bool):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, marks: np.ndarray | None):
         order = np.lexsort((keys, -counts))
-        keys, self.counts, self.whole = keys[order], np.concatenate(([0], counts[order])), whole
+        keys, self.counts, self.marks = keys[order], np.concatenate(([0], counts[order])), marks
         by_key = np.argsort(keys)
-        self.keys, self.code = keys[by_key], (by_key + 1).astype(np.uint64)
+        self.keys, self.code = keys[by_key], (by_key + 1).astype(np.uint32)
+
+    def repeated(self, codes: np.ndarray) -> np.ndarray:
+        """Which of these codes may be of words seen MIN_COUNT times: all that were are among them."""
+        out = codes < HASHED
+        if self.marks is not None:
+            other = np.flatnonzero(~out)
+            out[other] = np.logical_and.reduce([self.marks[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1 for at in mark_places(codes[other])])
+        return out
 
     def codes(self, numbers: np.ndarray) -> np.ndarray:
         """A word's code, or its hash with the highest bit set."""
         found, at = np.unique(numbers, return_inverse=True)
         where = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
         hit = self.keys[where] == found if len(self.keys) else np.zeros(len(found), bool)
-        return np.where(hit, self.code[where] if len(self.keys) else U64(0), found | HASHED)[at]
+        return np.where(hit, self.code[where].astype(np.uint64) if len(self.keys) else U64(0), found | HASHED)[at]
+
+
+def mark_places(numbers: np.ndarray) -> list[np.ndarray]:
+    """Two bits of the table of marks for each word's number (its highest bit doesn't matter)."""
+    return [numbers & U64(MARKS - 1), (numbers >> U64(27)) & U64(MARKS - 1)]
+
+
+def marked(types: DataFrame) -> np.ndarray:
+    """The table of marks of these words: ``MARKS`` bits, put together in pieces by Spark."""
+    places = F.explode(F.array(F.col("key").bitwiseAND(MARKS - 1), F.shiftrightunsigned("key", 27).bitwiseAND(MARKS - 1))).alias("at")
+    rows = types.select(places).select((F.col("at") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in rows.collect():  # at most MARKS bits
+        bits = np.frombuffer(r["bits"], np.uint8)
+        begin = (r["piece"] - 1) * len(bits)
+        out[begin : begin + len(bits)] = bits
+    return out
 
 
 def vocabulary(types: DataFrame, size: int) -> Words:
     """The most frequent words: all of those counts that ``size`` words have room for."""
-    by_count = types.filter(F.col("c") >= MIN_COUNT).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
+    seen = types.filter(F.col("c") >= MIN_COUNT)
     least, room, whole = None, size, True
-    for r in by_count.toLocalIterator():
+    for r in seen.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
         if r["n"] > room:
             whole = False
             break
         least, room = r["c"], room - r["n"]
-    if least is None:
-        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), whole)
-    found = types.filter(F.col("c") >= least).select("key", "c").toArrow()  # at most ``size`` rows
-    return Words(found.column("key").to_numpy().view(np.uint64), found.column("c").to_numpy(), whole)
+    marks = None if whole else marked(seen.filter(F.lit(True) if least is None else F.col("c") < least))
+    found = types.filter(F.lit(False) if least is None else F.col("c") >= least).select("key", "c").toArrow()  # at most ``size`` rows
+    return Words(found.column("key").to_numpy().view(np.uint64), found.column("c").to_numpy(), marks)
 
 
 # --- chunks --------------------------------------------------------------------------------------------
@@ -204,9 +232,9 @@ class Grams:
         hashed, which = np.unique(self.codes[~coded], return_inverse=True)
         self.distinct = np.concatenate([np.flatnonzero(used).astype(np.uint64), hashed])
         local = np.empty(len(self.codes), np.uint64)
-        local[coded] = np.cumsum(used)[code]
+        local[coded] = np.cumsum(used, dtype=np.int32)[code]
         local[~coded] = (len(self.distinct) - len(hashed) + 1 + which).astype(np.uint64)
-        known = coded if words.whole else np.ones(len(coded), bool)  # an n-gram with a word seen once can't be seen twice
+        known = words.repeated(self.codes)  # an n-gram with a word seen once can't be seen twice
         pair = np.flatnonzero((place >= 1) & known & np.roll(known, 1)) if order > 1 else np.zeros(0, int)
         triple = pair[(place[pair] >= 2) & known[pair - 2] & self.is_own[pair]] if order > 2 else np.zeros(0, int)
         del place, known, code
@@ -320,7 +348,7 @@ def word_arcs(answered: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (word, mass, arcs)], ["word", "mass", "arcs"])
 
     rows = answered.filter("chunk < 0").select("blob").mapInArrow(run, "word long, mass long, arcs long").groupBy("word").agg(F.sum("mass").alias("mass"), F.sum("arcs").alias("arcs")).toArrow()
-    mass, arcs = np.zeros(len(words.counts), np.int64), np.zeros(len(words.counts), np.int64)
+    mass, arcs = np.zeros(len(words.counts), np.int64), np.zeros(len(words.counts), np.int32)
     mass[rows.column("word").to_numpy()], arcs[rows.column("word").to_numpy()] = rows.column("mass").to_numpy(), rows.column("arcs").to_numpy()
     return mass, arcs
 

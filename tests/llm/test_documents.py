@@ -238,7 +238,7 @@ def test_the_walk_carries_a_state(words):
     numbers = {w: mix(np.array([i + 1], np.uint64))[0] for i, w in enumerate("abcdx")} | {None: backoff_model.END}
     seq = [[*t.split(), None] for t in texts]
     c = collections.Counter(w for t in seq for w in t)
-    vocab = backoff_model.Words(np.array([numbers[w] for w in c if c[w] > 1]), np.array([c[w] for w in c if c[w] > 1]), True)
+    vocab = backoff_model.Words(np.array([numbers[w] for w in c if c[w] > 1]), np.array([c[w] for w in c if c[w] > 1]), None)
     codes = [vocab.codes(np.array([numbers[w] for w in [None, *t]])) for t in seq]
     docs = backoff_model.pack([np.arange(5), np.arange(5), np.ones(5, int), np.zeros(5, int), np.array([len(t) for t in seq]), np.ones(5, int)])
     grams = backoff_model.Grams(docs, backoff_model.pack([np.concatenate(codes)]), vocab, 3, places=True)
@@ -257,6 +257,14 @@ def test_the_walk_carries_a_state(words):
     assert abs(steps - (two[f + 1] + three[f + 2] + machine.fail[2][at] + machine.fail[1][at] + one[at] + one[at + 1])) < 1e-12
 
 
+def test_marks_have_every_word_and_few_others(spark):
+    rnd = np.random.Generator(np.random.PCG64(4))
+    keys = rnd.integers(0, 2**64, 30_000, dtype=np.uint64)
+    marks = backoff_model.marked(spark.createDataFrame([(int(k),) for k in keys[:10_000].view(np.int64)], "key long"))
+    hit = backoff_model.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), marks).repeated(keys | backoff_model.HASHED)
+    assert hit[:10_000].all() and hit[10_000:].mean() < 0.001
+
+
 def test_packed_columns_come_back():
     rnd = np.random.Generator(np.random.PCG64(3))
     for columns in ([], [np.zeros(0, np.uint64)], [np.zeros(5, np.uint64), rnd.integers(0, 2**64, 100, dtype=np.uint64), np.arange(300)]):
