@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazewell.operators import evaluate as M
+from hazewell.operators import regress as G
 from hazewell.operators import forecast as L
 from hazewell.plans.forecast_queries import TWO, blend_sql
 from hazewell.plans.registry import query as q
@@ -95,6 +96,8 @@ a AS (SELECT model, station_id, sum(pow(err - p, 2)) / sum(err * err) AS durbin_
   count(*) * pow(corr(err * err, i), 2) AS breusch_pagan FROM d GROUP BY 1, 2)
 SELECT *, durbin_watson BETWEEN 1.5 AND 2.5 AS uncorrelated, ljung_box < 18.307038 AS white_noise, breusch_pagan < 3.841459 AS homoscedastic FROM a""", "durbin_watson ljung_box breusch_pagan")
 q("residual_normality", "M18", lambda t: reduce(DataFrame.unionByName, [M.ks_normal(t.errors, m) for m in ("persist", "profile", "daily")]))
+q("tail_normality", "M18 tails", lambda t: M.tail_normality(t.errors))
+q("unit_root", "M18 unit root", lambda t: G.unit_root(t.errors))
 q("best_model_by_metric", "M19", lambda t: M.residual_compare(M.residual_stats(t.errors)), f"""
 WITH s AS (SELECT model, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse, {SMAPE} AS smape, stddev_pop(err) AS std, avg(err) AS mean FROM errors GROUP BY 1),
 l AS (UNPIVOT s ON mae, rmse, smape, std, mean INTO NAME metric VALUE v) SELECT metric, min_by(model, v) AS best_model, min(v) AS best_value FROM l GROUP BY 1""", "best_value")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hazewell.operators import agg as A
 from hazewell.operators import forecast as L
+from hazewell.operators import joins as J
+from hazewell.operators import regress as G
 from hazewell.plans.registry import query as q
 
 c = F.col
@@ -46,6 +48,15 @@ WITH {PF}, {GRID.format(src='holed', n=24)}, hd AS (SELECT station_id, hour(date
 y AS (SELECT g.station_id, step, g.datetime_utc, std, greatest(0, mean + slope * (step - 1) + coalesce(hd.a - mean, 0) + coalesce(dd.a - mean, 0)) AS yhat FROM g JOIN pf USING (station_id)
   LEFT JOIN hd ON hd.station_id = g.station_id AND h = hour(g.datetime_utc) LEFT JOIN dd ON dd.station_id = g.station_id AND d = isodow(g.datetime_utc))
 SELECT station_id, step, datetime_utc, yhat, greatest(0, yhat - 1.28 * std) AS q10, yhat + 1.28 * std AS q90 FROM y""", "yhat q10 q90")
+LINE = G.Additive(changes=0, daily=0, weekly=0, yearly=0)
+q("additive_line", "L5 additive", lambda t: G.additive_fit(t.holed, LINE).select("station_id", "n", (F.col("coef")[0] * F.col("unit")).alias("level"), (F.col("coef")[1] * F.col("unit")).alias("rise"), "sigma"), """
+WITH s AS (SELECT station_id, min(epoch(datetime_utc)) AS a, max(epoch(datetime_utc)) - min(epoch(datetime_utc)) AS l FROM holed WHERE pm25 IS NOT NULL GROUP BY 1),
+r AS (SELECT station_id, pm25 AS y, (epoch(datetime_utc) - a) / l AS t FROM holed JOIN s USING (station_id) WHERE pm25 IS NOT NULL),
+f AS (SELECT station_id, regr_intercept(y, t) AS level, regr_slope(y, t) AS rise FROM r GROUP BY 1)
+SELECT station_id, count(*) AS n, any_value(level) AS level, any_value(rise) AS rise, sqrt(avg(pow(y - level - rise * t, 2))) AS sigma FROM r JOIN f USING (station_id) GROUP BY 1""", "level rise sigma")
+WEATHER = ("wind_speed", "blh")
+q("additive_fit", "L5 additive", lambda t: G.additive_fit(t.met, G.Additive(regressors=WEATHER)).select("station_id", "n", "sigma", F.size("coef").alias("terms"), F.array_join(F.transform("coef", lambda v: F.format_number(v, 4)), " ").alias("coef")))
+q("additive_forecast", "L6 additive", lambda t: G.additive_predict(G.additive_fit(t.holed, G.Additive()), L.forecast_grid(t.holed, 24), G.Additive()))
 AR = """
 sc AS (SELECT station_id, avg(pm25) AS centre, greatest(stddev_pop(pm25), 1e-6) AS scale, max_by(pm25, datetime_utc) AS l FROM readings GROUP BY 1),
 z AS (SELECT station_id, (pm25 - centre) / scale AS y, (lag(pm25) OVER (PARTITION BY station_id ORDER BY datetime_utc) - centre) / scale AS x FROM readings JOIN sc USING (station_id)),
@@ -58,6 +69,19 @@ WITH RECURSIVE {AR}, {GRID.format(src='readings', n=24)},
 path AS (SELECT station_id, CAST(0 AS BIGINT) AS step, last_value AS v FROM ar UNION ALL SELECT p.station_id, p.step + 1, intercept + coef * v FROM path p JOIN ar USING (station_id) WHERE p.step < 24)
 SELECT station_id, step, datetime_utc, v * scale + centre AS yhat, greatest(0, v * scale + centre - 1.64 * sigma * scale) AS q10, v * scale + centre + 1.64 * sigma * scale AS q90
 FROM path JOIN ar USING (station_id) JOIN g USING (station_id, step)""", "yhat q10 q90")
+q("arma_first_order", "L7 orders", lambda t: G.arma_fit(t.readings, p=1, q=0, long=1).select("station_id", "ar", "intercept", F.col("phi")[0].alias("phi"), "n"), """
+WITH z AS (SELECT station_id, pm25 AS y, lag(pm25) OVER (PARTITION BY station_id ORDER BY datetime_utc) AS x FROM readings),
+f AS (SELECT station_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m, regr_syy(y, x) AS r0, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS r1, count(*) AS n FROM z WHERE x IS NOT NULL GROUP BY 1)
+SELECT station_id, CASE WHEN n * ln(r1 / n) + 2 * ln(n) < n * ln(r0 / n) + ln(n) THEN 1 ELSE 0 END AS ar, CASE WHEN n * ln(r1 / n) + 2 * ln(n) < n * ln(r0 / n) + ln(n) THEN a ELSE m END AS intercept,
+  CASE WHEN n * ln(r1 / n) + 2 * ln(n) < n * ln(r0 / n) + ln(n) THEN b ELSE 0 END AS phi, n FROM f""", "intercept phi")
+
+
+def _arma(t):
+    return G.arma_fit(t.met, regressors=WEATHER)
+
+
+q("arma_fit", "L7 orders", lambda t: _arma(t).select("station_id", "ar", "ma", "intercept", "sigma", "n", "criterion", F.array_join(F.transform(F.concat("phi", "theta", "beta"), lambda v: F.format_number(v, 4)), " ").alias("coef")))
+q("arma_forecast", "L8 orders", lambda t: G.arma_predict(_arma(t), J.align_future(L.forecast_grid(t.met, 24), t.weather), WEATHER))
 q("combine_equal", "L9", lambda t: L.combine(t.forecasts), "SELECT station_id, target_ts, avg(yhat) AS combined FROM forecasts GROUP BY 1, 2", "combined")
 PW = """
 sp AS (SELECT station_id, max(target_ts) AS z, least(168, floor(date_diff('hour', min(target_ts), max(target_ts)) / 4)) AS hrs FROM errors GROUP BY 1),
