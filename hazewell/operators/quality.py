@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazewell.functions import scalars as S
+from hazewell.operators import celltree
 from hazewell.operators import joins as J
 from hazewell.operators.scalars_on import with_scalar
-from hazewell.session import stored
 
 TIME = "datetime_utc"
 
@@ -410,23 +410,9 @@ def join_quality(joined: DataFrame, matched: str, cols: Sequence[str]) -> DataFr
 
 # --- stations -------------------------------------------------------------------------------
 
-def nearest_neighbour(stations: DataFrame, radii: Sequence[float] = (0.5, 5.0, 50.0, 500.0, 5000.0, 20040.0)) -> DataFrame:
-    """Distance to the nearest other station.
-
-    Rings of growing cells: stations whose neighbour is found inside a ring leave, so the wide rings join
-    only the few isolated stations left.  Each ring's result is written, so no ring is computed twice.
-    """
-    s = stored(stations.select("station_id", "latitude", "longitude"), "stations")
-    left, found = s, None
-    for r in radii:
-        probe = left.select("station_id", F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.explode(J.cells_around(F.col("latitude"), F.col("longitude"), r)).alias("_cell"))
-        other = s.select(F.col("station_id").alias("_id"), "latitude", "longitude", J.cell_of(F.col("latitude"), F.col("longitude"), r).alias("_cell"))
-        d = S.haversine(F.col("_la"), F.col("_lo"), F.col("latitude"), F.col("longitude"))
-        hit = probe.join(other, "_cell").filter(F.col("station_id") != F.col("_id")).groupBy("station_id").agg(F.min(d).alias("km")).filter(F.col("km") <= r)
-        hit = stored(hit, "nearest")
-        found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select("station_id"), "station_id", "left_anti")
-    return found
+def nearest_neighbour(stations: DataFrame) -> DataFrame:
+    """Distance to the nearest other station, found in a tree of cells that are split where stations are dense."""
+    return celltree.nearest(stations)
 
 
 def network_audit(stations: DataFrame, as_of: str, lat: float, lon: float, radius_km: float = 25.0) -> DataFrame:

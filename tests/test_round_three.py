@@ -500,3 +500,27 @@ def test_neighbours_with_ties_and_few_rows(spark):
     assert neighbours.mi_neighbours(flat, ["x"], "y", ["id"]).first().score < 0.05
     assert neighbours.mi_neighbours(df.limit(3), ["x"], "y", ["id"]).count() == 0
     assert neighbours.digamma(np.array([1, 2, 10, 1000])) == pytest.approx([-0.5772156649, 0.4227843351, 2.2517525891, 6.9072551956], abs=1e-9)
+
+
+# --- nearest neighbours -----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("cell", [32, 2])
+def test_neighbours_in_a_dense_city_and_far_off(spark, cell):
+    """A city of 1,500 stations, others over the globe, equal places, and one alone at a pole, against all distances."""
+    from hazewell.operators import celltree
+
+    rnd = np.random.Generator(np.random.PCG64(3))
+    n = 1500 if cell == 32 else 150
+    lat = np.concatenate([27.7 + rnd.normal(0, 0.02, n), np.degrees(np.arcsin(rnd.uniform(-1, 1, 60))), [-89.99, 10.0, 10.0, 0.0, 0.0]])
+    lon = np.concatenate([85.3 + rnd.normal(0, 0.02, n), rnd.uniform(-180, 180, 60), [3.0, 20.0, 20.0, 180.0, -180.0]])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))] + [(9000, None, 1.0), (None, 1.0, 1.0)]
+    got = {r.station_id: r.km for r in celltree.nearest(spark.createDataFrame(rows, "station_id long, latitude double, longitude double"), cell=cell, levels=20).collect()}
+    a, b = np.radians(lat), np.radians(lon)
+    v = np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+    far = np.array([np.partition(np.sqrt(np.maximum(((v - p) ** 2).sum(axis=1), 0)), 1)[1] for p in v])
+    want = 2 * 6371.0 * np.arcsin(far / 2)
+    assert set(got) == set(range(len(lat)))
+    assert [got[i] for i in range(len(lat))] == pytest.approx(want.tolist(), rel=1e-3, abs=1e-6)
+    assert got[n + 61] == got[n + 62] == 0.0
+    one = spark.createDataFrame([(1, 1.0, 2.0)], "station_id long, latitude double, longitude double")
+    assert celltree.nearest(one).count() == 0 and celltree.nearest(one.limit(0)).count() == 0
