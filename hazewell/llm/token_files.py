@@ -30,6 +30,8 @@ from hazewell.llm.words import pieces
 
 END_ID = 2
 CACHE_PIECES = 1_600_000
+#: Files that a task of a shuffled read keeps open.
+OPEN_FILES = 64
 #: Signs that the tokenizer's pattern takes together wherever they follow a word (an apostrophe may begin a suffix).
 SIGNS = '.,;:!?$%&#*()[]{}<>|"-_/\\+=@^~`'
 class ByteSigns(dict):
@@ -284,6 +286,52 @@ def read(spark: SparkSession, files: DataFrame, ids: bool = False, chunk: int =
     return files.select("file").repartition(parts, "file").mapInPandas(load, schema)
 
 
+def read_shuffled(spark: SparkSession, files: DataFrame, seed: int = 0, parts: int | None = None) -> DataFrame:
+    """Records in a random order that only ``seed`` decides: turn (a hash, ascending), file, place, doc_id, n_tokens, ids.
+
+    The index rows of all files are dealt by ranges of their turn, and each task fetches its records by their offsets, one by
+    one: no record passes through a shuffle. ``files`` has a column ``file``. Records of equal turns are ordered by file
+    and place. Without files there are no rows.
+    """
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["file"]:
+                store, path = open_path(name)
+                with store.open_input_stream(f"{path[:-4]}.idx") as f:
+                    index = np.frombuffer(f.read(), dtype="<u8").reshape(-1, 2)
+                with store.open_input_file(path) as f:
+                    ends = np.append(index[1:, 0], np.uint64(f.size()))
+                yield pd.DataFrame({"file": name, "place": np.arange(len(index)), "at": index[:, 0].astype(np.int64), "size": (ends - index[:, 0]).astype(np.int64)})
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: dict = {}
+        for batch in batches:
+            rows = []
+            for turn, name, place, at, size in batch.itertuples(index=False):
+                if name not in opened:
+                    while len(opened) >= OPEN_FILES:
+                        opened.pop(next(iter(opened))).close()
+                    store, path = open_path(name)
+                    opened[name] = store.open_input_file(path)
+                payload, end = read_frame(opened[name].read_at(size, at), 0)
+                if end != size:
+                    raise ValueError(f"{name}: index and record {place} disagree")
+                flag, doc = struct.unpack_from(BODY, payload)
+                tokens = np.frombuffer(payload[struct.calcsize(BODY) :], "<u4" if flag & 2 else "<u2")
+                rows.append((turn, name, place, doc if flag & 1 else None, len(tokens), tokens.tolist()))
+            out = pd.DataFrame(rows, columns=["turn", "file", "place", "doc_id", "n_tokens", "ids"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+        for f in opened.values():
+            f.close()
+
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = files.select("file").repartition(parts, "file").mapInPandas(entries, "file string, place long, at long, size long")
+    dealt = index.select(F.xxhash64("file", "place", F.lit(seed)).alias("turn"), "file", "place", "at", "size").repartitionByRange(parts, "turn", "file", "place")
+    return dealt.sortWithinPartitions("turn", "file", "place").mapInPandas(fetch, "turn long, file string, place long, doc_id long, n_tokens long, ids array<long>")
+
+
 def with_starts(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The records of ``read`` with ``start``, the ids of all records before them. ``files``: the stored result of ``write``.
 

@@ -37,7 +37,7 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
     """Nested dicts: one level for each host label from the right, then ``None``, then one for each whole path segment.
 
     A node's ``""`` key holds (tail, rule, verdict) entries: the tail is what the rule's path has after its last ``/``
-    and need only begin the url's next segment. Of equal rules the last one counts.
+    and need only begin the url's next segment. Of equal rules the verdict that sorts last counts: block before allow.
     """
     root: dict = {}
     for host, path, verdict in rules:
@@ -48,7 +48,8 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         node = node.setdefault(None, {})
         for segment in whole:
             node = node.setdefault(("p", segment), {})
-        node.setdefault("", {})[tail] = (f"{host}{path}", verdict)
+        same = node.setdefault("", {})
+        same[tail] = max(same.get(tail, ("", "")), (f"{host}{path}", verdict))
     return root
 
 
@@ -96,8 +97,11 @@ def _by_join(df: DataFrame, rules: DataFrame, host: str, path: str, out: str) ->
     urls = df.select(F.struct(F.col(host).alias("h"), F.col(path).alias("p")).alias("k")).distinct()
     suffixes = F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))), F.array(F.lit("")))
     urls = urls.select("k", F.explode(F.array_distinct(suffixes)).alias("r_host"))
-    prefixes = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("k.p"), F.lit(1), i))
-    rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), "verdict").dropDuplicates(["r_host", "r_path"])
+    rules = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("verdict"))
+    # a path is cut only where some rule ends: as many lengths as rules have, not as many as the path
+    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
+    cuts = F.filter(F.array(*[F.lit(i) for i in lengths]), lambda i: i <= n) if lengths else F.array().cast("array<int>")
+    prefixes = F.transform(cuts, lambda i: F.substring(F.col("k.p"), F.lit(1), i))
     best = F.max(F.struct(F.when(F.col("r_host") == "", 0).otherwise(F.size(F.split("r_host", r"\."))), F.length("r_path"), F.concat("r_host", "r_path").alias("rule"), "verdict"))
     found = urls.select("k", "r_host", F.explode(prefixes).alias("r_path")).join(rules, ["r_host", "r_path"]).groupBy("k").agg(best.alias("best"))
     found = found.select(F.struct(F.col("k.h").alias(host), F.col("k.p").alias(path)).alias(key), F.struct("best.rule", "best.verdict").alias(out))
@@ -107,7 +111,7 @@ def _by_join(df: DataFrame, rules: DataFrame, host: str, path: str, out: str) ->
 def filter_urls(df: DataFrame, rules=RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to each row (columns of those names give way to them).
 
-    ``rules``: (host, path, verdict) triples, or a DataFrame with these columns. A rule fits its host and all subdomains
+    ``rules``: (host, path, verdict) triples, or a DataFrame with these columns; of equal rules block counts. A rule fits its host and all subdomains
     if the url's path starts with the rule's path. No fit: rule null, verdict ``default``. A null url, or one without
     ``://``, has an empty host and path, which only a rule with an empty host and path fits. Rows are neither dropped
     nor merged: an empty table gives an empty one, repeated rows stay.

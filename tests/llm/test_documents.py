@@ -331,6 +331,21 @@ def test_token_files_give_the_ids_back(spark, frame, odd_docs, tmp_path):
     assert token_files.write(frame([], DOCS), folder + "-none", TOKENIZER).count() == 0
 
 
+def test_shuffled_reads_fetch_by_offset(spark, frame, words, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "OPEN_FILES", 2)
+    docs = [(i, " ".join(words(i % 9, i)), "e", "s", 0) for i in range(300)] + [(None, "no id", "e", "s", 0)]
+    files = stored(token_files.write(frame(docs, DOCS), shared_dir(spark, f"turns-{tmp_path.name}"), TOKENIZER, files=5), "t")
+    plain = {(r.file, r.place): (r.doc_id, tuple(r.ids)) for r in token_files.read(spark, files, ids=True).collect()}
+    orders = []
+    for seed in (1, 1, 2):
+        rows = token_files.read_shuffled(spark, files, seed, parts=4).collect()
+        assert {(r.file, r.place): (r.doc_id, tuple(r.ids)) for r in rows} == plain and len(rows) == 301
+        assert [r.turn for r in rows] == sorted(r.turn for r in rows) and all(r.n_tokens == len(r.ids) for r in rows)
+        orders.append([r.doc_id for r in rows])
+    assert orders[0] == orders[1] != orders[2] and sum(abs((a or 0) - (b or 0)) > 1 for a, b in zip(orders[0], orders[0][1:])) > 280
+    assert token_files.read_shuffled(spark, files.limit(0)).count() == 0
+
+
 def test_pieces_have_the_ids_of_whole_texts():
     rnd = random.Random(1)
     signs = ["a", "B", "é", "ß", "1", "²", "'", "s", "t", ".", ",", " ", "  ", "\n", "\t", " ", " ", "_", "-", "$", "日", "ж", "\x1c", "\r", "ʰ", "٠", "😀"]

@@ -54,6 +54,15 @@ def test_rules_too_many_for_a_broadcast_join_to_the_same_verdicts(judged, frame,
         url_filter.filter_urls(judged, rules)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_of_equal_rules_block_counts_in_any_order(frame, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)
+    pages = frame([(1, "http://x.com/a/" + "b/" * 4000), (2, "http://y.com/c")], "page_id long, url string")
+    for rules in ([("com", "/", "allow"), ("com", "/", "block"), ("com", "/c", "allow")], [("com", "/c", "allow"), ("com", "/", "block"), ("com", "/", "allow")]):
+        out = url_filter.filter_urls(pages, frame(rules, "host string, path string, verdict string")).collect()
+        assert sorted((r.page_id, r.rule, r.verdict) for r in out) == [(1, "com/", "block"), (2, "com/c", "allow")]
+
+
 def test_no_pages_no_verdicts(frame):
     assert url_filter.filter_urls(frame([], PAGES)).count() == 0
 
