@@ -164,11 +164,11 @@ def test_every_operator_is_registered_once():
     assert "pipeline" in found and set(__spark_entry__.oracle_sql()) <= set(found)
 
 
-@pytest.mark.parametrize("key", ["op1_url_filter", "op7_warc"])
+@pytest.mark.parametrize("key", ["op1_url_filter", "op7_warc", "op11_secret_owners", "op13_resampling"])
 def test_queries_agree_with_their_sql(spark, key):
     from tests.oracle import connect, rows_of
 
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"
     got = __spark_entry__.queries()[key](spark, folder)
     want = connect(folder).sql(__spark_entry__.oracle_sql()[key])
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
@@ -180,6 +180,7 @@ def test_queries_over_nothing(spark, frame, tmp_path):
     frame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     frame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     frame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for key, query in __spark_entry__.queries().items():
         if re.match(r"op\d+_|pipeline", key):
             assert query(spark, str(tmp_path)).count() == 0, key
