@@ -6,6 +6,7 @@ table; ``run_to_table`` drives one to completion with ``availableNow`` and reads
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -99,90 +100,138 @@ def stream_dedupe(events: DataFrame, keys: list[str], late: str = LATE) -> DataF
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_US = 3_600_000_000
+#: Groups that the keys of a fold are dealt to by hash; rows of a group that are put in order at once, and least rows that wait as one part.
+KEY_GROUPS = 256
+BLOCK_ROWS = 200_000
+PART_ROWS = 4_096
+#: What stands for a missing time or event, which come first.
+LEAST = -(2**63)
 
 
 class EventOrder(StatefulProcessor):
-    """Folds the rows of a key in event order, however they come in.
-
-    Rows wait in map state, in parts of one hour each, until the watermark has passed them; then they are folded hour by
-    hour, in order of (time, event). A key's memory is an hour of its rows. Late rows, which the watermark had passed when
-    they came, are dropped by Spark. ``step(key, state, ts, event_id, value)`` takes microseconds and gives the new state (a
-    tuple of ``state_schema``, None at first) and what to put out, a list of rows; ``idle`` says when, in microseconds, a
-    state without further rows is done with (None: never), and what is put out then. With ``summary`` a row is put out for
-    each release instead of for each step.
+    """Folds the rows of each key in event order, however they come in.
+
+    Keys are dealt to groups by hash, and rows wait in parts of whole hours and some thousand rows, so that a call to the
+    state serves many rows. A group's parts wait in map state until the watermark has passed their first hour; then they are
+    folded in order of (time, event), up to the hour where the next part begins. In memory are one block of new rows, or
+    the parts that overlap in time (one or two for each block that still waits), and the states of the group's keys. Late
+    rows, which the watermark had passed when they came, are dropped by Spark. ``step(key, state, ts, event_id, value)`` takes microseconds and gives the new
+    state (a tuple, None at first) and what to put out, a list of rows; ``idle`` says when, in microseconds, a state without
+    further rows is done with (None: never), and what is put out then. With ``summary`` a row is put out for each key and
+    release instead of for each step.
     """
 
-    def __init__(self, columns, state_schema, step, idle=None, summary=None):
-        self.columns, self.state_schema, self.step, self.idle, self.summary = columns, state_schema, step, idle, summary
+    def __init__(self, columns, n_keys, step, idle=None, summary=None):
+        self.columns, self.step, self.idle, self.summary = columns, step, idle, summary
+        self.numbers = ["at", "event_id", "nulls", *[f"key{i}" for i in range(n_keys)]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "hour BIGINT, part BIGINT", "rows BINARY")
         self.parts = handle.getValueState("parts", "n BIGINT")
-        self.folded = handle.getValueState("folded", self.state_schema)
+        self.folded = handle.getValueState("folded", "states BINARY")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        part = self.parts.get()[0] if self.parts.exists() else 0
-        first = None
+    def table(self, out: list) -> pd.DataFrame:
+        """Rows as pandas; whole numbers stay whole beside nulls."""
+        kinds = {"BIGINT": "Int64", "TIMESTAMP": "datetime64[us]", "DOUBLE": "float64"}
+        return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=kinds[kind]) for i, (c, kind) in enumerate(self.columns.items())})
+
+    def blocks(self, rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """The rows as whole numbers (the value's bits last), ``BLOCK_ROWS`` or a little more at a time."""
+        held, n = [], 0
         for frame in rows:
-            at = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            numbers = np.column_stack([at, frame["event_id"].to_numpy(np.int64), frame["value"].to_numpy(np.float64).view(np.int64)])
-            hours = at // HOUR_US
-            for hour in np.unique(hours):
-                self.waiting.updateValue((int(hour), part), (numbers[hours == hour].tobytes(),))
-                part += 1
-            first = at.min() if first is None else min(first, at.min())
+            held.append(np.column_stack([*[frame[c].to_numpy(np.int64) for c in self.numbers], frame["value"].to_numpy(np.float64).view(np.int64)]))
+            n += len(frame)
+            if n >= BLOCK_ROWS:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if n:
+            yield np.concatenate(held)
+
+    def put(self, rows: np.ndarray, part: int) -> int:
+        """Cut rows into parts that wait, numbered from ``part`` on; the next free number."""
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        at = 0
+        for cut in [*(np.flatnonzero(np.diff(rows[:, 0] // HOUR_US)) + 1).tolist(), len(rows)]:
+            if cut - at >= PART_ROWS or cut == len(rows):
+                self.waiting.updateValue((int(rows[at, 0] // HOUR_US), part), (rows[at:cut].tobytes(),))
+                at, part = cut, part + 1
+        return part
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        part, first = (self.parts.get() or (0,))[0], None
+        for block in self.blocks(rows):
+            part = self.put(block, part)
+            first = int(block[:, 0].min()) if first is None else min(first, int(block[:, 0].min()))
         if first is not None:
             self.parts.update((part,))
-            self.handle.registerTimer(int(first) // 1000)
-        yield pd.DataFrame([], columns=self.columns)
+            self.handle.registerTimer(first // 1000)
+        yield self.table([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        state = tuple(self.folded.get()) if self.folded.exists() else None
-        out, steps, later = [], 0, None
-        for hour in sorted({k[0] for k in self.waiting.keys()}):
-            if hour * HOUR_US > passed:
-                later = hour * HOUR_US if later is None else min(later, hour * HOUR_US)
-                continue
-            parts = [k for k in self.waiting.keys() if k[0] == hour]
-            rows = np.concatenate([np.frombuffer(self.waiting.getValue(tuple(k))[0], np.int64).reshape(-1, 3) for k in parts])
+        kept = self.folded.get()
+        states = pickle.loads(kept[0]) if kept else {}
+        places: dict[int, list[int]] = {}
+        for hour, part in self.waiting.keys():
+            places.setdefault(hour, []).append(part)
+        hours = sorted(places)
+        due = [hour for hour in hours if hour * HOUR_US <= passed]
+        out, stepped = [], {}
+        held = np.zeros((0, len(self.numbers) + 1), np.int64)
+        for i, hour in enumerate(due):
+            held = np.concatenate([held, *[np.frombuffer(self.waiting.getValue((hour, part))[0], np.int64).reshape(-1, held.shape[1]) for part in sorted(places[hour])]])
+            bound = passed if i + 1 == len(due) else hours[i + 1] * HOUR_US - 1
+            now = held[:, 0] <= bound
+            rows, held = held[now], held[~now]
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            due = int(np.searchsorted(rows[:, 0], passed, side="right"))
-            for ts, event, value in zip(rows[:due, 0].tolist(), rows[:due, 1].tolist(), rows[:due, 2].copy().view(np.float64).tolist()):
-                state, some = self.step(key, state, ts, event, value)
+            for (ts, event, nulls, *who), value in zip(rows[:, :-1].tolist(), rows[:, -1].copy().view(np.float64).tolist()):
+                one = tuple(None if nulls >> n & 1 else k for n, k in enumerate(who)) if nulls else tuple(who)
+                states[one], some = self.step(one, states.get(one), ts, event, value)
                 out += some
-                steps += 1
-            for k in parts:
-                self.waiting.removeKey(tuple(k))
-            if due < len(rows):
-                self.waiting.updateValue((int(hour), int(parts[0][1])), (rows[due:].tobytes(),))
-                later = int(rows[due, 0]) if later is None else min(later, int(rows[due, 0]))
-        if steps and self.summary:
-            out.append(self.summary(key, state))
-        if state is not None:
-            over = self.idle(state)[0] if self.idle else None
-            if over is not None and over < passed:
-                out += self.idle(state)[1](key)
-                self.folded.clear()
-                state = over = None
-            elif steps:
-                self.folded.update(state)
-            later = over if later is None else later if over is None else min(later, over)
+                stepped[one] = True
+        if len(due) == len(hours):
+            self.waiting.clear()
+        else:
+            for hour in due:
+                for part in places[hour]:
+                    self.waiting.removeKey((hour, part))
+        later = hours[len(due)] * HOUR_US if len(due) < len(hours) else None
+        if len(held):
+            self.parts.update((self.put(held, self.parts.get()[0]),))
+            later = int(held[:, 0].min())
+        if self.summary:
+            out += [self.summary(one, states[one]) for one in stepped]
+        if self.idle:
+            for one in list(states):
+                over, last = self.idle(states[one])
+                if over < passed:
+                    out += last(one)
+                    del states[one]
+                else:
+                    later = over if later is None else min(later, over)
+        if states:
+            self.folded.update((pickle.dumps(states),))
+        else:
+            self.folded.clear()
         if later is not None:
             self.handle.registerTimer(max(int(later) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield self.table(out)
 
     def close(self) -> None:
         pass
 
 
-def event_order(events: DataFrame, keys: list[str], late: str, schema: str, state_schema: str, step, idle=None, summary=None) -> DataFrame:
-    """The stream folded per key in event order; see ``EventOrder``. Rows need ts, event_id and value."""
+def event_order(events: DataFrame, keys: list[str], late: str, schema: str, step, idle=None, summary=None, groups: int = KEY_GROUPS) -> DataFrame:
+    """The stream folded per key (whole numbers) in event order; see ``EventOrder``. Rows need ts, event_id and value."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that holds map state and timers
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-    rows = events.withWatermark("ts", late).select(*keys, "event_id", "ts", F.col("value").cast("double").alias("value"))
-    return rows.groupBy(*keys).transformWithStateInPandas(EventOrder(columns, state_schema, step, idle, summary), schema, "Append", "EventTime")
+    columns = dict(c.strip().split(" ") for c in schema.split(","))
+    nulls = sum((F.col(k).isNull().cast("bigint") * 2**i for i, k in enumerate(keys)), F.lit(0).cast("bigint"))
+    rows = events.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group"), "ts", F.coalesce(F.unix_micros("ts"), F.lit(LEAST)).alias("at"),
+        F.coalesce(F.col("event_id").cast("bigint"), F.lit(LEAST)).alias("event_id"), F.col("value").cast("double").alias("value"), nulls.alias("nulls"),
+        *[F.coalesce(F.col(k).cast("bigint"), F.lit(0)).alias(f"key{i}") for i, k in enumerate(keys)])
+    return rows.groupBy("_group").transformWithStateInPandas(EventOrder(columns, len(keys), step, idle, summary), schema, "Append", "EventTime")
 
 
 def _stamp(us: int) -> pd.Timestamp:
@@ -198,7 +247,7 @@ def stream_alerts(events: DataFrame, threshold: float = 55.0, cooldown_minutes:
             return (ts,), [(key[0], event, _stamp(ts), value)]
         return last, []
 
-    return event_order(events.filter(F.col("value") >= threshold), ["user_id"], late, "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE", "last BIGINT", step,
+    return event_order(events.filter(F.col("value") >= threshold), ["user_id"], late, "user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE", step,
                        idle=lambda last: (last[0] + cool, lambda key: []))
 
 
@@ -209,7 +258,7 @@ def stream_stale(events: DataFrame, hours: int = 2, late: str = LATE) -> DataFra
     def step(key, last, ts, event, value):
         return (ts,), [(key[0], _stamp(last[0]))] if last is not None and ts - last[0] > gap else []
 
-    return event_order(events.withColumn("value", F.lit(0.0)), ["user_id"], late, "user_id BIGINT, stale_since TIMESTAMP", "last BIGINT", step,
+    return event_order(events.withColumn("value", F.lit(0.0)), ["user_id"], late, "user_id BIGINT, stale_since TIMESTAMP", step,
                        idle=lambda last: (last[0] + gap, lambda key: [(key[0], _stamp(last[0]))]))
 
 
@@ -226,7 +275,7 @@ def stream_bias(events: DataFrame, least: int = 24, alpha: float = 0.1, max_step
         return (value, n, total, bias), []
 
     return event_order(events.withColumn("hour", F.hour("ts").cast("bigint")), ["station_id", "hour"], late, "station_id BIGINT, hour BIGINT, n BIGINT, bias DOUBLE",
-                       "last DOUBLE, n BIGINT, total DOUBLE, bias DOUBLE", step, summary=lambda key, state: (key[0], key[1], state[1], state[3]))
+                       step, summary=lambda key, state: (key[0], key[1], state[1], state[3]))
 
 
 def stream_conformal(events: DataFrame, centre: float = 50.0, q: float = 0.9, rate: float = 0.5, late: str = LATE) -> DataFrame:
@@ -238,7 +287,7 @@ def stream_conformal(events: DataFrame, centre: float = 50.0, q: float = 0.9, ra
         n, inside, thr = state
         return (n + 1, inside + int(score <= thr), thr + rate * q if score > thr else thr - rate * (1 - q)), []
 
-    return event_order(events, ["station_id"], late, "station_id BIGINT, n BIGINT, threshold DOUBLE, coverage DOUBLE", "n BIGINT, inside BIGINT, threshold DOUBLE", step,
+    return event_order(events, ["station_id"], late, "station_id BIGINT, n BIGINT, threshold DOUBLE, coverage DOUBLE", step,
                        summary=lambda key, state: (key[0], state[0], state[2], state[1] / max(state[0] - 1, 1)))
 
 
