@@ -36,8 +36,8 @@ SELECT f.event_id AS forecast_id, o.event_id, o.user_id, f.value AS yhat, o.valu
 q("stream_dedupe", "ST6", lambda t: X.run_to_table(X.stream_dedupe(
     _events(t).withColumn("hour", F.date_trunc("hour", "ts")), ["station_id", "hour"]), "dedupe").select("station_id", "hour"), """
 SELECT DISTINCT station AS station_id, hour_ts AS hour FROM ev""")
-q("stream_alerts", "ST7", lambda t: X.run_to_table(X.stream_alerts(_events(t), cooldown_minutes=720), "alerts"), f"""
-WITH RECURSIVE a AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev WHERE value >= 55 AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev WHERE value >= 55)),
+q("stream_alerts", "ST7", lambda t: X.run_to_end(lambda e: X.stream_alerts(e, cooldown_minutes=720), _events(t), "alerts"), """
+WITH RECURSIVE a AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev WHERE value >= 55),
 r AS (SELECT user_id, i, event_id, ts, value, ts AS last, true AS sent FROM a WHERE i = 1
   UNION ALL SELECT a.user_id, a.i, a.event_id, a.ts, a.value, CASE WHEN a.ts - r.last >= INTERVAL 12 HOUR THEN a.ts ELSE r.last END, a.ts - r.last >= INTERVAL 12 HOUR FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1)
 SELECT user_id, event_id, ts, value FROM r WHERE sent""", "value")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from hazewell.session import bounded_broadcast, shared_dir, stored
 
 LATE = "1 hour"
+#: 2200 and 2250: a watermark beyond the first says that the stream is at its end, where the second is the time of its closing row.
+END_US = 7_258_118_400_000_000
+CLOSING_US = 8_835_955_200_000_000
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
@@ -34,15 +37,37 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available, exactly once, and read the result; output and checkpoint lie in the shared folder."""
-    spark = stream.sparkSession
-    root = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+def _run(stream: DataFrame, root: str) -> None:
     q = (
         stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
         .outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is available, exactly once, and read the result; output and checkpoint lie in the shared folder."""
+    spark = stream.sparkSession
+    root = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    _run(stream, root)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_to_end(build: Callable[[DataFrame], DataFrame], events: DataFrame, name: str) -> DataFrame:
+    """As ``run_to_table`` for a keyed stream, with the rows that the last watermark has not passed.
+
+    ``build`` makes the stream from events. Once all events are in, a closing row at the end of time comes in by a second
+    source; its watermark lets every waiting row through. It has no key, and stays behind.
+    """
+    spark = events.sparkSession
+    root = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    spark.createDataFrame([], events.schema).write.parquet(f"{root}/closing")
+    stream = build(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{root}/closing")))
+    _run(stream, root)
+    values = {"ts": F.timestamp_micros(F.lit(CLOSING_US)), "value": F.lit(float("inf"))}  # no threshold keeps it out
+    closing = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    closing.coalesce(1).write.mode("append").parquet(f"{root}/closing")
+    _run(stream, root)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -202,7 +227,7 @@ class EventOrder(StatefulProcessor):
             later = int(held[:, 0].min())
         if self.summary:
             out += [self.summary(one, states[one]) for one in stepped]
-        if self.idle:
+        if self.idle and passed < END_US:  # the end is no silence
             for one in list(states):
                 over, last = self.idle(states[one])
                 if over < passed:
