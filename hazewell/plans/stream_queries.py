@@ -41,8 +41,8 @@ WITH RECURSIVE a AS (SELECT user_id, event_id, ts, value, row_number() OVER (PAR
 r AS (SELECT user_id, i, event_id, ts, value, ts AS last, true AS sent FROM a WHERE i = 1
   UNION ALL SELECT a.user_id, a.i, a.event_id, a.ts, a.value, CASE WHEN a.ts - r.last >= INTERVAL 12 HOUR THEN a.ts ELSE r.last END, a.ts - r.last >= INTERVAL 12 HOUR FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1)
 SELECT user_id, event_id, ts, value FROM r WHERE sent""", "value")
-q("stream_stale", "ST8", lambda t: X.run_to_table(X.stream_stale(_events(t)), "stale"), f"""
-SELECT user_id, ts AS stale_since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM ev WHERE ts <= {WM})
+q("stream_stale", "ST8", lambda t: X.run_to_end(X.stream_stale, _events(t), "stale"), f"""
+SELECT user_id, ts AS stale_since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM ev)
 WHERE nx - ts > INTERVAL 2 HOUR OR (nx IS NULL AND ts + INTERVAL 2 HOUR < {WM})""")
 q("stream_bias", "ST9", lambda t: X.last_rows(X.run_to_table(X.stream_bias(_events(t)), "bias"), ["station_id", "hour"]), f"""
 WITH RECURSIVE a AS (SELECT station, hour(ts) AS hour, value, row_number() OVER (PARTITION BY station, hour(ts) ORDER BY ts, event_id) AS i FROM ev WHERE ts <= {WM}),
