@@ -44,8 +44,8 @@ SELECT user_id, event_id, ts, value FROM r WHERE sent""", "value")
 q("stream_stale", "ST8", lambda t: X.run_to_end(X.stream_stale, _events(t), "stale"), f"""
 SELECT user_id, ts AS stale_since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM ev)
 WHERE nx - ts > INTERVAL 2 HOUR OR (nx IS NULL AND ts + INTERVAL 2 HOUR < {WM})""")
-q("stream_bias", "ST9", lambda t: X.last_rows(X.run_to_table(X.stream_bias(_events(t)), "bias"), ["station_id", "hour"]), f"""
-WITH RECURSIVE a AS (SELECT station, hour(ts) AS hour, value, row_number() OVER (PARTITION BY station, hour(ts) ORDER BY ts, event_id) AS i FROM ev WHERE ts <= {WM}),
+q("stream_bias", "ST9", lambda t: X.last_rows(X.run_to_end(X.stream_bias, _events(t), "bias"), ["station_id", "hour"]), """
+WITH RECURSIVE a AS (SELECT station, hour(ts) AS hour, value, row_number() OVER (PARTITION BY station, hour(ts) ORDER BY ts, event_id) AS i FROM ev),
 e AS (SELECT station, hour, i - 1 AS i, avg(d) OVER (PARTITION BY station, hour ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
   FROM (SELECT *, value - lag(value) OVER (PARTITION BY station, hour ORDER BY i) AS d FROM a) WHERE i > 1),
 k AS (SELECT station, hour, count(*) - 1 AS n FROM a GROUP BY 1, 2),
