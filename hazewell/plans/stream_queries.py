@@ -53,8 +53,8 @@ r AS (SELECT station, hour, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS bias FR
   UNION ALL SELECT r.station, r.hour, e.i, CASE WHEN e.i >= 24 THEN least(10, greatest(-10, bias + least(0.8, greatest(-0.8, 0.1 * (m - bias))))) ELSE bias END
   FROM r JOIN e ON e.station = r.station AND e.hour = r.hour AND e.i = r.i + 1)
 SELECT r.station AS station_id, r.hour, n, bias FROM r JOIN k ON k.station = r.station AND k.hour = r.hour AND k.n = r.i""", "bias")
-q("stream_conformal", "ST10", lambda t: X.last_rows(X.run_to_table(X.stream_conformal(_events(t)), "conformal"), ["station_id"]), f"""
-WITH RECURSIVE a AS (SELECT station, abs(value - 50) AS s, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS i FROM ev WHERE ts <= {WM}), k AS (SELECT station, max(i) AS n FROM a GROUP BY 1),
+q("stream_conformal", "ST10", lambda t: X.last_rows(X.run_to_end(X.stream_conformal, _events(t), "conformal"), ["station_id"]), """
+WITH RECURSIVE a AS (SELECT station, abs(value - 50) AS s, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS i FROM ev), k AS (SELECT station, max(i) AS n FROM a GROUP BY 1),
 r AS (SELECT station, i, s AS thr, CAST(0 AS BIGINT) AS inside FROM a WHERE i = 1
   UNION ALL SELECT r.station, a.i, CASE WHEN s > thr THEN thr + 0.45 ELSE thr - 0.05 END, inside + CASE WHEN s <= thr THEN 1 ELSE 0 END FROM r JOIN a ON a.station = r.station AND a.i = r.i + 1)
 SELECT r.station AS station_id, n, thr AS threshold, inside / (n - 1) AS coverage FROM r JOIN k ON k.station = r.station AND k.n = r.i""", "threshold coverage")
