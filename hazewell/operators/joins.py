@@ -48,7 +48,8 @@ def asof_nearest(a: DataFrame, b: DataFrame, tolerance: int, value: str, keys: S
     both = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side")
     prev = F.last("_b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("_b", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_t"), F.desc("_side"))  # a frame that grows; one that shrinks is read anew for each row
+    nxt = F.last("_b", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     near = both.withColumns({"_p": prev, "_n": nxt}).filter(F.col("_side") == 1)
     dp = F.when(F.col("_t") - F.col("_p.t") <= tol, F.col("_t") - F.col("_p.t"))
     dn = F.when(F.col("_n.t") - F.col("_t") <= tol, F.col("_n.t") - F.col("_t"))
@@ -66,10 +67,11 @@ def lookback(points: DataFrame, history: DataFrame, seconds, col: str = "pm25",
     h = history.select("station_id", at.alias("_t"), F.lit(0).alias("_side"), F.struct(at.alias("t"), F.col(col).alias("v")).alias("_h"))
     both = q.unionByName(h, allowMissingColumns=True)
     w = Window.partitionBy("station_id").orderBy("_t", "_side")
+    back = Window.partitionBy("station_id").orderBy(F.desc("_t"), F.desc("_side"))
     near = Window.partitionBy("station_id").orderBy("_t").rangeBetween(-window, window)
     marked = both.withColumns({
         "_p": F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_n": F.first("_h", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "_n": F.last("_h", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         "near_mean": F.avg(F.col("_h.v")).over(near),
     }).filter(F.col("_side") == 1)
     take_prev = F.col("_p").isNotNull() & (F.col("_n").isNull() | (F.col("_t") - F.col("_p.t") <= F.col("_n.t") - F.col("_t")))
