@@ -24,13 +24,18 @@ END_US = 7_258_118_400_000_000
 CLOSING_US = 8_835_955_200_000_000
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
-    """Events of a folder as a stream, a bounded number of files per micro-batch."""
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Events of a folder as a stream; all files that are there make one micro-batch, or ``files_per_batch`` at a time.
+
+    A micro-batch costs seconds whatever its rows, and moves the watermark: files read one after another must be in event order,
+    or their rows are late and dropped.
+    """
     path = f"{folder.rstrip('/')}/{name}"
     table = spark.read.parquet(path)
     if not table.inputFiles():
         raise ValueError(f"no data files in {path}")
-    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
+    raw = spark.readStream.schema(table.schema)
+    raw = raw if files_per_batch is None else raw.option("maxFilesPerTrigger", files_per_batch)
     # a stream reads a folder: the table's own, or for a table of one file the one it lies in
     single = len(table.inputFiles()) == 1 and table.inputFiles()[0].rstrip("/").endswith(f"/{name}")
     raw = raw.option("pathGlobFilter", name).parquet(folder) if single else raw.parquet(path)
@@ -215,6 +220,9 @@ class EventOrder(StatefulProcessor):
                 states[one], some = self.step(one, states.get(one), ts, event, value)
                 out += some
                 stepped[one] = True
+            if len(out) >= BLOCK_ROWS:
+                yield self.table(out)
+                out = []
         if len(due) == len(hours):
             self.waiting.clear()
         else:
