@@ -24,6 +24,7 @@ in vain, and change nothing else.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def pack(columns: list[np.ndarray]) -> bytes:
         c = np.ascontiguousarray(c.astype(np.uint64))
         width = (int(c.max(initial=0)).bit_length() + 7) // 8
         head += [len(c), width]
-        body.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        body += [(c >> U64(8 * k)).astype(np.uint8).tobytes() for k in range(width)]
     raw = b"".join(body)
     return np.array([*head, len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -74,10 +75,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(blob[8 * len(head) :], int(head[-1]), codec="zstd"), np.uint8)
     out, at = [], 0
     for size, width in zip(head[1:-1:2].tolist(), head[2:-1:2].tolist()):
-        c = np.zeros((size, 8), np.uint8)
-        c[:, :width] = raw[at : at + size * width].reshape(width, size).T
-        out.append(c.reshape(-1).view(np.uint64))
-        at += size * width
+        c = np.zeros(size, np.uint64)
+        for k in range(width):
+            c |= raw[at : at + size].astype(np.uint64) << U64(8 * k)
+            at += size
+        out.append(c)
     return out
 
 
@@ -287,11 +289,38 @@ def sent(stored_chunks: DataFrame, shared, ranges: int, order: int) -> DataFrame
     return stored_chunks.select("chunk", "docs", "part").mapInArrow(run, "chunk long, range int, blob binary")
 
 
+def in_order(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the n-grams in order of their words, which are packed into one number; words are numbered anew if some have no code."""
+    number = lambda c: c
+    if max(int(c.max(initial=0)) for c in (a, b, w)) > int(LOW):
+        used = np.zeros(1 << int(BITS), bool)
+        for c in (a, b, w):
+            used[c[c < HASHED]] = True
+        hashed = np.unique(np.concatenate([c[c >= HASHED] for c in (a, b, w)]))
+        local = np.cumsum(used, dtype=np.uint32)
+        least = U64(local[-1]) + U64(1)
+        if int(least) + len(hashed) > int(LOW):
+            return np.lexsort((w, b, a))
+
+        def number(c):
+            other = np.flatnonzero(c >= HASHED)
+            out = c.copy()
+            out[other] = U64(0)
+            out = local[out].astype(np.uint64)
+            out[other] = np.searchsorted(hashed, c[other]).astype(np.uint64) + least
+            return out
+
+    key = number(a) << BITS
+    key |= number(b)
+    key <<= BITS
+    key |= number(w)
+    return np.argsort(key)
+
+
 def totals(a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, limit: int):
     """Over all chunks' n-grams of a range: for each its number among the distinct ones; and of these codes, total (0 below the limit), and how
     much its kept continuations add up to and are."""
-    small = not len(a) or max(int(a.max()), int(b.max()), int(w.max())) <= int(LOW)
-    order = np.argsort((a << (BITS + BITS)) | (b << BITS) | w) if small else np.lexsort((w, b, a))
+    order = in_order(a, b, w)
     a, b, w = a[order], b[order], w[order]
     head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
     new = head | np.concatenate(([True], w[1:] != w[:-1]))[: len(a)]
@@ -385,30 +414,28 @@ class Automaton:
             self.arc = [np.log10(p1), np.where(c2 > 0, np.log10(p2), nothing), np.where(c3 > 0, np.log10(p3), nothing)]
             self.fail = [np.zeros(n), np.log10(before(rest1, 1)), np.log10(before(rest2, 1))]
         self.state = np.where(k2 > 0, 2, np.where(more > 0, 1, 0))
+        self.begin, self.context = grams.first, np.diff(np.append(grams.first, n)) - grams.own
+
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """What each token adds on its way, in this order: the failure arc from a state of two tokens; the arc from that state, or the
+        arc or failure arc from one of one token; the root's arc. 0 where the way doesn't lead. A token's state is the one after the token before it."""
+        state, begin = np.roll(self.state, 1), self.begin + self.context
+        state[begin] = np.minimum(self.state[begin - 1], self.context)
+        arc = [~np.isnan(x) for x in self.arc]
+        fell2 = (state == 2) & ~arc[2]
+        one = fell2 | (state == 1)
+        fell1 = one & ~arc[1]
+        out = np.zeros((len(state), 3))
+        out[:, 0] = np.where(fell2, self.fail[2], 0.0)
+        out[:, 1] = np.where(fell1, self.fail[1], np.where(one, self.arc[1], np.where(state == 2, self.arc[2], 0.0)))
+        out[:, 2] = np.where(fell1 | (state == 0), self.arc[0], 0.0)
+        return out
 
     def walk(self, first: int, context: int, own: int) -> float:
-        """Log probability of the ``own`` tokens after the context, from left to right."""
+        """Log probability of the ``own`` tokens after the context, added up from left to right."""
         begin = first + context
-        state, total = min(int(self.state[begin - 1]), context), 0.0
-        span = slice(begin, begin + own)
-        arc0, arc1, arc2, fail1, fail2, states = (x[span].tolist() for x in (*self.arc, *self.fail[1:], self.state))
-        for one, two, three, from1, from2, after in zip(arc0, arc1, arc2, fail1, fail2, states):
-            if state == 2:
-                if three == three:  # an arc is there
-                    total += three
-                    state = after
-                    continue
-                total += from2
-                state = 1
-            if state == 1:
-                if two == two:
-                    total += two
-                    state = after
-                    continue
-                total += from1
-            total += one
-            state = after
-        return total
+        return float(np.cumsum(self.steps[begin : begin + own])[-1]) if own else 0.0
 
 
 def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT, words_broadcast: int = VOCABULARY) -> DataFrame:

@@ -257,6 +257,32 @@ def test_the_walk_carries_a_state(words):
     assert abs(steps - (two[f + 1] + three[f + 2] + machine.fail[2][at] + machine.fail[1][at] + one[at] + one[at + 1])) < 1e-12
 
 
+def test_ngrams_of_words_without_codes_are_put_in_order_by_one_number(monkeypatch):
+    """The same order as by three columns, without sorting three times."""
+    rnd = np.random.Generator(np.random.PCG64(5))
+    words = np.concatenate([np.arange(2_000_001, dtype=np.uint64), rnd.integers(0, 2**63, 60, dtype=np.uint64) | backoff_model.HASHED])
+    columns = [np.where(rnd.random(5_000) < 0.5, words[-80:][rnd.integers(0, 80, 5_000)], words[rnd.integers(0, 40, 5_000)]) for _ in range(3)]
+    want = np.lexsort(columns[::-1])
+
+    def slow(*_):
+        raise AssertionError("sorted column by column")
+
+    monkeypatch.setattr(np, "lexsort", slow)
+    for columns, want in ((columns, want), ([c[:0] for c in columns], [])):
+        got = backoff_model.totals(*columns, np.ones(len(columns[0]), np.int64), 2)
+        assert [list(x[got[0]]) for x in got[1:4]] == [list(x) for x in columns]
+        assert [list(x[i]) for x, i in zip(columns, [backoff_model.in_order(*columns)] * 3)] == [list(x[want]) if len(x) else [] for x in columns]
+
+
+def test_more_words_than_fit_are_put_in_order_column_by_column(monkeypatch):
+    rnd = np.random.Generator(np.random.PCG64(6))
+    monkeypatch.setattr(backoff_model, "BITS", np.uint64(5))
+    monkeypatch.setattr(backoff_model, "LOW", np.uint64(31))
+    words = np.concatenate([np.arange(20, dtype=np.uint64), rnd.integers(0, 2**63, 40, dtype=np.uint64) | backoff_model.HASHED])
+    a, b, w = (words[rnd.integers(0, 60, 1_000)] for _ in range(3))
+    assert [list(x[backoff_model.in_order(a, b, w)]) for x in (a, b, w)] == [list(x[np.lexsort((w, b, a))]) for x in (a, b, w)]
+
+
 def test_marks_have_every_word_and_few_others(spark):
     rnd = np.random.Generator(np.random.PCG64(4))
     keys = rnd.integers(0, 2**64, 30_000, dtype=np.uint64)
